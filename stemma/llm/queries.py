@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup
+from . import bpe, neardup, warc
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op4_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
