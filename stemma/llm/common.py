@@ -195,3 +195,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+#: Separators of letter-and-digit words: every ASCII byte but letters and digits.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and Latin-1 letters of UTF-8 bytes."""
+    out = ASCII_LOWER[data]
+    if len(out) > 1:
+        high = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E)
+        out[1:][high] += 0x20
+    return out
+
+
+def has_letter(col):
+    """Whether a text has a letter of any script; false for null."""
+    return F.coalesce(col.rlike(r"\p{L}"), F.lit(False))
+
+
+def learnable(docs: DataFrame, modulus: int, held: int) -> DataFrame:
+    """The rows that a classifier may learn from: crc32(doc_id as text) modulo ``modulus`` isn't ``held``."""
+    return docs.filter((F.crc32(F.col("doc_id").cast("string")) % modulus) != held)
+
+
+def held_out(modulus: int, held: int):
+    """Whether a row is held out; false where doc_id is null (such rows are learned from by nobody)."""
+    return F.coalesce((F.crc32(F.col("doc_id").cast("string")) % modulus) == held, F.lit(False))

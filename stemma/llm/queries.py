@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, warc
+from . import bpe, langid, neardup, quality, toxicity, warc
 from .common import table
 
 
@@ -22,5 +22,17 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op4_minhash_near_dedup)}
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op4_minhash_near_dedup, op5_toxicity_cnn, op9_quality_nbsvm, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
