@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, neardup, quality, toxicity, warc
+from . import bpe, fingerprints, langid, licenses, neardup, quality, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.likeness_of_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,5 +42,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op4_minhash_near_dedup, op5_toxicity_cnn, op9_quality_nbsvm, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op4_minhash_near_dedup, op5_toxicity_cnn, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
