@@ -4,9 +4,10 @@ A document's set is its distinct 5-word shingles. Its shingle hashes are binned
 permutation); an empty bin copies a full bin found by the optimal densification walk. Three bins
 make a band. Equal sets are one class before anything is compared, so a group of exact copies costs
 one row. In each bucket one hub, the member that meets most others over all its bands, is paired
-with the rest: a bucket of m members gives m - 1 pairs. Whatever a bucket's hub did not join to its
-component is then compared among itself by sketch, so that no link is lost behind a hub. A sketch
-estimate well below the limit ends a pair; every other pair is confirmed on the full sets.
+with the rest: a bucket of m members gives m - 1 pairs. A sketch estimate well below the limit ends
+a pair; every other pair is confirmed on the full sets. Members that a hub did not join to the rest
+of their group are compared with the whole group in blocks of bounded size, so that no link is lost
+behind a hub; a block gives only the links that join components.
 
 Components come from alternating large-star and small-star steps over the confirmed links, as
 DataFrames; nothing but counts reaches the driver.
@@ -116,18 +117,91 @@ def _set_of(text: str) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)], np.int64))[0]
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on full sets: sketches first, then the texts of what is left."""
+def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out."""
     s = reps.select("rep", "sketch")
-    near = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
-    near = checkpoint(near)
+    return pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents whose id is among ``ids``; of repeated ids the first text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    used = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(used, "id", "left_semi")
-    both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on the full sets of their texts."""
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirmed, "a long, b long")
 
 
+#: Bytes of text aimed at for one side of a block.
+BLOCK_BYTES = 1 << 20
+_WIDE = 512
+#: Four standard deviations under 0.75 in a wide sketch.
+_WIDE_LEAST = 345
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Links between the rows left out by the hub and the members of one block, as far as they join components."""
+    sets = [h for _, _, data, offsets in text_chunks(table["text"]) for h in shingle_sets(data, offsets)]
+    ids, of = table["rep"].to_numpy(), dict(zip(table["rep"].to_pylist(), table["component"].to_pylist()))
+    left = table["left"].to_numpy()
+    rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+    wide = [sketch(h, _WIDE) for h in sets]
+    others = np.array([wide[j] for j in cols], np.uint32).reshape(len(cols), _WIDE)
+    small = np.array([len(sets[j]) < 64 for j in cols], bool)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    a, b = [], []
+    for i in rows:
+        agree = (others == wide[i]).sum(axis=1)
+        for k in np.argsort(-agree, kind="stable"):
+            j = cols[k]
+            tiny = small[k] or len(sets[i]) < 64  # too few shingles for a sketch to rule out
+            if agree[k] < _WIDE_LEAST and not tiny:
+                continue
+            x, y = root(of[int(ids[i])]), root(of[int(ids[j])])
+            n, m = len(sets[i]), len(sets[j])
+            if x == y or 100 * min(n, m) < LINK_PERCENT * max(n, m):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= LINK_PERCENT * (n + m - both):
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+                parent[max(x, y)] = min(x, y)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def behind_hubs(near: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that pass no hub: in a group of plausible pairs, between members outside its largest component and all others.
+
+    Both sides come in blocks of bounded bytes, each pair of blocks is one task's work, and only
+    links that join two components come out.
+    """
+    groups = components(near).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    of = found.select(F.col("node").alias("rep"), "component")
+    members = groups.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = members.groupBy("group", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("k > 1 AND n > 2").select("group", "main")
+    members = checkpoint(members.join(mixed, "group").withColumn("left", F.col("component") != F.col("main")).select("rep", "group", "component", "left"))
+    texts = _texts(docs, members.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    members = checkpoint(members.join(texts, "rep"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
+    counted = members.groupBy("group").agg(blocks(F.sum(F.octet_length("text"))).alias("all_blocks"), blocks(F.sum(F.when(F.col("left"), F.octet_length("text")).otherwise(0))).alias("left_blocks"))
+    members = members.join(counted, "group")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    cols = members.select("group", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "component", "text")
+    rows = members.filter("left").select("group", place("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "component", "text")
+    return cols.union(rows).groupBy("group", "i", "j").applyInArrow(_block, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component for each node of the links (a, b); component is the smallest node reachable.
 
@@ -171,21 +245,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weight = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
     weighed = buckets.select("bucket", "rep").join(weight, "rep")
     hubs = weighed.groupBy("bucket").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    starred = checkpoint(buckets.select("bucket", "rep").join(hubs, "bucket"))
-    stars = starred.filter("rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y"), F.col("hub").alias("a"), F.col("rep").alias("b"))
+    stars = buckets.select("bucket", "rep").join(hubs, "bucket").filter("rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y"), F.col("hub").alias("a"))
     stars = stars.groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.expr("x + y - a").alias("b"))
-    links = checkpoint(confirm(stars, reps, docs))
+    near = checkpoint(plausible(stars, reps))
+    links = checkpoint(confirm(near, docs))
     found = components(links)
-
-    # what no hub has joined: pairs of different components in one bucket, compared by sketch
-    of = found.select(F.col("node").alias("rep"), "component")
-    placed = starred.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("bucket")
-    rest = placed.join(mixed, "bucket").join(of.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    left = rest.filter("rep <> hub AND NOT component <=> coalesce(hub_component, hub)").select("bucket", "rep", "component")
-    every = rest.filter("rep <> hub").select("bucket", F.col("rep").alias("other"), F.col("component").alias("other_component"))
-    again = left.join(every, "bucket").filter("component <> other_component").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    more = checkpoint(confirm(again, reps, docs))
+    more = checkpoint(behind_hubs(near, found, docs))
     if not more.isEmpty():
         found = components(links.union(more))
 
