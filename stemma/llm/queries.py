@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, licenses, neardup, quality, toxicity, warc
+from . import bpe, decontaminate, fingerprints, langid, licenses, linededup, neardup, quality, toxicity, warc
 from .common import table
 
 
@@ -15,7 +15,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
 
 
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"))
+    done = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey")
+
+
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +31,10 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id")
+
+
 def op7_packed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.likeness_of_edits(table(spark, sf_dir, "documents"))
 
@@ -42,5 +51,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op4_minhash_near_dedup, op5_toxicity_cnn, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op3_line_templates, op4_minhash_near_dedup, op5_toxicity_cnn, op6_template_decontamination, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id)}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archives": r"""
+    WITH p AS (
+      SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+             regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '#.*$', ''), '^[a-z][a-z0-9+.-]*://([^/@]*@)?', '') AS bare FROM pages
+    ), k AS (
+      SELECT *, regexp_replace(regexp_extract(bare, '^[^/?]*'), '^www\d*\.|:\d+$', '', 'g') AS host, regexp_extract(bare, '^[^/?]*(.*)$', 1) AS rest,
+             max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to,
+           CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END END AS urlkey
+    FROM k
+    """,
+    "op4_minhash_near_dedup": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+                              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+    x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d WHERE r.c < e.b),
+    m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+    SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, m.c = s.doc_id AS kept FROM s JOIN m ON m.d = s.doc_id
+    """,
+}
