@@ -347,7 +347,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
                 at += len(texts)
 
-    frame = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    frame = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
     return frame.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 

@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             lang = [names[k] if ok and names else "und" for k, ok in zip(best, lettered)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(far | ~lettered)], [*keep, "lang_pred", "score", "rejected"])
 
-    frame = docs.select(*keep, F.col("text").cast("string").alias("text"), has_letter(F.col("text").cast("string")).alias("lettered"))
+    frame = docs.select(*keep, F.col("text").cast("string").alias("_text"), has_letter(F.col("text").cast("string")).alias("_lettered"))
     kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
     return frame.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
 

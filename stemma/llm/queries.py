@@ -71,7 +71,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op4_minhash_near_dedup": f"""
     WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-    s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+    s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
                               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
     x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
