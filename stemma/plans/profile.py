@@ -32,7 +32,7 @@ def zone_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = counts.groupBy("source", "lang").agg(
         F.sum("c").alias("units"),
         F.sum(F.when(F.col("n") < 10, F.col("c")).otherwise(0)).alias("short_units"),
-        F.percentile("n", F.lit(0.5), "c").alias("p50_chars"),
+        F.percentile("n", F.lit(0.5), F.col("c")).alias("p50_chars"),
         F.array_sort(F.collect_list(F.struct("n", "c"))).alias("h"),
     )
     at = F.least(F.floor(F.col("units") * 95 / 100).cast("long"), F.col("units") - 1)
