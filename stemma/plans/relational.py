@@ -32,7 +32,7 @@ def not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "p04_previous_version",
-    """SELECT doc_id, prev.doc_id AS previous FROM (SELECT o_orderkey AS doc_id, o_custkey, o_orderdate FROM orders) d
+    """SELECT d.doc_id, prev.doc_id AS previous FROM (SELECT o_orderkey AS doc_id, o_custkey, o_orderdate FROM orders) d
     JOIN LATERAL (SELECT o_orderkey AS doc_id FROM orders p WHERE p.o_custkey = d.o_custkey AND p.o_orderdate IS NOT NULL AND p.o_orderdate < d.o_orderdate ORDER BY p.o_orderdate DESC, p.o_orderkey DESC LIMIT 1) prev ON true""",
 )
 def previous_version(spark: SparkSession, sf_dir: str) -> DataFrame:
