@@ -21,7 +21,7 @@ from .common import NOT_ALNUM, fold_latin, has_letter, hash_sample, held_out, le
 BUCKETS = 1 << 13
 CENTROIDS = 4
 #: About so many rows are learned from, over all languages.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 2500
 #: A text is rejected under this share of the cosine that all but a hundredth of training texts of its length reach.
 REJECT_SHARE = 0.4
 
@@ -66,10 +66,15 @@ class Model:
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language index and cosine of each vector; ties go to the first language."""
-        size = np.sqrt((np.square(counts) @ np.square(self.idf)[:, None])[:, 0])
-        cosine = counts @ (self.centroids * self.idf).T / np.maximum(size, 1e-12)[:, None]
-        best = cosine.argmax(axis=1)
-        return self.owner[best], cosine[np.arange(len(best)), best]
+        weights = (self.centroids * self.idf).T
+        owner, most = np.zeros(len(counts), int), np.zeros(len(counts))
+        for a in range(0, len(counts), 256):
+            part = counts[a : a + 256]
+            size = np.linalg.norm(part * self.idf, axis=1)
+            cosine = part @ weights / np.maximum(size, 1e-12)[:, None]
+            best = cosine.argmax(axis=1)
+            owner[a : a + 256], most[a : a + 256] = self.owner[best], cosine[np.arange(len(best)), best]
+        return owner, most
 
 
 def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) -> Model | None:
@@ -78,7 +83,8 @@ def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) ->
         return None
     present = (counts > 0).sum(axis=0)
     idf = (np.log((1 + len(counts)) / (1 + present)) + 1).astype(np.float32)
-    unit = _unit(counts * idf)
+    unit = counts * idf
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
     of = np.array(languages, object)
     owner, centroids = [], []
     for k, name in enumerate(names):
@@ -96,6 +102,8 @@ def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) ->
             seeds = _unit(seeds)
         owner += [k] * len(seeds)
         centroids.append(seeds)
+        del mine
+    del unit
     model = Model(names, np.array(owner), np.vstack(centroids).astype(np.float32), idf, np.zeros(64))
     _, cosine = model.nearest(counts)
     bins = np.log2(np.maximum(sizes, 1)).astype(int)
@@ -112,10 +120,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learns from about ``sample_rows`` rows with text and lang that aren't held out; None if there are none."""
     known = learnable(docs, 3, 1).filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = hash_sample(known, "doc_id", sample_rows).select("text", "lang").toArrow()
-    found = list(vectors(rows["text"]))
-    if not found:
-        return None
-    return fit_vectors(np.vstack([c for _, c, _ in found]), np.concatenate([s for _, _, s in found]), rows["lang"].to_pylist())
+    counts, sizes = np.zeros((len(rows), BUCKETS), np.float32), np.zeros(len(rows), np.int64)
+    for a, part, size in vectors(rows["text"]):
+        counts[a : a + len(part)], sizes[a : a + len(part)] = part, size
+    return fit_vectors(counts, sizes, rows["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
