@@ -13,8 +13,15 @@ HEADING_CHARS = 40
 LEVELS = 3
 PATH_CHARS = 64
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("para_index")
-SO_FAR = BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_doc():
+    """A document's units in order."""
+    return Window.partitionBy("doc_id").orderBy("para_index")
+
+
+def so_far():
+    return by_doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -28,7 +35,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 def last_at(level: int) -> Column:
     """The place of the latest heading of a level up to here, or -1."""
-    return F.coalesce(F.max(F.when(F.col("level") == level, F.col("para_index"))).over(SO_FAR), F.lit(-1))
+    return F.coalesce(F.max(F.when(F.col("level") == level, F.col("para_index"))).over(so_far()), F.lit(-1))
 
 
 def with_sections(frame: DataFrame) -> DataFrame:
@@ -38,7 +45,7 @@ def with_sections(frame: DataFrame) -> DataFrame:
     """
     for k in range(1, LEVELS + 1):
         frame = frame.withColumn(f"_at{k}", last_at(k))
-        frame = frame.withColumn(f"_h{k}", F.last(F.when(F.col("level") == k, F.col("text_norm")), ignorenulls=True).over(SO_FAR))
+        frame = frame.withColumn(f"_h{k}", F.last(F.when(F.col("level") == k, F.col("text_norm")), ignorenulls=True).over(so_far()))
     open_ = []
     for k in range(1, LEVELS + 1):
         test = F.col(f"_at{k}") >= 0
@@ -66,12 +73,12 @@ def anchors(frame: DataFrame) -> DataFrame:
 
 def blocks(frame: DataFrame) -> DataFrame:
     """Adds block_no: every heading opens a block; what comes before the first is block 0."""
-    return frame.withColumn("block_no", F.sum(F.when(F.col("kind") == "hdr", 1).otherwise(0)).over(SO_FAR))
+    return frame.withColumn("block_no", F.sum(F.when(F.col("kind") == "hdr", 1).otherwise(0)).over(so_far()))
 
 
 def block_ends(frame: DataFrame) -> DataFrame:
     """The headings with end_index, the place of the next heading that is not deeper (null at the document's end)."""
-    ahead = BY_DOC.rowsBetween(1, Window.unboundedFollowing)
+    ahead = by_doc().rowsBetween(1, Window.unboundedFollowing)
     end = F.lit(None).cast("int")
     for level in range(1, LEVELS + 1):
         least = F.min(F.when(F.col("level") <= level, F.col("para_index"))).over(ahead)

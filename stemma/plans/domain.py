@@ -260,7 +260,7 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F20, J12d: common path prefixes of neighbours."""
     a = anchors(spark, sf_dir)
-    n = a.select("doc_id", "para_index", F.col("section_path").alias("a"), F.lead("section_path").over(U.BY_DOC).alias("b")).filter("b IS NOT NULL")
+    n = a.select("doc_id", "para_index", F.col("section_path").alias("a"), F.lead("section_path").over(U.by_doc()).alias("b")).filter("b IS NOT NULL")
     n = n.filter((F.size(F.split("a", "/")) <= 3) & (F.size(F.split("b", "/")) <= 3))
     return n.select("doc_id", "para_index", T.path_prefix_ratio(F.col("a"), F.col("b")).alias("ratio"))
 

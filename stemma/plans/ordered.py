@@ -53,7 +53,7 @@ def block_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_packing(spark: SparkSession, sf_dir: str, limit: int = 600) -> DataFrame:
     """Units in order up to a number of characters, stopping at the first that doesn't fit."""
-    total = F.sum(F.length("text_norm") + 2).over(U.SO_FAR)
+    total = F.sum(F.length("text_norm") + 2).over(U.so_far())
     return units(spark, sf_dir).select("doc_id", total.alias("total")).filter(F.col("total") <= limit).groupBy("doc_id").agg(F.count("*").alias("packed"), F.max("total").alias("chars"))
 
 
@@ -88,7 +88,7 @@ def first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def following_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three paragraphs after a heading, ending at the next heading."""
-    ahead = F.collect_list(F.struct("kind", "text_norm")).over(U.BY_DOC.rowsBetween(1, 3))
+    ahead = F.collect_list(F.struct("kind", "text_norm")).over(U.by_doc().rowsBetween(1, 3))
     rows = units(spark, sf_dir).withColumn("ahead", ahead).filter("kind = 'hdr'")
     stop = F.array_position(F.transform("ahead", lambda x: x["kind"]), "hdr")
     items = F.when(stop == 0, F.col("ahead")).otherwise(F.slice("ahead", 1, (stop - 1).cast("int")))
@@ -115,7 +115,7 @@ def first_block_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def preceding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six units before each unit."""
-    w = U.BY_DOC.rowsBetween(-6, -1)
+    w = U.by_doc().rowsBetween(-6, -1)
     return units(spark, sf_dir).select("doc_id", "para_index", F.size(F.collect_list("text_norm").over(w)).alias("n_before"), F.coalesce(F.sum(F.length("text_norm")).over(w), F.lit(0)).alias("chars_before"))
 
 
@@ -126,7 +126,7 @@ def preceding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def heading_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraphs among the two units after a heading, 300 characters."""
-    near = F.collect_list(F.when(F.col("kind") == "p", F.col("text_norm"))).over(U.BY_DOC.rowsBetween(1, 2))
+    near = F.collect_list(F.when(F.col("kind") == "p", F.col("text_norm"))).over(U.by_doc().rowsBetween(1, 2))
     return units(spark, sf_dir).withColumn("near", near).filter("kind = 'hdr'").select("doc_id", "para_index", F.left(F.array_join("near", " "), F.lit(300)).alias("preview"))
 
 
@@ -159,7 +159,7 @@ def mode_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def following_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows after each heading, fifty at most, gathered in order."""
-    ahead = F.collect_list("kind").over(U.BY_DOC.rowsBetween(1, 50))
+    ahead = F.collect_list("kind").over(U.by_doc().rowsBetween(1, 50))
     rows = units(spark, sf_dir).withColumn("ahead", ahead).filter("kind = 'hdr'")
     return rows.select("doc_id", "para_index", F.size("ahead").alias("n_following"), F.when(F.size("ahead") > 0, F.array_join("ahead", ",")).alias("kinds"))
 
@@ -174,7 +174,7 @@ def heading_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ready versions, their headings, and statistics of the window after each."""
     ready = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     docs = table(spark, sf_dir, "documents").join(ready, "doc_id", "left_semi")  # versions go before their units are made
-    w = U.BY_DOC.rowsBetween(1, 50)
+    w = U.by_doc().rowsBetween(1, 50)
     rows = U.units(docs).withColumn("window_rows", F.count("*").over(w)).withColumn("window_chars", F.coalesce(F.sum(F.length("text_norm")).over(w), F.lit(0)))
     return rows.filter("kind = 'hdr'").select("doc_id", "para_index", F.col("text_norm").alias("heading"), "window_rows", "window_chars")
 
