@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces that a worker remembers before it starts afresh.
 MEMO = 300_000
@@ -362,4 +363,4 @@ def decode_ids(frame: DataFrame, path: str, ids: str = "ids", into: str = "text"
             texts = [None if x is None else b"".join(map(tokens.__getitem__, x)).decode(errors="replace") for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return frame.mapInArrow(run, frame.schema.add(into, "string"))
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(into, T.StringType())]))

@@ -110,7 +110,8 @@ def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) ->
     least = 0.0
     for k in range(64):
         mine = cosine[(bins == k) & (sizes > 0)]
-        # a few texts say little about the rarest; longer texts are asked for no less than shorter ones
+        if len(mine) < 20:  # a few texts say little; shorter ones ask for less
+            mine = cosine[(bins <= k) & (sizes > 0)]
         least = max(least, float(np.quantile(mine, 0.01)) * REJECT_SHARE) if len(mine) >= 20 else least
         model.floor[k] = least
     return model
