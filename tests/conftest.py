@@ -1,8 +1,11 @@
 """One local session for all tests."""
 
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # several workers share the cores
+
 import pytest
 from pyspark.sql import SparkSession
 
