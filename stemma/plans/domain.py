@@ -36,19 +36,19 @@ _FACTS = f"fact AS (SELECT user_id, event_type AS fact_key, CAST(CAST(round(valu
 
 @R.query(
     "d04_fact_upsert",
-    f"""WITH {_FACTS}, old AS (SELECT user_id, fact_key, min_by(value, event_id) AS value, min_by(confidence, event_id) AS confidence FROM fact WHERE event_id % 2 = 0 GROUP BY ALL),
-    o AS (SELECT *, CASE WHEN confidence >= 0.5 THEN 'validated' ELSE 'extracted' END AS status FROM old),
-    n AS (SELECT user_id, fact_key, min_by(value, event_id) AS nv, min_by(confidence, event_id) AS nc FROM fact WHERE event_id % 2 = 1 GROUP BY ALL)
+    f"""WITH {_FACTS}, old AS (SELECT user_id, fact_key, min_by(value, event_id) AS value, min_by(confidence, event_id) AS confidence FROM fact WHERE confidence < 0.5 GROUP BY ALL),
+    o AS (SELECT *, CASE WHEN confidence >= 0.25 THEN 'validated' ELSE 'extracted' END AS status FROM old),
+    n AS (SELECT user_id, fact_key, min_by(value, event_id) AS nv, min_by(confidence, event_id) AS nc FROM fact WHERE confidence >= 0.5 GROUP BY ALL)
     SELECT user_id, fact_key, CASE WHEN status = 'validated' OR nv IS NULL THEN value ELSE nv END AS value,
     CASE WHEN status IS NULL THEN CASE WHEN nc >= 0.8 THEN 'extracted' ELSE 'needs_review' END WHEN status = 'validated' OR nv IS NULL OR nv = value THEN status ELSE 'needs_review' END AS status
     FROM o FULL JOIN n USING (user_id, fact_key)""",
 )
 def fact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New facts over old ones with their states."""
+    """Confident facts over the others as old ones, with their states."""
     f = _event_facts(spark, sf_dir).withColumn("fact_type", F.lit("event"))
     pick = lambda d: d.groupBy("user_id", "fact_type", "fact_key").agg(F.min_by("value", "event_id").alias("value"), F.min_by("confidence", "event_id").alias("confidence"))
-    old = pick(f.filter("event_id % 2 = 0")).withColumn("status", F.when(F.col("confidence") >= 0.5, "validated").otherwise("extracted"))
-    return X.upsert(old, pick(f.filter("event_id % 2 = 1")), "user_id").select("user_id", "fact_key", "value", "status")
+    old = pick(f.filter("confidence < 0.5")).withColumn("status", F.when(F.col("confidence") >= 0.25, "validated").otherwise("extracted"))
+    return X.upsert(old, pick(f.filter("confidence >= 0.5")), "user_id").select("user_id", "fact_key", "value", "status")
 
 
 @R.query(
@@ -75,14 +75,13 @@ def fact_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "d07_conflicts",
-    f"""WITH {_FACTS}, g AS (SELECT user_id, fact_key, value, max(confidence) AS c FROM fact WHERE event_id % 7 = 0 GROUP BY ALL)
+    f"""WITH {_FACTS}, g AS (SELECT user_id, fact_key, value, max(confidence) AS c FROM fact GROUP BY ALL)
     SELECT user_id, fact_key, count(*) AS "values", CASE WHEN count(*) FILTER (c >= 0.8) >= 2 THEN 'block' ELSE 'warn' END AS severity,
     count(*) FILTER (c >= 0.8) < 2 AND count(*) FILTER (c >= 0.8) = 1 AND count(*) FILTER (c < 0.5) = count(*) - 1 AS auto_resolve FROM g GROUP BY ALL HAVING count(*) > 1""",
 )
 def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unequal values of one fact. Every seventh event is evidence here (the feature's input, not a cap)."""
-    e = _event_facts(spark, sf_dir).filter("event_id % 7 = 0")
-    return X.conflicts(e, key="user_id").select("user_id", "fact_key", "values", "severity", "auto_resolve")
+    """Unequal values of one fact."""
+    return X.conflicts(_event_facts(spark, sf_dir), key="user_id").select("user_id", "fact_key", "values", "severity", "auto_resolve")
 
 
 @R.query(
@@ -189,17 +188,17 @@ def context(spark: SparkSession, sf_dir: str, limit: int = 800) -> DataFrame:
 
 @R.query(
     "d16_generated_checks",
-    """WITH s AS (SELECT DISTINCT o_custkey AS section FROM orders WHERE o_custkey % 3 = 0), c AS (SELECT o_custkey AS section, o_orderkey AS a FROM orders WHERE o_custkey % 3 = 0 AND o_custkey % 2 = 0),
+    """WITH s AS (SELECT c_custkey AS section FROM customer), c AS (SELECT o_custkey AS section, o_orderkey AS a FROM orders WHERE o_orderstatus = 'P'),
     known AS (SELECT DISTINCT l_orderkey AS a FROM lineitem), ok AS (SELECT DISTINCT l_orderkey AS a FROM lineitem WHERE l_quantity > 25)
     SELECT section, 'missing_anchor' AS "check", CAST(a AS VARCHAR) AS anchor_id FROM c WHERE a NOT IN (SELECT a FROM known) UNION ALL SELECT section, 'outside_source', CAST(a AS VARCHAR) FROM c WHERE a IN (SELECT a FROM known) AND a NOT IN (SELECT a FROM ok)
     UNION ALL SELECT section, 'uncited', NULL FROM s WHERE section NOT IN (SELECT section FROM c)""",
 )
 def generated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations that point nowhere or outside the sources, and sections without any."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").cast("string").alias("anchor_id"))
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").cast("string").alias("anchor_id"))
     lines = table(spark, sf_dir, "lineitem")
     key = F.col("l_orderkey").cast("string").alias("anchor_id")
-    return Q.uncited(o.select("section").distinct(), o.filter("section % 2 = 0"), lines.select(key).distinct(), lines.filter("l_quantity > 25").select(key).distinct())
+    return Q.uncited(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("section")), o, lines.select(key).distinct(), lines.filter("l_quantity > 25").select(key).distinct())
 
 
 @R.query("a30_heading_clusters")

@@ -226,7 +226,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n_regionkey, s_nationkey, weight FROM x QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY weight DESC, s_nationkey) <= 3""",
 )
 def crosswalk_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "s_nationkey").agg(F.count("*").alias("weight"))
+    x = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "s_nationkey").agg(F.count("*").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("weight"), "s_nationkey"))
     return x.withColumn("r", rank).filter("r <= 3").select("n_regionkey", "s_nationkey", "weight")
 

@@ -122,11 +122,11 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", docx.sanitize_name(F.col("url")).alias("name"))
 
 
-@R.query("s23_unseen_content", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@R.query("s23_unseen_content", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
 def unseen_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What has content that the even documents don't have (they stand for those already processed)."""
+    """What has content that no labelled document has (labelled ones were processed)."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
-    return docx.unseen(d, d.filter("doc_id % 2 = 0")).select("doc_id")
+    return docx.unseen(d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")).select("doc_id")
 
 
 @R.query(
