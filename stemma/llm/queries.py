@@ -69,6 +69,22 @@ ORACLE_SQL: dict[str, str] = {
            CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END END AS urlkey
     FROM k
     """,
+    "op3_line_templates": r"""
+    WITH line AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+    tidy AS (SELECT doc_id, place, trim(regexp_replace(lower(raw), '[\x09-\x0D\x20]+', ' ', 'g')) AS t FROM line),
+    m AS (SELECT doc_id, place, CASE WHEN regexp_matches(t, '[0-9]') THEN regexp_replace(t, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE t END AS masked FROM tidy),
+    u AS (SELECT * FROM (SELECT *, lag(masked) OVER w AS prv, lead(masked) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY place)) WHERE masked <> ''),
+    kind AS (SELECT masked, n, string_split(masked, ' ') AS tk, len(string_split(masked, ' ')) AS c, array_to_string(string_split(masked, ' ')[1:3], ' ') AS head FROM (SELECT masked, count(*) AS n FROM u GROUP BY masked)),
+    seed AS (SELECT c, head, masked, tk FROM kind QUALIFY row_number() OVER (PARTITION BY c, head ORDER BY n DESC, masked DESC) = 1),
+    tmpl AS (SELECT k.masked, CASE WHEN len(list_filter(list_zip(k.tk, s.tk), lambda x: x[1] = x[2])) >= 0.7 * k.c THEN s.masked ELSE k.masked END AS template FROM kind k JOIN seed s USING (c, head)),
+    placed AS (SELECT doc_id, place, template, prv, nxt FROM u JOIN tmpl USING (masked)),
+    spot AS (SELECT template, count(*) AS spots FROM (SELECT DISTINCT template, prv, nxt FROM placed) GROUP BY template),
+    spread AS (SELECT template, count(DISTINCT doc_id) AS docs, min(struct_pack(d := doc_id, p := place)) AS first FROM placed GROUP BY template),
+    drops AS (SELECT DISTINCT doc_id, place FROM placed JOIN spot USING (template) JOIN spread USING (template) WHERE spots >= 3 AND docs >= 3 AND spots >= 0.5 * docs AND struct_pack(d := doc_id, p := place) <> first),
+    kept AS (SELECT line.doc_id, count(*) AS n_lines, count(drops.place) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY line.place) FILTER (drops.place IS NULL), '') AS k FROM line LEFT JOIN drops USING (doc_id, place) GROUP BY line.doc_id),
+    done AS (SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN regexp_matches(k, '[^\x09-\x0D\x20]') THEN n_dropped ELSE 0 END AS n_dropped, CASE WHEN n_dropped > 0 AND regexp_matches(k, '[^\x09-\x0D\x20]') THEN k ELSE coalesce(text, '') END AS t FROM documents JOIN kept USING (doc_id))
+    SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, CAST(length(t) AS BIGINT) AS kept_chars, sha256(t) AS kept_sha256 FROM done
+    """,
     "op4_minhash_near_dedup": f"""
     WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
     s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
