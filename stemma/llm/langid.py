@@ -23,7 +23,7 @@ CENTROIDS = 4
 #: About so many rows are learned from, over all languages.
 SAMPLE_ROWS = 2500
 #: A text is rejected under this share of the cosine that all but a hundredth of training texts of its length reach.
-REJECT_SHARE = 0.4
+REJECT_SHARE = 0.25
 
 _BLANK = NOT_ALNUM.copy()
 _BLANK[0x30:0x3A] = True
