@@ -5,9 +5,11 @@ permutation); an empty bin copies a full bin found by the optimal densification
 make a band. Equal sets are one class before anything is compared, so a group of exact copies costs
 one row. In each bucket one hub, the member that meets most others over all its bands, is paired
 with the rest: a bucket of m members gives m - 1 pairs. A sketch estimate well below the limit ends
-a pair; every other pair is confirmed on the full sets. Members that a hub did not join to the rest
-of their group are compared with the whole group in blocks of bounded size, so that no link is lost
-behind a hub; a block gives only the links that join components.
+a pair; every other pair is confirmed on the full sets. Members of a bucket that are in different
+groups after that are compared with each other by their sketches, so that no pair is lost because
+its hub is like neither end. Members that a hub did not join to the rest of their group are compared
+with the whole group, so that no link is lost behind a hub. Both run in blocks of bounded size, which
+give only the pairs that join groups or components.
 
 Components come from alternating large-star and small-star steps over the confirmed links, as
 DataFrames; nothing but counts reaches the driver.
@@ -123,6 +125,49 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
 
 
+#: Members of a bucket aimed at for one side of a block.
+BLOCK_ROWS = 8192
+
+
+def _apart(table: pa.Table) -> pa.Table:
+    """Plausible pairs between the rows outside the bucket's largest group and the members of one block, as far as they join groups."""
+    ids, label, left = table["rep"].to_numpy(), table["group"].to_numpy().copy(), table["left"].to_numpy()
+    s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, BINS)
+    cols = np.flatnonzero(~left)
+    others = np.ascontiguousarray(s[cols].T)
+    a, b = [], []
+    for i in np.flatnonzero(left):
+        agree = np.add.reduce(others == s[i][:, None], axis=0, dtype=np.uint8)
+        hits = cols[agree >= LEAST_AGREEING]
+        while len(hits := hits[label[hits] != label[i]]):
+            a.append(int(ids[i]))
+            b.append(int(ids[hits[0]]))
+            label[label == label[hits[0]]] = label[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def behind_buckets(buckets: DataFrame, hubs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of members that share a bucket and that no hub brought into one group.
+
+    ``buckets``: bucket, rep; ``hubs``: bucket, hub; ``groups``: node, component of the plausible pairs
+    with hubs. A hub has met all of its bucket; buckets with the same other members are looked at
+    once. Only pairs that join two groups come out.
+    """
+    met = buckets.select("bucket", "rep").join(hubs, "bucket").filter("rep <> hub").select("bucket", "rep")
+    met = met.join(groups.toDF("rep", "group"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    sizes = met.groupBy("bucket", "group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max(F.struct("n", "group")).alias("main")).filter("k > 1")
+    mixed = mixed.groupBy("n", "h").agg(F.min(F.struct("bucket", "main")).alias("m")).select("m.bucket", "n", F.col("m.main.group").alias("main"), F.col("m.main.n").alias("in_main"))
+    blocks = lambda size: F.ceil(size / BLOCK_ROWS).cast("int")
+    mixed = mixed.select("bucket", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("in_main")).alias("left_blocks"))
+    members = checkpoint(met.join(mixed, "bucket").withColumn("left", F.col("group") != F.col("main")))
+    members = members.join(reps.select("rep", "sketch"), "rep")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    cols = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "group", "sketch")
+    rows = members.filter("left").select("bucket", place("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "group", "sketch")
+    return cols.union(rows).groupBy("bucket", "i", "j").applyInArrow(_apart, "a long, b long").distinct()
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and text of the documents whose id is among ``ids``; of repeated ids the first text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -179,13 +224,13 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def behind_hubs(near: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that pass no hub: in a group of plausible pairs, between members outside its largest component and all others.
+def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that pass no hub: in a group (node, component) of plausible pairs, between members outside its largest component and all others.
 
     Both sides come in blocks of bounded bytes, each pair of blocks is one task's work, and only
     links that join two components come out.
     """
-    groups = components(near).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    groups = groups.toDF("rep", "group")
     of = found.select(F.col("node").alias("rep"), "component")
     members = groups.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = members.groupBy("group", "component").agg(F.count("*").alias("n"))
@@ -248,9 +293,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = buckets.select("bucket", "rep").join(hubs, "bucket").filter("rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y"), F.col("hub").alias("a"))
     stars = stars.groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.expr("x + y - a").alias("b"))
     near = checkpoint(plausible(stars, reps))
+    groups = components(near)
+    apart = checkpoint(behind_buckets(buckets, hubs, groups, reps))
+    if not apart.isEmpty():
+        near = near.union(apart)
+        groups = components(near)
     links = checkpoint(confirm(near, docs))
     found = components(links)
-    more = checkpoint(behind_hubs(near, found, docs))
+    more = checkpoint(behind_hubs(groups, found, docs))
     if not more.isEmpty():
         found = components(links.union(more))
 

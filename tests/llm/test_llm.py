@@ -194,6 +194,29 @@ def test_links_behind_hubs(spark):
     assert [(r.n_shingles, r.component_id) for r in got] == _components(texts)
 
 
+def test_links_in_buckets_of_unlike_hubs(spark, monkeypatch):
+    """Two alike documents share buckets only where a heavier document, like neither of them, is the hub."""
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    x, heavy, other = own(200), own(200), own(200)
+    y = x[:190] + own(10)
+    heavy[:60] = x[:60]
+    copies = [heavy[:199] + own(1) for _ in range(4)]
+    texts = [" ".join(t) for t in (x, y, *copies, other)]
+    assert all(len(_shingles(texts[i]) & _shingles(texts[j])) < 0.5 * len(_shingles(texts[i]) | _shingles(texts[j])) for i in (0, 1) for j in range(2, 7))
+    # x, y and one of the heavy ones meet in one bucket; the heavy ones meet in another
+    meet = {0: [1], 1: [1], 2: [1, 2], 3: [2], 4: [2], 5: [2], 6: [1]}
+    known = neardup.sketches(docs(spark, texts)).collect()
+    rows = [(r.doc_id, r.n_shingles, r.set_key, r.sketch, meet[r.doc_id]) for r in known]
+    held = spark.createDataFrame(rows, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    monkeypatch.setattr(neardup, "sketches", lambda _: held)
+    for size in (neardup.BLOCK_ROWS, 1):
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", size)
+        got = sorted(neardup.near_duplicates(docs(spark, texts)).collect())
+        assert [(r.n_shingles, r.component_id) for r in got] == _components(texts)
+        assert [r.component_id for r in got][:2] == [0, 0]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark)).collect()
     assert len(got) == 7 and sum(r.doc_id == 4 and r.component_id == 4 for r in got) == 2
