@@ -21,7 +21,8 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 #: label | keyword | regex over words joined by single spaces
 FAMILIES = """
-mit | mit | (?:mit|expat) licen[cs]e
+mit | mit | mit licen[cs]e
+mit | expat | expat licen[cs]e
 mit-0 | mit | mit no attribution(?: licen[cs]e)?|mit 0 licen[cs]e
 x11 | x11 | x11 licen[cs]e
 apache-2 | apache | apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?|apache 2(?: 0)?
@@ -98,6 +99,68 @@ proprietary | all rights reserved | all rights reserved
 public-domain | public domain | (?:in|into) the public domain|public domain dedication
 """
 
+#: label | regex over the words of an SPDX identifier, which names a license without its prose name
+SPDX = """
+mit | mit(?! (?:0|advertising|click|cmu|enna|feh|festival|khronos|modern|open|stk|testregex|wu) )
+mit-0 | mit 0
+x11 | x11(?! (?:distribute|swapped) )
+apache-2 | apache 2 0
+apache-1.1 | apache 1 1
+apache-1.0 | apache 1 0
+gpl-3 | gpl 3 0(?: only| or later)?
+gpl-2 | gpl 2 0(?: only| or later)?
+gpl-1 | gpl 1 0(?: only| or later)?
+lgpl-3 | lgpl 3 0(?: only| or later)?
+lgpl-2.1 | lgpl 2 1(?: only| or later)?
+lgpl-2 | lgpl 2 0(?: only| or later)?
+agpl-3 | agpl 3 0(?: only| or later)?
+agpl | agpl 1 0(?: only| or later)?
+fdl-1.3 | gfdl 1 3(?: no invariants| invariants)?(?: only| or later)?
+fdl | gfdl 1 [12](?: no invariants| invariants)?(?: only| or later)?
+mpl-2 | mpl 2 0(?: no copyleft exception)?
+mpl-1.1 | mpl 1 1
+mpl | mpl 1 0
+epl-2 | epl 2 0
+epl-1 | epl 1 0
+cddl-1 | cddl 1 [01]
+cpl-1 | cpl 1 0
+bsd-2 | bsd 2 clause(?! (?:darwin|first|patent|pkgconf|views) )
+bsd-3 | bsd 3 clause(?! (?:acpica|attribution|clear|flex|hp|lbnl|modification|no|open|sun) )
+bsd-4 | bsd 4 clause(?! (?:shortened|uc) )
+isc | isc(?! veillard )
+zlib | zlib(?! acknowledgement )
+bsl-1 | bsl 1 0
+unlicense | unlicense
+wtfpl | wtfpl
+cc0 | cc0 1 0
+cc-by | cc by [1-4] [05]
+cc-by-sa | cc by sa [1-4] [05]
+cc-by-nd | cc by nd [1-4] [05]
+cc-by-nc | cc by nc [1-4] [05]
+cc-by-nc-sa | cc by nc sa [1-4] [05]
+cc-by-nc-nd | cc by nc nd [1-4] [05]
+ofl-1.1 | ofl 1 1(?: no rfn| rfn)?
+artistic-2 | artistic 2 0
+artistic-1 | artistic 1 0(?: cl8| perl)?
+eupl-1.2 | eupl 1 2
+eupl | eupl 1 [01]
+ms-pl | ms pl
+ms-rl | ms rl
+psf-2 | psf 2 0|python 2 0
+php-3 | php 3 01?
+ruby | ruby
+postgresql | postgresql
+openssl | openssl
+ncsa | ncsa
+afl-3 | afl 3 0
+osl-3 | osl 3 0
+upl-1 | upl 1 0
+ecl-2 | ecl 2 0
+odbl | odbl 1 0
+w3c | w3c
+vim | vim
+"""
+
 #: How a license is spoken of: priority, confidence, and what stands around the name.
 FORMS = (
     (5, 1.0, r"spdx licen[cs]e identifier (?:{name})"),
@@ -112,8 +175,12 @@ KEYWORDS = ("licen", "all rights reserved", "public domain", "redistribution and
 
 
 def rules() -> list[tuple[int, str, int, float, str, str]]:
-    """(place, label, priority, confidence, keyword, pattern) of every rule, in order."""
+    """(place, label, priority, confidence, keyword, pattern) of every rule, in order; SPDX identifiers come first."""
     out = []
+    for line in SPDX.strip().splitlines():
+        label, name = (x.strip() for x in line.split(" | ", 1))
+        priority, confidence, form = FORMS[0]
+        out.append((len(out), label, priority, confidence, "spdx", f"(?<= )(?:{form.format(name=name)})(?= )"))
     for line in FAMILIES.strip().splitlines():
         label, keyword, name = (x.strip() for x in line.split(" | ", 2))
         for priority, confidence, form in FORMS:

@@ -391,6 +391,14 @@ def test_license_suppression(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_spdx_identifiers_and_expat(spark):
+    named = {"MIT": "mit", "ISC": "isc", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "Zlib": "zlib", "BSL-1.0": "bsl-1", "Artistic-2.0": "artistic-2", "MIT-0": "mit-0", "LGPL-2.1": "lgpl-2.1", "LGPL-2.1-or-later": "lgpl-2.1", "GPL-3.0-only": "gpl-3", "BSD-3-Clause": "bsd-3", "MIT-CMU": ""}
+    texts = [f"// SPDX-License-Identifier: {k}\nint main" for k in named]
+    got = sorted(licenses.scan(docs(spark, [*texts, "Released under the Expat License."])).collect())
+    assert [r.labels for r in got] == [*named.values(), "mit"]
+    assert [r.score for r in got] == [1.0 if v else 0.0 for v in named.values()] + [0.95]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
