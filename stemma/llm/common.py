@@ -6,6 +6,7 @@ time, so that a worker's memory depends on ``CHUNK_BYTES`` and the longest text,
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,11 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); one of our own where it is unset in local mode.
+
+    On a cluster a folder of the driver's machine is of no use to executors, so there an unset folder is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stemma-checkpoint-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get()
@@ -48,6 +54,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def without(names, *results: str) -> tuple[str, ...]:
+    """The column names that aren't, in any case, the name of a result."""
+    taken = {r.lower() for r in results}
+    return tuple(k for k in names if k.lower() not in taken)
+
+
+def as_row(docs: DataFrame, name: str = "row"):
+    """All columns of ``docs`` as one struct column, out of the way of other names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only (``lower`` would also fold other scripts)."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -3,7 +3,8 @@
 A text's vector holds log(1 + count) x idf of hashed byte trigrams of its letters (lower case,
 everything else a space), normalised. Each language has up to CENTROIDS centroids from spherical
 k-means. The language of the closest centroid by cosine wins; a text whose cosine is far below
-what texts of its length reach in training is rejected.
+what passages of its length reach in training is rejected. What they reach is measured on passages
+of every length, cut out of the training texts, so that short texts are held to a limit as well.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, fold_latin, has_letter, hash_sample, held_out, learnable, text_chunks
+from .common import NOT_ALNUM, fold_latin, has_letter, hash_sample, held_out, learnable, text_chunks, without
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
 #: About so many rows are learned from, over all languages.
 SAMPLE_ROWS = 2500
-#: A text is rejected under this share of the cosine that all but a hundredth of training texts of its length reach.
-REJECT_SHARE = 0.25
+#: A text is rejected under this share of the cosine that all but a twentieth of training passages of its length reach.
+REJECT_SHARE = 0.36
+#: Passages of each length, in powers of two, that set the limits; fewer than LEAST_PASSAGES set none of their own.
+PASSAGES, LEAST_PASSAGES, LENGTHS = 400, 20, 15
 
 _BLANK = NOT_ALNUM.copy()
 _BLANK[0x30:0x3A] = True
@@ -64,6 +68,10 @@ class Model:
     idf: np.ndarray
     floor: np.ndarray  # least cosine by the binary logarithm of the number of trigrams
 
+    def limit(self, sizes: np.ndarray) -> np.ndarray:
+        """The least cosine of texts with so many trigrams."""
+        return np.interp(np.log2(np.maximum(sizes, 1)), np.arange(len(self.floor)), self.floor)
+
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language index and cosine of each vector; ties go to the first language."""
         weights = (self.centroids * self.idf).T
@@ -104,27 +112,39 @@ def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) ->
         centroids.append(seeds)
         del mine
     del unit
-    model = Model(names, np.array(owner), np.vstack(centroids).astype(np.float32), idf, np.zeros(64))
-    _, cosine = model.nearest(counts)
-    bins = np.log2(np.maximum(sizes, 1)).astype(int)
+    return Model(names, np.array(owner), np.vstack(centroids).astype(np.float32), idf, np.zeros(LENGTHS))
+
+
+def fit_limits(model: Model, texts: list[str], seed: int = 11) -> None:
+    """Sets the least cosine for every length from passages of that length, cut out of ``texts`` at random.
+
+    A length for which the texts give too few passages takes the limit of the length below it.
+    """
+    rng = np.random.default_rng(seed)
     least = 0.0
-    for k in range(64):
-        mine = cosine[(bins == k) & (sizes > 0)]
-        if len(mine) < 20:  # a few texts say little; shorter ones ask for less
-            mine = cosine[(bins <= k) & (sizes > 0)]
-        least = max(least, float(np.quantile(mine, 0.01)) * REJECT_SHARE) if len(mine) >= 20 else least
+    for k in range(LENGTHS):
+        long_enough = [t for t in texts if len(t) >= (1 << k) + 2]
+        if len(long_enough) >= LEAST_PASSAGES:
+            passages = []
+            for i in rng.integers(len(long_enough), size=PASSAGES):
+                at = int(rng.integers(len(long_enough[i]) - (1 << k) - 1))
+                passages.append(long_enough[i][at : at + (1 << k) + 2])
+            cosine = np.concatenate([model.nearest(counts)[1][sizes > 0] for _, counts, sizes in vectors(pa.array(passages, pa.string()))])
+            least = max(least, float(np.quantile(cosine, 0.05)) * REJECT_SHARE) if len(cosine) >= LEAST_PASSAGES else least
         model.floor[k] = least
-    return model
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learns from about ``sample_rows`` rows with text and lang that aren't held out; None if there are none."""
     known = learnable(docs, 3, 1).filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = hash_sample(known, "doc_id", sample_rows).select("text", "lang").toArrow()
+    rows = hash_sample(known, "doc_id", sample_rows).select(F.xxhash64("doc_id").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     counts, sizes = np.zeros((len(rows), BUCKETS), np.float32), np.zeros(len(rows), np.int64)
     for a, part, size in vectors(rows["text"]):
         counts[a : a + len(part)], sizes[a : a + len(part)] = part, size
-    return fit_vectors(counts, sizes, rows["lang"].to_pylist())
+    model = fit_vectors(counts, sizes, rows["lang"].to_pylist())
+    if model:
+        fit_limits(model, [x for x, n in zip(rows["text"].to_pylist(), sizes) if n])
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -133,8 +153,11 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     A null text or one without a letter is ``und``, score 0, rejected. Others get a learned
     language, and are rejected if they lie too far from all centroids. Without a model everything is
     ``und``, and only what has no letter is rejected. Ties go to the alphabetically first language.
+    Repeated rows give repeated results, and an empty table none. A column of ``keep`` that is named
+    like a result gives way to it; to carry columns of any name, pack them into one struct.
     """
     names = model.languages if model else []
+    keep = without(keep, "lang_pred", "score", "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,18 +170,21 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                     best[a:b], cosine[a:b] = model.nearest(counts)
                     sizes[a:b] = size
             score = np.where(lettered, np.clip(cosine, 0, 1), 0.0)
-            far = score < model.floor[np.log2(np.maximum(sizes, 1)).astype(int)] if model else np.zeros(n, bool)
+            far = score < model.limit(sizes) if model else np.zeros(n, bool)
             lang = [names[k] if ok and names else "und" for k, ok in zip(best, lettered)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(far | ~lettered)], [*keep, "lang_pred", "score", "rejected"])
 
-    frame = docs.select(*keep, F.col("text").cast("string").alias("_text"), has_letter(F.col("text").cast("string")).alias("_lettered"))
-    kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
-    return frame.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    text = F.col("text").cast("string")
+    frame = docs.select(*(F.col(f"`{k}`") for k in keep), text, has_letter(text))
+    results = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[: len(keep)], *results.fields]))
 
 
 def language_of(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every document; learned from rows that aren't held out.
 
-    ``lang``, ``source`` and ``doc_id`` are never inputs of a prediction.
+    ``lang``, ``source`` and ``doc_id`` are never inputs of a prediction. Rows with a null doc_id are
+    never learned from and count as not held out; other columns of any name are ignored. A null,
+    empty or letterless text is ``und`` with score 0; an empty table gives no rows.
     """
     return identify(docs, fit(docs)).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")

@@ -16,7 +16,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
 
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey")
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "history_no", "previous_page_id")
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,13 @@ ORACLE_SQL: dict[str, str] = {
     ), k AS (
       SELECT *, regexp_replace(regexp_extract(bare, '^[^/?]*'), '^www\d*\.|:\d+$', '', 'g') AS host, regexp_extract(bare, '^[^/?]*(.*)$', 1) AS rest,
              max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
+    ), c AS (
+      SELECT page_id, payload_bytes, payload_digest,
+             CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+             CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to,
+             regexp_replace(CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END END, '\s', '%20', 'g') AS urlkey FROM k
     )
-    SELECT page_id, payload_bytes, payload_digest,
-           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to,
-           CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END END AS urlkey
-    FROM k
+    SELECT *, row_number() OVER h AS history_no, lag(page_id) OVER h AS previous_page_id FROM c WINDOW h AS (PARTITION BY urlkey ORDER BY page_id)
     """,
     "op3_line_templates": r"""
     WITH line AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),

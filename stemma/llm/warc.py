@@ -2,9 +2,12 @@
 
 Pages are sorted by URL key within the partition they are in (payloads aren't shuffled for it) and
 written by Spark's text writer with the WARC record end as its line end, so archives are plain
-WARC/1.1 files on any file system Spark can write. Reading parses each archive by Content-Length and gives one capture run per file,
-locally sorted by URL key and time. The runs are dealt out by ranges of (URL key, time, page), so a
-URL with very many captures spreads over ranges, and a loser tree merges the runs of a range.
+WARC/1.1 files on any file system Spark can write. Reading parses each archive by Content-Length and
+gives one capture run per file, locally sorted by URL key and time. The runs are dealt out by ranges
+of (URL key, time, page), so a URL with very many captures spreads over ranges, and a loser tree
+merges the runs of a range. The merged order numbers every capture within its URL's history and
+links it to the capture before it; what a range can't know of the ranges before it comes from a
+summary of two rows a range.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, shared_path
@@ -22,7 +26,10 @@ from .common import checkpoint, shared_path
 LEAST_REVISIT = 1000
 #: Payload bytes aimed at for one archive file.
 ARCHIVE_BYTES = 16 << 20
-#: A table of revisits (two integers a row) is broadcast up to this many rows, and joined by a shuffle beyond.
+#: Larger payloads go to archives of their own, of which none exceeds MOST_ARCHIVE (binary files end at 2 GB).
+LARGE_BYTES = 1 << 20
+MOST_ARCHIVE = 1 << 30
+#: A table of integers and keys is broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 #: Captures start here, one second apart by page_id, as the pages table holds no times.
 EPOCH = 1_700_000_000
@@ -32,14 +39,21 @@ _END = b"\r\n\r\n"
 def url_key(url):
     """The sort key of a URL: host labels reversed, then the path and query in lower case; scheme, port, www. and fragment go.
 
-    ``http://www.B.a.com:80/X?q=1#f`` gives ``com,a,b)/x?q=1``. A null URL gives an empty key.
+    ``http://www.B.a.com:80/X?q=1#f`` gives ``com,a,b)/x?q=1``. White space inside becomes ``%20``. A
+    null URL gives an empty key.
     """
     bare = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"#.*$", "")
     bare = F.regexp_replace(bare, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?", "")
     host = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*", 0), r"^www\d*\.|:\d+$", "")
     rest = F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
     labels = F.array_join(F.reverse(F.split(host, r"\.")), ",")
-    return F.when(bare == "", "").otherwise(F.concat(labels, F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
+    key = F.when(bare == "", "").otherwise(F.concat(labels, F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
+    return F.regexp_replace(key, r"\s", "%20")
+
+
+def utc_text(seconds):
+    """Seconds since 1970 as ``2023-11-14T22:13:20Z``, whatever the session's time zone."""
+    return F.concat(F.replace((F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def _record(kind: str):
@@ -50,10 +64,10 @@ def _record(kind: str):
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"\s", "%20")
     return F.concat(
         F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\n"),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
         line("WARC-Target-URI", uri),
-        line("WARC-Date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        line("X-URL-Key", F.regexp_replace("urlkey", r"\s", "%20")),
+        line("WARC-Date", utc_text(F.col("ts"))),
+        line("X-URL-Key", F.col("urlkey")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         *([line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))] if kind == "revisit" else []),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
@@ -66,24 +80,31 @@ def _record(kind: str):
 def write_archives(pages: DataFrame, path: str) -> None:
     """Writes one record per page under ``path``; of equal payloads of LEAST_REVISIT bytes or more the largest page_id is stored.
 
-    A null html is an empty payload. Each partition's file is sorted by URL key, time and page_id.
-    Rows with a null page_id are left out: a capture needs an identity. An empty table writes an
+    A null html is an empty payload. Each partition's file is sorted by URL key, time and page_id. A
+    row with a null page_id is a response with an empty page number, captured at EPOCH. Rows that
+    repeat a page_id with different payloads are captures of their own. An empty table writes an
     archive without records.
     """
-    base = pages.filter("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("urlkey", url_key(F.col("url")))
-    base = base.withColumn("ts", F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id")))
-    # only repeated large payloads are looked up; their table is a row per group
-    sized = base.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= LEAST_REVISIT)
-    stored = sized.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    revisits = checkpoint(sized.join(stored, "digest").filter("page_id <> first_id").select("page_id", F.col("first_id").alias("refers_to")).distinct())
+    base = base.withColumn("ts", F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))
+    # one pass over the payloads; what follows looks at a digest and a size per page
+    sized = checkpoint(base.select("page_id", "digest", F.octet_length("payload").alias("size")))
+    large = sized.filter(F.col("size") >= LEAST_REVISIT)
+    stored = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
+    revisits = large.join(stored, "digest").filter("page_id <> first_id").select("page_id", "digest", F.col("first_id").alias("refers_to"))
+    revisits = checkpoint(revisits.groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to")))
     few = revisits.count() <= BROADCAST_ROWS
-    size = base.agg(F.avg(F.octet_length("payload")).alias("b")).first().b or 0
-    per_file = max(1, int(ARCHIVE_BYTES / (size + 500)))
-    joined = base.join(F.broadcast(revisits) if few else revisits, "page_id", "left")
+    joined = base.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left")
     text = F.when(F.col("refers_to").isNull(), _record("response")).otherwise(_record("revisit"))
-    laid = joined.sortWithinPartitions("urlkey", "ts", "page_id")
-    laid.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    huge = F.col("size") > LARGE_BYTES
+    of = sized.agg(F.avg(F.when(~huge, F.col("size"))).alias("usual"), F.max(F.when(huge, F.col("size"))).alias("most")).first()
+    kinds = [(F.octet_length("payload") <= LARGE_BYTES, min(MOST_ARCHIVE // max(1, LARGE_BYTES), int(ARCHIVE_BYTES / ((of.usual or 0) + 500))))]
+    if of.most:
+        kinds.append((F.octet_length("payload") > LARGE_BYTES, MOST_ARCHIVE // max(1, of.most)))
+    for mine, per_file in kinds:
+        laid = joined.filter(mine).sortWithinPartitions("urlkey", "ts", "page_id")
+        laid.select(text.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, per_file)).text(path)
 
 
 _ENTRY = "urlkey string, ts long, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
@@ -107,8 +128,9 @@ def parse_archive(data: bytes) -> Iterator[dict]:
         at = end + 4
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    number = urn.removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number else None
 
 
 def _captures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +194,15 @@ class LoserTree:
             self._play(winner)
 
 
+_MERGED = f"{_ENTRY}, range long, place long, in_range long, before long, edge boolean"
+
+
 def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the runs of one range.
+
+    in_range and before: place among the URL's captures of this range, and the page before it there;
+    edge: the last capture, in this range, of the range's first or last URL.
+    """
     parts = list(frames)
     if not parts:
         return
@@ -180,27 +210,58 @@ def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     runs = []
     for _, run in rows.groupby("file", sort=True):
         run = run.sort_values("offset")  # a file's order is its sort order
-        runs.append(zip(run["urlkey"].str.encode("utf-8"), run["ts"], run["page_id"], run.index))
-    order = [item[3] for item in LoserTree(runs)]
-    yield rows.loc[order]
+        ids = run["page_id"].fillna(-(1 << 63)).astype("int64")  # a null id comes first
+        runs.append(zip(run["urlkey"].str.encode("utf-8"), run["ts"], ids, run.index))
+    out = rows.loc[[item[3] for item in LoserTree(runs)]].reset_index(drop=True)
+    out["range"], out["place"] = TaskContext.get().partitionId(), out.index
+    out["in_range"] = out.groupby("urlkey").cumcount() + 1
+    out["before"] = out.groupby("urlkey")["page_id"].shift(1).astype("Int64")
+    out["edge"] = ~out["urlkey"].duplicated(keep="last") & out["urlkey"].isin([out["urlkey"].iloc[0], out["urlkey"].iloc[-1]])
+    yield out
 
 
 def merge_index(captures: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
-    """The capture runs merged into one history ordered by URL key, time and page_id over the partitions in turn.
+    """The capture runs merged into one history ordered by URL key, time and page_id, over range and place.
 
-    A range holds about ``rows_per_range`` index rows, never payloads. Ties keep file order.
+    A range holds about ``rows_per_range`` index rows, never payloads. Ties keep file order. Adds
+    range and place, history_no (from 1, over a URL's captures) and previous_page_id (of the capture
+    before; null for the first). The merged index is written once to the shared folder, in its order.
     """
+    spark = captures.sparkSession
     ranges = max(1, -(-captures.count() // rows_per_range))
-    dealt = captures.repartitionByRange(ranges, "urlkey", "ts", "page_id")
-    return dealt.mapInPandas(_merged, _ENTRY)
+    path = shared_path(spark, "index")
+    captures.repartitionByRange(ranges, "urlkey", "ts", "page_id").mapInPandas(_merged, _MERGED).write.parquet(path)
+    index = spark.read.schema(_MERGED).parquet(path)
+    # a URL's captures lie in ranges that follow each other, so only the ends of a range can go on in another
+    order = Window.partitionBy("urlkey").orderBy("range")
+    carried = index.filter("edge").select("range", "urlkey", F.sum("in_range").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.lag("page_id").over(order).alias("last"))
+    carried = checkpoint(carried.filter("earlier IS NOT NULL"))
+    carried = F.broadcast(carried) if carried.count() <= BROADCAST_ROWS else carried
+    out = index.join(carried, ["range", "urlkey"], "left")
+    first = F.col("in_range") == 1
+    return out.select(*(x.split()[0] for x in _ENTRY.split(", ")), "range", "place", (F.col("in_range") + F.coalesce("earlier", F.lit(0))).alias("history_no"), F.when(first, F.col("last")).otherwise(F.col("before")).alias("previous_page_id"))
+
+
+def with_stored_size(captures: DataFrame) -> DataFrame:
+    """The captures with the payload size of each revisit, taken from the response that holds its digest."""
+    revisits = captures.filter("record_type = 'revisit'")
+    asked = checkpoint(revisits.select("payload_digest").distinct())
+    few = asked.count() <= BROADCAST_ROWS
+    stored = captures.filter("record_type = 'response'").join(F.broadcast(asked) if few else asked, "payload_digest", "left_semi")
+    stored = stored.groupBy("payload_digest").agg(F.max("payload_bytes").alias("stored_bytes"))
+    full = revisits.join(F.broadcast(stored) if few else stored, "payload_digest", "left").withColumn("payload_bytes", F.col("stored_bytes"))
+    return captures.filter("record_type = 'response'").unionByName(full.select(captures.columns))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes the pages as WARC archives, reads them back and merges their index.
 
     One row per page: page_id, payload_bytes and payload_digest (hex SHA-1) of the full payload,
-    record_type, refers_to (revisits only), then urlkey, ts, file, offset and length. Size of a
-    revisit's payload comes from the response it refers to, as read back.
+    record_type, refers_to (revisits only), then urlkey, ts (seconds), history_no and
+    previous_page_id (place among the URL key's captures by time, and the capture before), file,
+    offset and length. A revisit's size comes from the response it refers to, as read back. Null ids
+    and urls, repeated ids and repeated rows are captures of their own (ties of key, time and id in
+    any order); other columns are ignored, and an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
@@ -208,8 +269,5 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     index_path = shared_path(spark, "cdx")
     read_archives(spark, path).write.parquet(index_path)
     captures = spark.read.schema(_ENTRY).parquet(index_path)
-    merged = merge_index(captures)
-    stored = captures.filter("record_type = 'response'").join(captures.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
-    stored = stored.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("stored_bytes")).groupBy("refers_to").agg(F.first("stored_bytes").alias("stored_bytes"))
-    full = merged.join(stored, "refers_to", "left")
-    return full.select("page_id", F.coalesce("payload_bytes", "stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "urlkey", "ts", "file", "offset", "length")
+    merged = merge_index(with_stored_size(captures))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "history_no", "previous_page_id", "file", "offset", "length")

@@ -94,12 +94,35 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_index_is_in_order(spark):
-    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{'hot' if i % 2 else i}", f"p{i}") for i in range(300)], "page_id long, url string, html string").repartition(5)
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{('hot', '/a b', '/a!b', i)[i % 4]}", f"p{i}") for i in range(300)], "page_id long, url string, html string").repartition(5)
     path = common.shared_path(spark, "t")
     warc.write_archives(pages, path)
-    merged = warc.merge_index(warc.read_archives(spark, path), rows_per_range=40)
-    keys = [(r.urlkey.encode(), r.ts, r.page_id) for r in merged.collect()]
-    assert keys == sorted(keys) and len(keys) == 300
+    merged = warc.merge_index(warc.read_archives(spark, path), rows_per_range=7).orderBy("range", "place").collect()
+    keys = [(r.urlkey.encode(), r.ts, r.page_id) for r in merged]
+    assert keys == sorted(keys) and len(keys) == 300 and len({r.range for r in merged}) > 20
+    seen = {}
+    for r in merged:
+        assert r.history_no == len(seen.setdefault(r.urlkey, [])) + 1
+        assert r.previous_page_id == (seen[r.urlkey][-1] if seen[r.urlkey] else None)
+        seen[r.urlkey].append(r.page_id)
+
+
+def test_warc_of_odd_rows(spark):
+    big, other = "x" * 1200, "y" * 1300
+    rows = [(5, "http://a.org/", big), (5, "http://a.org/", other), (5, "http://a.org/", "small"), (7, "http://a.org/", big), (8, None, big), (None, "http://b.org/", big), (8, None, big)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.archive_pages(pages).collect())
+    assert got == [(0, 1200, "response", 0), (5, 5, "response", 0), (5, 1200, "revisit", 8), (5, 1300, "response", 0), (7, 1200, "revisit", 8), (8, 1200, "response", 0), (8, 1200, "response", 0)]
+
+
+def test_warc_dates_in_any_time_zone(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.org/", "p"), (1730000000 - warc.EPOCH, "http://a.org/", "q")], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "LARGE_BYTES", 0)  # and in archives of their own
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(r.ts for r in warc.archive_pages(pages).collect()) == [warc.EPOCH + 1, 1730000000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 # ---------------------------------------------------------------- 3
@@ -292,15 +315,45 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.rejected for r in got]) < 0.01
 
 
+UNLEARNED = """
+これは日本語のテキストです。かなり長い文章ではありませんが、言語識別のためには十分な長さがあると思います。
+هذا نص مكتوب باللغة العربية وهو ليس طويلا جدا ولكنه يكفي لاختبار التعرف على اللغة في هذا البرنامج الجديد
+Это текст на русском языке, который не очень длинный, но достаточный для проверки определения языка
+Questo testo è scritto in lingua italiana e non è molto lungo ma basta per provare il riconoscimento
+Deze tekst is in het Nederlands geschreven en is niet erg lang maar voldoende om de herkenning te testen
+Ten tekst jest napisany po polsku i nie jest bardzo długi, ale wystarczy do sprawdzenia rozpoznawania
+Bu metin Türkçe yazılmıştır ve çok uzun değildir ama bu yeni programda dil tanımayı denemek için yeterlidir
+Tämä teksti on kirjoitettu suomeksi eikä se ole kovin pitkä mutta se riittää kielen tunnistamisen kokeiluun
+Mae'r testun hwn wedi ei ysgrifennu yn Gymraeg ac nid yw'n hir iawn ond mae'n ddigon i brofi adnabod iaith
+이 글은 한국어로 쓰여 있으며 그리 길지 않지만 언어 식별을 시험하기에는 충분하다고 생각합니다
+""".strip().splitlines()
+
+
+def test_languages_not_learned_are_rejected(spark):
+    d, _ = _tables(spark)
+    model = langid.fit(d)
+    rng = random.Random(4)
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz   ") for _ in range(100)) for _ in range(5)]
+    texts = [(x * 6)[:n] for x in [*UNLEARNED, *noise] for n in (20, 40, 80, 160, 500)]
+    assert np.mean([r.rejected for r in langid.identify(docs(spark, texts), model).collect()]) >= 0.9
+    held = langid.identify(d, model).filter(common.held_out(3, 1)).collect()
+    assert np.mean([r.rejected for r in held]) < 0.01
+
+
 def test_language_of_odd_rows(spark):
     d, _ = _tables(spark)
     model = langid.fit(d)
-    more = docs(spark, [None, "", "123 ???", "これは日本語のテキストです。かなり長い文章ではありません。", "the of and"])
+    more = docs(spark, [None, "", "123 ???", UNLEARNED[0], "the of and"])
     got = {r.doc_id: r for r in langid.identify(more, model).collect()}
     assert [got[i].lang_pred for i in range(3)] == ["und"] * 3 and all(got[i].rejected and got[i].score == 0 for i in range(3))
     assert got[3].rejected and got[3].lang_pred in model.languages and got[4].lang_pred == "en"
     assert langid.fit(docs(spark, [])) is None
     assert {r.lang_pred for r in langid.identify(more, None).collect()} == {"und"}
+    clash = more.withColumn("rejected", F.lit("mine")).withColumn("_text", F.lit(1))
+    assert langid.identify(clash, model, keep=("doc_id", "rejected", "_text")).columns == ["doc_id", "_text", "lang_pred", "score", "rejected"]
+    packed = langid.identify(clash.select(common.as_row(clash), "text"), model, keep=("row",)).filter("NOT rejected").select("row.*").collect()
+    assert all(r.rejected == "mine" and r._text == 1 for r in packed)
+    assert langid.language_of(odd(spark)).count() == 7 and langid.language_of(docs(spark, [])).count() == 0
 
 
 # ---------------------------------------------------------------- 6
