@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, without
+
 #: Pieces that a worker remembers before it starts afresh.
 MEMO = 300_000
 #: Characters of text that are split into pieces at a time.
@@ -328,8 +330,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
     integers), decoded_sha256 (of the decoded bytes) and, if asked for, ids as array<int>. A null
     text counts as empty and has no ids; a text is never cut; an empty table gives no rows; repeated
     rows give repeated results. ``path`` is read on each worker, ``pattern`` splits a text before
-    merging, and special tokens' strings are ordinary text.
+    merging, and special tokens' strings are ordinary text. A column of ``keep`` that is named like
+    a result gives way to it.
     """
+    keep = without(keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault((path, pattern), None) or Encoder(path, pattern)
@@ -348,9 +352,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
                 at += len(texts)
 
-    frame = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
-    return frame.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    frame = docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").cast("string").alias(fresh("_text", keep)))
+    results = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    results = results.add("ids", T.ArrayType(T.IntegerType())) if ids else results
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[: len(keep)], *results.fields]))
 
 
 def decode_ids(frame: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:

@@ -60,6 +60,14 @@ def without(names, *results: str) -> tuple[str, ...]:
     return tuple(k for k in names if k.lower() not in taken)
 
 
+def fresh(name: str, names) -> str:
+    """``name`` with as many underscores as make it differ, in any case, from all ``names``."""
+    taken = {k.lower() for k in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_row(docs: DataFrame, name: str = "row"):
     """All columns of ``docs`` as one struct column, out of the way of other names."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)

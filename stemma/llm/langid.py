@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, fold_latin, has_letter, hash_sample, held_out, learnable, text_chunks, without
+from .common import NOT_ALNUM, fold_latin, fresh, has_letter, hash_sample, held_out, learnable, text_chunks, without
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(far | ~lettered)], [*keep, "lang_pred", "score", "rejected"])
 
     text = F.col("text").cast("string")
-    frame = docs.select(*(F.col(f"`{k}`") for k in keep), text, has_letter(text))
+    frame = docs.select(*(F.col(f"`{k}`") for k in keep), text.alias(fresh("_text", keep)), has_letter(text).alias(fresh("_lettered", keep)))
     results = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields[: len(keep)], *results.fields]))
 

@@ -1,12 +1,15 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 Lines fall into leaves of a tree of fixed depth: by their number of tokens, then by their leading
-tokens, in which anything with a digit is a variable field. Within a leaf the commonest line is the
-seed: lines that agree with it in enough places join its template, in which the differing places are
-variable too; the others are templates of their own. A template recurs if it stands in enough
-documents among enough different neighbours. Copies of a document repeat its lines among the same
-neighbours; they are another stage's work, and their lines stay. Every occurrence of a recurring
-template but its first (by doc_id, then place) is dropped.
+tokens, in which anything with a digit is a variable field. The tokens after those are cut into
+SEGMENTS runs. Of all lines of a leaf, and of those that share a run, the commonest is the seed; a
+line joins the commonest seed it meets with which it agrees in enough places, and a seed that joins
+another takes its lines along, so a leaf holds as many templates as it has families of lines.
+
+A template recurs if it stands in enough documents. Copies count as one document, and a document
+counts only if enough of it is its own: one made up of repeated lines is a near copy of others,
+which is another stage's work. Every occurrence of a recurring template is dropped but its first,
+by doc_id and place (and the same place in copies of that document, so that copies stay copies).
 """
 
 from __future__ import annotations
@@ -14,16 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import as_row, checkpoint, without
 
 #: Leading tokens that the tree looks at.
 DEPTH = 3
-#: A line joins its leaf's seed if at least this share of all its tokens agree.
-SIMILARITY = 0.7
-#: Documents in which a template must stand.
+#: Runs of tokens by which lines of a leaf meet: two lines that differ in fewer places always share one.
+SEGMENTS = 4
+#: Tenths of all tokens in which a line agrees with its seed, at least.
+SIMILARITY = 7
+#: Documents, copies apart, in which a template must stand.
 LEAST_DOCUMENTS = 3
-#: Of a template's documents at least this share must have it among neighbours of their own.
-LEAST_SPREAD = 0.5
+#: A document counts if at least one in so many of its characters stands in lines that fewer than LEAST_DOCUMENTS
+#: share. Near copies with a similarity of 0.75 differ in at most a seventh of each, and so don't count.
+LEAST_OWN = 6
 FIELD = "<*>"
 #: Tables of keys are broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 300_000
@@ -41,21 +47,20 @@ def masked_lines(text: Column) -> Column:
     return F.transform(F.transform(F.split(tidy, "\n", -1), F.trim), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(x))
 
 
-def _masked(rows: DataFrame) -> DataFrame:
-    return rows.select("row_id", "doc_id", masked_lines(F.col("text")).alias("m"))
+def _tokens(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
 def _keys(masked: Column) -> tuple[Column, Column]:
-    """The leaf and the line key of a masked line."""
-    tokens = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit("")))
-    return F.xxhash64(tokens, F.substring_index(masked, " ", DEPTH)).alias("leaf"), F.xxhash64(masked).alias("line")
+    """The leaf and the line key of a masked line; two lines are one kind if both are equal."""
+    return F.xxhash64(_tokens(masked), F.substring_index(masked, " ", DEPTH)).alias("leaf"), F.xxhash64(masked).alias("line")
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """row_id, doc_id, place, leaf, line, around of each line that has a token; around names both neighbours."""
-    hashed = _masked(rows).select("row_id", "doc_id", "m", F.transform("m", lambda x: F.xxhash64(x)).alias("h"))
-    one = hashed.select("row_id", "doc_id", "h", F.posexplode("m").alias("place", "masked")).filter("masked <> ''")
-    return one.select("row_id", "doc_id", "place", *_keys(F.col("masked")), F.xxhash64(F.get("h", F.col("place") - 1), F.get("h", F.col("place") + 1)).alias("around"))
+    """row_id, doc_id, copy, place, chars, leaf, line of each line that has a token; copy: equal for texts with equal masked lines."""
+    masked = rows.select("row_id", "doc_id", masked_lines(F.col("text")).alias("m"))
+    one = masked.select("row_id", "doc_id", F.xxhash64("m").alias("copy"), F.posexplode("m").alias("place", "masked")).filter("masked <> ''")
+    return one.select("row_id", "doc_id", "copy", "place", F.length("masked").alias("chars"), *_keys(F.col("masked")))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -63,63 +68,87 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def templates(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """line, template for the lines that join their leaf's seed; any other line is its own template.
+def kinds_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """leaf, line, n, masked of the kinds of line in leaves that hold several; only their text is looked at."""
+    several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("leaf")
+    text = rows.select(F.explode(masked_lines(F.col("text"))).alias("masked")).filter("masked <> ''").select(*_keys(F.col("masked")), "masked")
+    return text.join(_small(checkpoint(several)), "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
 
-    ``lines``: the places of ``rows``. A leaf with one kind of line needs no seed, so only the text of
-    leaves with several kinds is looked at, and each kind's text once.
-    """
-    kinds = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    several = checkpoint(kinds.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf"))
-    text = _masked(rows).select(F.explode("m").alias("masked")).filter("masked <> ''").select(*_keys(F.col("masked")), "masked")
-    kinds = text.join(_small(several), "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
-    kinds = checkpoint(kinds)
-    seeds = kinds.groupBy("leaf").agg(F.max(F.struct("n", "masked")).alias("seed")).select("leaf", F.col("seed.masked").alias("seed"))
-    near = kinds.join(seeds, "leaf").filter("masked <> seed")
-    a, b = F.split("masked", " "), F.split("seed", " ")
-    agree = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda t: t))
-    return near.filter(agree >= SIMILARITY * F.size(a)).select("line", F.xxhash64("seed").alias("template"))
+
+def joins(kinds: DataFrame) -> DataFrame:
+    """leaf, line, template of each kind of line that joins another; template: the line key of the one it joins."""
+    after = F.size("parts") - DEPTH
+    begin = lambda s: F.ceil(after * s / SEGMENTS).cast("int")
+    runs = [F.when(begin(s + 1) > begin(s), F.struct(F.lit(s).alias("run"), F.xxhash64(F.slice("parts", begin(s) + DEPTH + 1, begin(s + 1) - begin(s))).alias("of"))) for s in range(SEGMENTS)]
+    met = F.array_compact(F.array(F.struct(F.lit(-1).alias("run"), F.lit(0).cast("long").alias("of")), *runs))
+    keyed = kinds.withColumn("parts", F.split("masked", " ")).select("leaf", "line", "n", "masked", F.explode(met).alias("at")).select("leaf", "line", "n", "masked", "at.*")
+    seeds = keyed.groupBy("leaf", "run", "of").agg(F.max(F.struct("n", "masked", "line")).alias("seed"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    agree = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("seed.masked", " "), lambda x, y: x == y), lambda t: t))
+    near = keyed.join(seeds, ["leaf", "run", "of"]).filter("line <> seed.line").filter((10 * agree >= SIMILARITY * _tokens(F.col("masked"))) & (F.struct("n", "masked") < F.struct("seed.n", "seed.masked")))
+    up = checkpoint(near.groupBy("leaf", "line").agg(F.max("seed").alias("seed")).select("leaf", "line", F.col("seed.line").alias("template")))
+    while True:  # a seed that joins another takes its lines along; each step halves the way up
+        above = up.select("leaf", F.col("line").alias("template"), F.col("template").alias("top"))
+        if up.join(above, ["leaf", "template"], "left_semi").isEmpty():
+            return up
+        up = checkpoint(up.join(above, ["leaf", "template"], "left").select("leaf", "line", F.coalesce("top", "template").alias("template")))
 
 
 def recurring(of: DataFrame) -> DataFrame:
-    """template, docs and the first place of each template that recurs across documents, from its places."""
-    # one row per (template, neighbours) or (template, document) before anything meets by template alone
-    spots = of.groupBy("template", "around").agg(F.min(F.struct("doc_id", "row_id", "place")).alias("first"))
-    spread = spots.groupBy("template").agg(F.count("*").alias("spots"), F.min("first").alias("first")).filter(F.col("spots") >= LEAST_DOCUMENTS)
-    docs = of.select("template", "row_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_DOCUMENTS)
-    return spread.join(docs, "template").filter(F.col("spots") >= LEAST_SPREAD * F.col("docs")).select("template", "docs", "first")
+    """leaf, template of each template that stands in LEAST_DOCUMENTS documents of which enough is their own."""
+    # one row per template and document before anything meets by template alone
+    pairs = checkpoint(of.groupBy("leaf", "template", "copy").agg(F.sum("chars").alias("chars")))
+    many = checkpoint(pairs.groupBy("leaf", "template").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS).select("leaf", "template"))
+    shared = checkpoint(pairs.join(_small(many), ["leaf", "template"]))
+    total = of.groupBy("copy").agg(F.sum("chars").alias("total"))
+    own = shared.groupBy("copy").agg(F.sum("chars").alias("again")).join(total, "copy").filter((F.col("total") - F.col("again")) * LEAST_OWN >= F.col("total")).select("copy")
+    seen = shared.join(own, "copy").groupBy("leaf", "template").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS)
+    return checkpoint(seen.select("leaf", "template"))
+
+
+def dropped_places(rows: DataFrame) -> DataFrame:
+    """row_id, doc_id and the places of the lines that go, of each of ``rows`` (row_id, doc_id, text) that loses any."""
+    lines = checkpoint(places(rows))
+    joined = _small(checkpoint(joins(checkpoint(kinds_of(rows, lines)))))
+    # a line that joins no other is a template of its own
+    of = lines.join(joined, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line")).drop("line")
+    again = recurring(of)
+    gone = checkpoint(of.join(_small(again), ["leaf", "template"]))
+    first = gone.groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "copy", "place")).alias("first"))
+    out = gone.join(_small(first), ["leaf", "template"]).filter("copy <> first.copy OR place <> first.place")
+    return out.groupBy("row_id", "doc_id").agg(F.collect_set("place").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the recurring lines taken out of ``text``; then n_lines and n_dropped.
+def drop_recurring_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with the recurring lines taken out of ``text``; then n_lines and n_dropped if ``counts``.
 
     ``n_chars``, if there, is counted anew. Null and empty texts stay as they are, and blank lines
     stay in their places. A template keeps its first occurrence, so some document always has it. A
     document that would be left without a line stays whole. Repeated rows count as one document; rows
-    with equal or null doc_id but different texts are documents of their own. An empty table gives
-    no rows.
+    with equal or null doc_id but different texts are documents of their own. An input column named
+    n_lines or n_dropped gives way to the count, or stays without ``counts``; other columns of any
+    name stay. An empty table gives no rows.
     """
-    keep = docs.columns
-    rows = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    lines = checkpoint(places(rows))
-    joined = _small(checkpoint(templates(rows, lines)))
-    # lines without a seed of their own keep their key
-    of = lines.join(joined, "line", "left").select("row_id", "doc_id", "place", F.coalesce("template", "line").alias("template"), "around")
-    again = recurring(of)
-    out = of.join(again, "template").filter(F.struct("doc_id", "row_id", "place") != F.col("first"))
-    out = out.groupBy("row_id").agg(F.collect_set("place").alias("_drop"))
-    full = rows.join(out, "row_id", "left")
+    text = F.col("text").cast("string")
+    rows = docs.select(as_row(docs), "doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_id"))
+    out = dropped_places(rows.select("row_id", "doc_id", "text")).toDF("_row_id", "_doc_id", "drop")
+    full = rows.join(out, F.col("row_id").eqNullSafe(F.col("_row_id")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    full = full.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    cut = F.col("_kept").rlike(r"[^\x09-\x0D\x20]")
-    full = full.select(*(F.col(c) for c in keep if c != "text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(cut, F.size("_drop")).otherwise(0).cast("long").alias("n_dropped"), F.when(cut, F.col("_kept")).otherwise(F.col("text")).alias("text"))
-    if "n_chars" in keep:
-        full = full.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return full.select(*keep, "n_lines", "n_dropped")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    full = full.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
+    cut = F.coalesce(F.col("kept").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    full = full.select("row", F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(cut, F.size("drop")).otherwise(0).cast("long").alias("n_dropped"), F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    names = without(docs.columns, "n_lines", "n_dropped") if counts else docs.columns
+    return full.select(*(new.get(c, F.col("row")[c]).alias(c) for c in names), *(["n_lines", "n_dropped"] if counts else []))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_chars and kept_sha256 of every document after line dedup."""
+    """doc_id, n_lines, n_dropped, kept_chars and kept_sha256 of every document after line dedup.
+
+    Null and empty texts have no characters; all rows come back, repeated ones too, and other
+    columns are ignored. An empty table gives no rows.
+    """
     done = drop_recurring_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     return done.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, shingle_sets, text_chunks
+from .common import as_row, checkpoint, mix64, shingle_sets, text_chunks
 
 BINS = 72
 ROWS_PER_BAND = 3
 BANDS = BINS // ROWS_PER_BAND
-#: Pairs whose sketches agree in fewer bins are not confirmed: five standard deviations under 0.75.
-LEAST_AGREEING = 36
 LINK_PERCENT = 75
+#: A pair is not confirmed if its sketches agree in a share of bins that lies so many standard deviations under the limit.
+DEVIATIONS = 5
 
 _BAND_SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 _ROW_SALT = mix64(np.arange(101, 101 + ROWS_PER_BAND, dtype=np.uint64)) | np.uint64(1)
@@ -65,6 +65,17 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+def least_agreeing(sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Bins in which two sketches must agree for a link to be plausible; sizes: shingles of the smaller set.
+
+    A set of few shingles fills few bins, and the others only repeat those: its sketch says as
+    little as so many draws, so the limit sinks, down to 0.
+    """
+    share = LINK_PERCENT / 100
+    spread = np.sqrt(share * (1 - share) / np.clip(sizes, 1, bins))
+    return np.maximum(0, np.floor(bins * (share - DEVIATIONS * spread)))
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sketches, keys, sizes = len(batch), [], [], np.zeros(len(batch), np.int64)
@@ -81,21 +92,26 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[i] = mix64(mix64(parts).sum(axis=1, dtype=np.uint64) + _BAND_SALT)
         flat = pa.array(bands.view(np.int64).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "sketch", "bands"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), sketch and band keys of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketched, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    """doc_id, text_key, n_shingles, set_key (equal for equal sets), sketch and band keys of each document."""
+    return _keyed(docs).mapInArrow(_sketched, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary, bands array<long>")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose sketches agree in LEAST_AGREEING bins or more."""
+    """Keeps the pairs whose sketches agree in enough bins."""
     for batch in batches:
         if not len(batch):
             continue
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, BINS) for k in (2, 3))
-        keep = (a == b).sum(axis=1) >= LEAST_AGREEING
+        keep = (a == b).sum(axis=1) >= least_agreeing(np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy()))
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
 
@@ -121,8 +137,17 @@ def _set_of(text: str) -> np.ndarray:
 
 def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches don't rule a link out."""
-    s = reps.select("rep", "sketch")
-    return pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+    s = reps.select("rep", "sketch", "n_shingles")
+    return pairs.join(s.toDF("a", "sa", "na"), "a").join(s.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_near, "a long, b long")
+
+
+#: Tables of keys are broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if it is proven small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 #: Members of a bucket aimed at for one side of a block.
@@ -135,10 +160,11 @@ def _apart(table: pa.Table) -> pa.Table:
     s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, BINS)
     cols = np.flatnonzero(~left)
     others = np.ascontiguousarray(s[cols].T)
+    n = table["n_shingles"].to_numpy()
     a, b = [], []
     for i in np.flatnonzero(left):
         agree = np.add.reduce(others == s[i][:, None], axis=0, dtype=np.uint8)
-        hits = cols[agree >= LEAST_AGREEING]
+        hits = cols[agree >= least_agreeing(np.minimum(n[cols], n[i]))]
         while len(hits := hits[label[hits] != label[i]]):
             a.append(int(ids[i]))
             b.append(int(ids[hits[0]]))
@@ -160,32 +186,41 @@ def behind_buckets(buckets: DataFrame, hubs: DataFrame, groups: DataFrame, reps:
     mixed = mixed.groupBy("n", "h").agg(F.min(F.struct("bucket", "main")).alias("m")).select("m.bucket", "n", F.col("m.main.group").alias("main"), F.col("m.main.n").alias("in_main"))
     blocks = lambda size: F.ceil(size / BLOCK_ROWS).cast("int")
     mixed = mixed.select("bucket", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("in_main")).alias("left_blocks"))
-    members = checkpoint(met.join(mixed, "bucket").withColumn("left", F.col("group") != F.col("main")))
-    members = members.join(reps.select("rep", "sketch"), "rep")
+    members = checkpoint(met.join(_small(checkpoint(mixed)), "bucket").withColumn("left", F.col("group") != F.col("main")))
+    members = members.join(reps.select("rep", "sketch", "n_shingles"), "rep")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    cols = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "group", "sketch")
-    rows = members.filter("left").select("bucket", place("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "group", "sketch")
+    cols = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "group", "sketch", "n_shingles")
+    rows = members.filter("left").select("bucket", place("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "group", "sketch", "n_shingles")
     return cols.union(rows).groupBy("bucket", "i", "j").applyInArrow(_apart, "a long, b long").distinct()
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the documents whose id is among ``ids``; of repeated ids the first text."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep and the text of one document of each set whose ``rep`` is among ``ids``."""
+    asked = _small(checkpoint(reps.join(ids, "rep", "left_semi").select("rep", "doc_id", "text_key")))
+    return _keyed(docs).join(asked, ["doc_id", "text_key"]).dropDuplicates(["rep"]).select("rep", "text")
+
+
+#: Pairs of one set in one task; the text of a set with more is there once for so many.
+PAIRS_TOGETHER = 1000
+
 
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on the full sets of their texts.
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets of their texts."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    The pairs of a hub are dealt out by its other ends, and each part gets the hub's text once.
+    """
+    texts = checkpoint(_texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).cast("int").alias("parts")).filter("parts > 1")
+    parts = _small(checkpoint(parts))
+    dealt = pairs.join(parts, "a", "left").select("a", "b", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).otherwise(0).alias("part"))
+    hubs = texts.toDF("a", "ta").join(parts, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(texts.toDF("b", "tb"), "b").join(hubs, ["a", "part"]).select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirmed, "a long, b long")
 
 
 #: Bytes of text aimed at for one side of a block.
 BLOCK_BYTES = 1 << 20
 _WIDE = 512
-#: Four standard deviations under 0.75 in a wide sketch.
-_WIDE_LEAST = 345
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -196,7 +231,7 @@ def _block(table: pa.Table) -> pa.Table:
     rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
     wide = [sketch(h, _WIDE) for h in sets]
     others = np.array([wide[j] for j in cols], np.uint32).reshape(len(cols), _WIDE)
-    small = np.array([len(sets[j]) < 64 for j in cols], bool)
+    sizes = np.array([len(x) for x in sets], np.int64)
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -207,11 +242,9 @@ def _block(table: pa.Table) -> pa.Table:
     a, b = [], []
     for i in rows:
         agree = (others == wide[i]).sum(axis=1)
-        for k in np.argsort(-agree, kind="stable"):
+        likely = np.flatnonzero(agree >= least_agreeing(np.minimum(sizes[cols], sizes[i]), _WIDE))
+        for k in likely[np.argsort(-agree[likely], kind="stable")]:
             j = cols[k]
-            tiny = small[k] or len(sets[i]) < 64  # too few shingles for a sketch to rule out
-            if agree[k] < _WIDE_LEAST and not tiny:
-                continue
             x, y = root(of[int(ids[i])]), root(of[int(ids[j])])
             n, m = len(sets[i]), len(sets[j])
             if x == y or 100 * min(n, m) < LINK_PERCENT * max(n, m):
@@ -224,7 +257,7 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) that pass no hub: in a group (node, component) of plausible pairs, between members outside its largest component and all others.
 
     Both sides come in blocks of bounded bytes, each pair of blocks is one task's work, and only
@@ -235,12 +268,11 @@ def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     members = groups.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = members.groupBy("group", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("k > 1 AND n > 2").select("group", "main")
-    members = checkpoint(members.join(mixed, "group").withColumn("left", F.col("component") != F.col("main")).select("rep", "group", "component", "left"))
-    texts = _texts(docs, members.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
-    members = checkpoint(members.join(texts, "rep"))
+    members = checkpoint(members.join(_small(checkpoint(mixed)), "group").withColumn("left", F.col("component") != F.col("main")).select("rep", "group", "component", "left"))
+    members = checkpoint(members.join(_texts(docs, reps, members.select("rep")), "rep"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
     counted = members.groupBy("group").agg(blocks(F.sum(F.octet_length("text"))).alias("all_blocks"), blocks(F.sum(F.when(F.col("left"), F.octet_length("text")).otherwise(0))).alias("left_blocks"))
-    members = members.join(counted, "group")
+    members = members.join(_small(checkpoint(counted)), "group")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     cols = members.select("group", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "component", "text")
     rows = members.filter("left").select("group", place("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "component", "text")
@@ -273,16 +305,13 @@ def components(links: DataFrame) -> DataFrame:
         mark = (seen.n, seen.h)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id = component_id), one row per row of ``docs``.
-
-    A null or empty text, or one without words, has an empty set and is linked with nothing. Equal
-    sets are always linked. Repeated rows share their doc_id's component; a null doc_id links to
-    nothing and is kept. Other columns are ignored. An empty table gives no rows.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """The columns of near_duplicates, and text_key and group of each row; group: one number for all that are linked, null for what can't be."""
     known = checkpoint(sketches(docs))
     full = known.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = checkpoint(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    # a set is told by its key and named by a number; its text is that of one of its documents
+    reps = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    reps = checkpoint(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", "of.doc_id", "of.text_key", "n_shingles", "sketch", "bands"))
 
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -298,13 +327,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not apart.isEmpty():
         near = near.union(apart)
         groups = components(near)
-    links = checkpoint(confirm(near, docs))
+    links = checkpoint(confirm(near, docs, reps))
     found = components(links)
-    more = checkpoint(behind_hubs(groups, found, docs))
+    more = checkpoint(behind_hubs(groups, found, docs, reps))
     if not more.isEmpty():
         found = components(links.union(more))
 
-    classes = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = known.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = found.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = checkpoint(found.join(least, "component").select(F.col("node").alias("rep"), "component", "component_id"))
+    classes = reps.select("rep", "set_key", "doc_id").join(_small(linked), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = full.select("doc_id", "text_key", "n_shingles", "set_key").join(classes, "set_key").drop("set_key")
+    alone = known.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id), one row per row of ``docs``.
+
+    A null or empty text, or one without words, has an empty set and is linked with nothing. Equal
+    sets are always linked. Repeated rows share their doc_id's component; a null doc_id links to
+    nothing and is kept. Rows that share a doc_id but not their text are documents of their own, of
+    which each is linked by its own text. Other columns are ignored. An empty table gives no rows.
+    """
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each group of near duplicates: a row with the group's smallest doc_id.
+
+    Rows that repeat that doc_id and text are one row, and so are rows of one group that repeat it
+    with other texts. A row with a null doc_id, or without words, is linked with nothing and stays;
+    of rows without words that repeat a doc_id and text one stays.
+    """
+    found = checkpoint(grouped(docs).filter("doc_id IS NOT NULL").select("doc_id", "text_key", "group", "kept"))
+    rows = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
+    out = rows.join(found.filter("NOT kept").select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti")
+    again = checkpoint(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if not again.isEmpty():  # ids that repeat: one row of each group
+        again = _small(again)
+        one = found.filter("kept").join(again, "doc_id", "left_semi").groupBy("doc_id", "group").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
+        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(_small(one), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.select("row.*")

@@ -71,17 +71,26 @@ ORACLE_SQL: dict[str, str] = {
     SELECT *, row_number() OVER h AS history_no, lag(page_id) OVER h AS previous_page_id FROM c WINDOW h AS (PARTITION BY urlkey ORDER BY page_id)
     """,
     "op3_line_templates": r"""
-    WITH line AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+    WITH RECURSIVE line AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
     tidy AS (SELECT doc_id, place, trim(regexp_replace(lower(raw), '[\x09-\x0D\x20]+', ' ', 'g')) AS t FROM line),
     m AS (SELECT doc_id, place, CASE WHEN regexp_matches(t, '[0-9]') THEN regexp_replace(t, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE t END AS masked FROM tidy),
-    u AS (SELECT * FROM (SELECT *, lag(masked) OVER w AS prv, lead(masked) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY place)) WHERE masked <> ''),
+    same AS (SELECT doc_id, md5(string_agg(masked, chr(10) ORDER BY place)) AS copy FROM m GROUP BY doc_id),
+    u AS (SELECT m.doc_id, copy, place, masked FROM m JOIN same USING (doc_id) WHERE masked <> ''),
     kind AS (SELECT masked, n, string_split(masked, ' ') AS tk, len(string_split(masked, ' ')) AS c, array_to_string(string_split(masked, ' ')[1:3], ' ') AS head FROM (SELECT masked, count(*) AS n FROM u GROUP BY masked)),
-    seed AS (SELECT c, head, masked, tk FROM kind QUALIFY row_number() OVER (PARTITION BY c, head ORDER BY n DESC, masked DESC) = 1),
-    tmpl AS (SELECT k.masked, CASE WHEN len(list_filter(list_zip(k.tk, s.tk), lambda x: x[1] = x[2])) >= 0.7 * k.c THEN s.masked ELSE k.masked END AS template FROM kind k JOIN seed s USING (c, head)),
-    placed AS (SELECT doc_id, place, template, prv, nxt FROM u JOIN tmpl USING (masked)),
-    spot AS (SELECT template, count(*) AS spots FROM (SELECT DISTINCT template, prv, nxt FROM placed) GROUP BY template),
-    spread AS (SELECT template, count(DISTINCT doc_id) AS docs, min(struct_pack(d := doc_id, p := place)) AS first FROM placed GROUP BY template),
-    drops AS (SELECT DISTINCT doc_id, place FROM placed JOIN spot USING (template) JOIN spread USING (template) WHERE spots >= 3 AND docs >= 3 AND spots >= 0.5 * docs AND struct_pack(d := doc_id, p := place) <> first),
+    met AS (SELECT kind.*, s, CASE WHEN s < 0 THEN '' ELSE array_to_string(tk[4 + CAST(ceil(s * (c - 3) / 4.0) AS INT) : 3 + CAST(ceil((s + 1) * (c - 3) / 4.0) AS INT)], ' ') END AS run
+            FROM kind, (SELECT unnest(range(-1, 4)) AS s) WHERE s < 0 OR ceil((s + 1) * (c - 3) / 4.0) > ceil(s * (c - 3) / 4.0)),
+    seed AS (SELECT c, head, s, run, max(struct_pack(n := n, masked := masked)) AS seed FROM met GROUP BY c, head, s, run HAVING count(*) > 1),
+    near AS (SELECT masked, max(seed) AS seed FROM met JOIN seed USING (c, head, s, run) WHERE struct_pack(n := n, masked := masked) < seed
+             AND 10 * len(list_filter(list_zip(tk, string_split(seed.masked, ' ')), lambda x: x[1] = x[2])) >= 7 * c GROUP BY masked),
+    up(masked, top) AS (SELECT masked, seed.masked FROM near UNION ALL SELECT up.masked, near.seed.masked FROM up JOIN near ON up.top = near.masked),
+    tmpl AS (SELECT masked, top AS template FROM up WHERE top NOT IN (SELECT masked FROM near)),
+    placed AS (SELECT doc_id, copy, place, coalesce(template, masked) AS template, length(masked) AS chars FROM u LEFT JOIN tmpl USING (masked)),
+    pairs AS (SELECT template, copy, sum(chars) AS chars FROM placed GROUP BY template, copy),
+    many AS (SELECT template FROM pairs GROUP BY template HAVING count(*) >= 3),
+    own AS (SELECT copy FROM (SELECT copy, sum(p.chars) AS total, coalesce(sum(p.chars) FILTER (many.template IS NOT NULL), 0) AS again FROM pairs p LEFT JOIN many USING (template) GROUP BY copy) WHERE 6 * (total - again) >= total),
+    often AS (SELECT template FROM pairs JOIN many USING (template) JOIN own USING (copy) GROUP BY template HAVING count(*) >= 3),
+    spread AS (SELECT template, min(struct_pack(d := doc_id, k := copy, p := place)) AS first FROM placed JOIN often USING (template) GROUP BY template),
+    drops AS (SELECT DISTINCT doc_id, place FROM placed JOIN spread USING (template) WHERE copy <> first.k OR place <> first.p),
     kept AS (SELECT line.doc_id, count(*) AS n_lines, count(drops.place) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY line.place) FILTER (drops.place IS NULL), '') AS k FROM line LEFT JOIN drops USING (doc_id, place) GROUP BY line.doc_id),
     done AS (SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN regexp_matches(k, '[^\x09-\x0D\x20]') THEN n_dropped ELSE 0 END AS n_dropped, CASE WHEN n_dropped > 0 AND regexp_matches(k, '[^\x09-\x0D\x20]') THEN k ELSE coalesce(text, '') END AS t FROM documents JOIN kept USING (doc_id))
     SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, CAST(length(t) AS BIGINT) AS kept_chars, sha256(t) AS kept_sha256 FROM done

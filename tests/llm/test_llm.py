@@ -150,10 +150,56 @@ def test_lines_join_their_seed(spark):
     assert sum(r.n_dropped for r in got) == 9
 
 
+def _own(rng, n=12):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_passages_of_several_lines(spark):
+    rng = random.Random(12)
+    footer = "\n".join(_own(rng, 4) for _ in range(4))
+    texts = [f"{_own(rng)}\n{_own(rng)}\n{footer}" for _ in range(50)]
+    got = linededup.drop_recurring_lines(docs(spark, texts)).collect()
+    assert sum(r.n_dropped for r in got) == 196 and {r.n_dropped for r in got} == {0, 4}
+
+
+def test_families_of_a_leaf(spark):
+    """Two families of lines begin alike; each is a template, though the lines of one are commoner."""
+    rng = random.Random(13)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40)]
+    first = [f"this page was kindly written for you today by {names[i]} and friends" for i in range(20)]
+    other = [f"this page was once put into other words after {names[20 + i]} left us" for i in range(20)]
+    assert len({len(x.split()) for x in first + other}) == 1
+    texts = [f"{_own(rng)}\n{line}\n{_own(rng)}" for line in [*first, *first[:1] * 5, *other]]
+    got = linededup.drop_recurring_lines(docs(spark, texts)).collect()
+    assert sum(r.n_dropped for r in got) == 24 + 19
+
+
+def test_copies_stay_copies(spark):
+    rng = random.Random(14)
+    footer = _own(rng, 8)
+    base = [_own(rng) for _ in range(12)]
+    near = []
+    for _ in range(9):  # near copies: no line of theirs goes but the footer
+        one = list(base)
+        one[rng.randrange(12)] = _own(rng)
+        near.append("\n".join([*one, footer]))
+    texts = [f"{_own(rng)}\n{_own(rng)}\n{footer}" for _ in range(5)] + near + [near[0]] * 3
+    got = sorted(linededup.drop_recurring_lines(docs(spark, texts)).collect())
+    assert [r.n_dropped for r in got] == [0] + [1] * 16
+    assert len({r.text for r in got[13:]} | {got[5].text}) == len({got[5].text, got[13].text})
+    exact = [f"{_own(rng)}\n{footer}"]
+    got = sorted(linededup.drop_recurring_lines(docs(spark, exact * 3 + [f"{_own(rng)}\n{footer}" for _ in range(4)])).collect())
+    assert [r.n_dropped for r in got] == [0, 0, 0, 1, 1, 1, 1]
+
+
 def test_line_report_of_odd_rows(spark):
     assert linededup.line_report(odd(spark)).count() == 7
     assert linededup.drop_recurring_lines(odd(spark)).columns == [*odd(spark).columns, "n_lines", "n_dropped"]
     assert linededup.line_report(docs(spark, [])).count() == 0
+    clash = odd(spark).withColumns({k: F.lit("mine") for k in ("row_id", "n_lines", "row", "drop", "copy")})
+    got = linededup.drop_recurring_lines(clash)
+    assert got.columns == [*(c for c in clash.columns if c != "n_lines"), "n_lines", "n_dropped"] and {r.row_id for r in got.collect()} == {"mine"}
+    assert sorted(map(str, linededup.drop_recurring_lines(clash, counts=False).collect())) == sorted(map(str, clash.collect()))
 
 
 # ---------------------------------------------------------------- 4
@@ -230,8 +276,8 @@ def test_links_in_buckets_of_unlike_hubs(spark, monkeypatch):
     # x, y and one of the heavy ones meet in one bucket; the heavy ones meet in another
     meet = {0: [1], 1: [1], 2: [1, 2], 3: [2], 4: [2], 5: [2], 6: [1]}
     known = neardup.sketches(docs(spark, texts)).collect()
-    rows = [(r.doc_id, r.n_shingles, r.set_key, r.sketch, meet[r.doc_id]) for r in known]
-    held = spark.createDataFrame(rows, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    rows = [(r.doc_id, r.text_key, r.n_shingles, r.set_key, r.sketch, meet[r.doc_id]) for r in known]
+    held = spark.createDataFrame(rows, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary, bands array<long>")
     monkeypatch.setattr(neardup, "sketches", lambda _: held)
     for size in (neardup.BLOCK_ROWS, 1):
         monkeypatch.setattr(neardup, "BLOCK_ROWS", size)
@@ -243,7 +289,51 @@ def test_links_in_buckets_of_unlike_hubs(spark, monkeypatch):
 def test_near_duplicates_of_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark)).collect()
     assert len(got) == 7 and sum(r.doc_id == 4 and r.component_id == 4 for r in got) == 2
-    assert neardup.near_duplicates(docs(spark, [])).count() == 0
+    assert neardup.near_duplicates(docs(spark, [])).count() == 0 and neardup.drop_copies(docs(spark, [])).count() == 0
+    clash = odd(spark).withColumns({k: F.lit("mine") for k in ("row", "text_key", "group", "kept", "rep")})
+    kept = neardup.drop_copies(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(15)
+    a, b, c = ([f"w{rng.random()}" for _ in range(60)] for _ in range(3))
+    near = lambda t: " ".join([*t[:59], "x"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (4, " ".join(c)), (4, near(c)), (4, " ".join(c)), (0, near(near(a).split())), (5, None), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(frame).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 0), (4, 4), (4, 4), (4, 4), (5, 5), (5, 5)]
+    kept = [(r.doc_id, (r.text or "")[:6]) for r in neardup.drop_copies(frame).collect()]
+    assert sorted(kept) == sorted([(0, a[0][:6]), (1, b[0][:6]), (4, c[0][:6]), (5, "")])
+
+
+def test_hubs_of_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS_TOGETHER", 3)
+    rng = random.Random(16)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for k in range(30):
+        one = list(base)
+        one[rng.randrange(100)] = f"x{k}"
+        texts.append(" ".join(one))
+    got = sorted(neardup.near_duplicates(docs(spark, texts)).collect())
+    assert [(r.n_shingles, r.component_id) for r in got] == _components(texts)
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs with a similarity of 0.75 or just above, of sets of 11 to 300 shingles: all are found."""
+    rng = random.Random(17)
+    texts = []
+    for k in range(600):
+        n = (11, 20, 40, 80, 150, 300)[k % 6]
+        base = [f"w{rng.random()}" for _ in range(n + 4)]
+        same = next(m for m in range(n) if 100 * m >= 75 * (2 * n - m))
+        texts += [" ".join(base), " ".join([*base[: same + 4], *(f"x{rng.random()}" for _ in range(n - same))])]
+    for i in range(0, len(texts), 2):
+        a, b = _shingles(texts[i]), _shingles(texts[i + 1])
+        assert 0.75 <= len(a & b) / len(a | b) < 0.84
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert all(got[i + 1] == i for i in range(0, len(texts), 2))
 
 
 def test_sketch_estimates():
