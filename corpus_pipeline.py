@@ -7,31 +7,31 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stemma.llm import bpe, decontaminate, langid, linededup, neardup
-from stemma.llm.common import shared_path, table
-
+from stemma.llm.common import as_row, shared_path, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents go that have no letter or lie far from every language."""
-    return langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns)).filter("NOT rejected").select(*docs.columns)
+    packed = docs.select(as_row(docs), F.col("text"))
+    return langid.identify(packed, langid.fit(docs), keep=("row",)).filter("NOT rejected").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: recurring line templates go from the texts; every document stays."""
-    return linededup.drop_recurring_lines(docs).select(*docs.columns)
+    return linededup.drop_recurring_lines(docs, counts=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: one document of each group stays, that with the smallest doc_id."""
-    found = neardup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """MinHash near-dedup: one document of each group stays, that with the smallest doc_id; of repeated rows one does."""
+    return neardup.drop_copies(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that contain a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, ranks: str | None = None) -> DataFrame:
