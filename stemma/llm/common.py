@@ -49,6 +49,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """The frame, marked for broadcast if a count proves that it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

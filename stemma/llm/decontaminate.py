@@ -1,87 +1,115 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts become templates: numbers, units of measure and names (capitalised words inside a sentence)
+Texts become templates: numbers, units of measure and names (capitalised words, wherever they stand)
 turn into typed placeholders, other words into lower case. Windows of WINDOW template words of the
 benchmark are joined by hash with those of the documents; a document that has enough of an item's
 windows is lined up with it, and the values in the placeholders must correspond: one value of the
 item stands for one value of the document. So a question with other numbers or names is found, and
 a text that shares only the wording around them in a jumbled way is not.
+
+Windows of the plain lower-case words are joined alike. They find copies in capitals or lower case,
+where names can't be told, and they are the exact way for items whose template says too little: an
+item with fewer than two usable template windows is found by all of its words in order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import as_row, checkpoint, small
 
 WINDOW = 8
-#: Words of a window that must be no placeholders.
+#: Words of a template window that must be no placeholders.
 LEAST_CONSTANT = 4
+#: Words that an item must have to be looked for at all: one word is no question.
+LEAST_WORDS = 2
 #: Share of an item's windows that a document must have.
 COVERAGE = 0.5
 #: Distinct item values per distinct pair of item and document value, at least.
 CONSISTENCY = 0.75
-#: The benchmark's windows are broadcast up to this many, and joined by a shuffle beyond.
+#: The benchmark's windows are broadcast up to this many, and joined by a shuffle beyond; so are the documents to line up.
 BROADCAST_ROWS = 500_000
 
 #: Units of measure (fixed values).
 UNITS = "km m cm mm mi mile miles ft feet inch inches yd yards kg g mg lb lbs pounds oz ounces l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cents percent kmh mph celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb".split()
 
-_TOKEN = r"[.!?]|\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£]"
+_TOKEN = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£]"
+_NAME = r"^\p{Lu}[\p{L}\p{M}&&[^\p{Lu}]]+$"
+_NUMBER, _UNIT, _ITEM_NAME = -1, -2, -3
+TEMPLATE, PLAIN = 0, 1
 
 
 def tokens(text: Column) -> Column:
-    """raw, and template word of each word, number and unit sign of a text, in order."""
-    parts = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    return F.flatten(F.transform(F.array(parts), _typed))
+    """The words, numbers and unit signs of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def _typed(parts: Column) -> Column:
-    def one(t: Column, i: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        low = F.lower(t)
-        before = F.get(parts, i - 1)
-        inside = (i > 0) & ~before.isin(".", "!", "?")
-        title = inside & (low != t) & (first != F.lower(first)) & (F.length(t) > 1) & (F.substring(t, 2, 100) == F.substring(low, 2, 100))
-        kind = F.when(t.isin(".", "!", "?"), F.lit("")).when(first.between("0", "9") | first.rlike(r"\p{N}"), F.lit("<num>")).when(t.isin("%", "$", "€", "£") | low.isin(*UNITS), F.lit("<unit>")).when(title, F.lit("<name>")).otherwise(low)
-        return F.struct(t.alias("raw"), kind.alias("word"))
+def _coded(t: Column, plain: Column) -> Column:
+    """The code of a token in a template; plain: the hash of its lower case. Placeholders are the codes from -3 to -1."""
+    unit = plain.isin(*(F.xxhash64(F.lit(u)) for u in [*UNITS, "%", "$", "€", "£"]))
+    # digits come before letters; other scripts' digits are looked for only behind them
+    number = (t < ":") | ((t > "{") & t.rlike(r"^\p{N}"))
+    name = (F.xxhash64(t) != plain) & t.rlike(_NAME)
+    return F.when(unit, _UNIT).when(number, _NUMBER).when(name, _ITEM_NAME).otherwise(plain).cast("long")
 
-    return F.filter(F.transform(parts, one), lambda x: x["word"] != "")
 
+def _with_windows(rows: DataFrame, sizes: dict[int, set[int]]) -> tuple[DataFrame, dict[tuple[int, int], str]]:
+    """Adds the hashes of all windows of the asked sizes, by kind (TEMPLATE or PLAIN), from the column ``words``.
 
-def _hashes(words: Column, size: int) -> Column:
-    """The hash of each window of ``size`` words; words: their hashes."""
-    n = F.size(words)
-    runs = F.transform(F.slice(words, 1, n - (size - 1)), lambda w, i: F.xxhash64(F.lit(size), w, *(F.get(words, i + k) for k in range(1, size))))
-    return F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>"))
+    A window's hash is put together from those of windows half its size, so all sizes share their
+    parts. Gives the frame and the name of each kind's and size's column.
+    """
+    rows = rows.withColumn("w1", F.transform("words", lambda t: F.xxhash64(F.lower(t)))).withColumn("n", F.size("words"))
+    rows = rows.withColumn("t1", F.zip_with("words", "w1", _coded))
+    names: dict[tuple[int, int], str] = {}
 
+    def of(kind: int, size: int) -> str:
+        nonlocal rows
+        name = f"{'tw'[kind]}{size}"
+        if size > 1 and (kind, size) not in names:
+            half = 1 << ((size - 1).bit_length() - 1)
+            a, b = F.col(of(kind, half)), F.col(of(kind, size - half))
+            rows = rows.withColumn(name, F.when(F.col("n") >= size, F.zip_with(F.slice(a, 1, F.col("n") - (size - 1)), F.slice(b, half + 1, F.col("n") - (size - 1)), lambda x, y: F.xxhash64(F.lit(kind), x, y))).otherwise(F.array().cast("array<bigint>")))
+        names[kind, size] = name
+        return name
 
-def _windows(words: Column, sizes: list[int]) -> Column:
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.flatten(F.transform(F.array(hashed), lambda h: F.concat(*(_hashes(h, s) for s in sizes))))
+    for kind, asked in sizes.items():
+        for size in sorted(asked):
+            of(kind, size)
+    return rows, names
 
 
-def _placed(hashes: Column, size: int) -> Column:
-    return F.transform(hashes, lambda h, i: F.struct(F.lit(size).alias("size"), h.alias("hash"), i.alias("at")))
+def _items(benchmark: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return benchmark.select(F.xxhash64("item_id", text).alias("item"), "item_id", tokens(text).alias("words")).dropDuplicates(["item"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item, size, place, hash of each distinct window of each item with enough constant words.
+    """item, kind, size, place, hash of each distinct window of each item, n_windows of its kind, and how many must be found.
 
-    An item shorter than a window is one window of its own length, if it has LEAST_CONSTANT
-    constant words; null and empty items have none.
+    An item shorter than a window is one window of its own length. Template windows with fewer than
+    LEAST_CONSTANT constant words are left out. Null and empty items, and those of one word, have
+    none. item is the hash of an item's id and text.
     """
-    items = benchmark.select(F.col("item_id").alias("item"), tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
-    size = F.least(F.lit(WINDOW), F.size("t"))
-    starts = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
-    one = items.select("item", "t", size.alias("size"), F.explode(starts).alias("place")).withColumn("w", F.transform(F.slice("t", F.col("place") + 1, F.col("size")), lambda x: x["word"]))
-    one = one.filter(F.size(F.filter("w", lambda x: ~x.startswith("<"))) >= LEAST_CONSTANT)
-    words = F.transform("w", lambda x: F.xxhash64(x))
-    hashed = F.lit(None).cast("long")
-    for s in range(LEAST_CONSTANT, WINDOW + 1):
-        hashed = F.when(F.col("size") == s, F.xxhash64(F.lit(s), *(F.get(words, F.lit(k)) for k in range(s)))).otherwise(hashed)
-    return one.select("item", "size", "place", hashed.alias("hash")).groupBy("item", "size", "hash").agg(F.min("place").alias("place"))
+    items = _items(benchmark).filter(F.size("words") >= LEAST_WORDS)
+    sizes = set(range(LEAST_WORDS, WINDOW + 1))
+    items, names = _with_windows(items, {TEMPLATE: sizes, PLAIN: sizes})
+    size = F.least(F.lit(WINDOW), F.col("n"))
+    one = None
+    for kind in (TEMPLATE, PLAIN):
+        hashes = F.coalesce(*(F.when(size == s, F.col(names[kind, s])) for s in sorted(sizes)))
+        part = items.select("item", F.lit(kind).alias("kind"), size.alias("size"), "t1", F.posexplode(hashes).alias("place", "hash"))
+        one = part if one is None else one.union(part)
+    constant = F.size(F.filter(F.slice("t1", F.col("place") + 1, F.col("size")), lambda x: ~x.between(_ITEM_NAME, _NUMBER)))
+    one = one.filter((F.col("kind") == PLAIN) | (constant >= LEAST_CONSTANT)).groupBy("item", "kind", "size", "hash").agg(F.min("place").alias("place"))
+    one = checkpoint(one)
+    n = one.groupBy("item").agg(F.count(F.when(F.col("kind") == TEMPLATE, 1)).alias("templates"), F.count(F.when(F.col("kind") == PLAIN, 1)).alias("plains"))
+    total = F.when(F.col("kind") == TEMPLATE, F.col("templates")).otherwise(F.col("plains"))
+    share = F.when((F.col("kind") == PLAIN) & (F.col("templates") < 2), 1.0).otherwise(COVERAGE)
+    return one.join(n, "item").select("item", "kind", "size", "place", "hash", total.alias("n_windows"), F.ceil(total * share).alias("least"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -89,41 +117,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     row_id is the hash of doc_id and text. Null and empty texts contain nothing; repeated rows give
     one row; an empty table on either side gives no rows. Several copies of a passage in one text
-    count once. Items with equal texts are all reported.
+    count once. Items with equal texts are all reported, and texts that share an item_id as one. A document that holds an item both as a
+    template and in plain words is reported by its words. Other columns are ignored.
     """
     items = checkpoint(item_windows(benchmark))
-    totals = items.groupBy("item").agg(F.count("*").alias("n_windows"))
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    few = items.count() <= BROADCAST_ROWS
-    side = F.broadcast(items) if few else items
-    words = F.transform(tokens(F.col("text")), lambda x: x["word"])
-    found = rows.select("row_id", F.explode(F.array_distinct(_windows(words, sizes or [WINDOW]))).alias("hash"))
-    hits = found.join(side.select("item", "hash"), "hash").groupBy("row_id", "item").agg(F.count_distinct("hash").alias("n_matched"))
-    hits = hits.join(F.broadcast(totals) if few else totals, "item").filter(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
-    hits = checkpoint(hits)
-
-    # line up: the words of both sides again, for these pairs alone
-    chosen = rows.join(hits.select("row_id").distinct(), "row_id", "left_semi").dropDuplicates(["row_id"]).select("row_id", "doc_id", tokens(F.col("text")).alias("dt"))
-    asked = benchmark.select(F.col("item_id").alias("item"), tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("bt")).dropDuplicates(["item"])
-    asked = asked.filter(F.exists("bt", lambda x: x["word"].startswith("<")))
-    slots = hits.join(asked.join(items.groupBy("item").agg(F.collect_list(F.struct("size", "place", "hash")).alias("windows")), "item"), "item").join(chosen, "row_id")
-    hashed = F.transform("dt", lambda x: F.xxhash64(x["word"]))
-    placed = F.flatten(F.array(*(_placed(_hashes(hashed, n), n) for n in sizes or [WINDOW])))
-    slots = slots.withColumn("dh", F.filter(placed, lambda x: F.exists("windows", lambda w: w["hash"] == x["hash"])))
-    pair = slots.select("row_id", "item", "bt", "dt", F.explode("windows").alias("w"), "dh").select("row_id", "item", "bt", "dt", "w", F.explode(F.filter("dh", lambda x: x["hash"] == F.col("w.hash"))).alias("d"))
-    cells = pair.select("row_id", "item", F.explode(F.sequence(F.lit(0), F.col("w.size") - 1)).alias("k"), "bt", "dt", "w", "d")
-    b, d = F.get("bt", F.col("w.place") + F.col("k")), F.get("dt", F.col("d.at") + F.col("k"))
-    cells = cells.select("row_id", "item", b.alias("b"), d.alias("d")).filter(F.col("b.word").startswith("<"))
-    values = cells.select("row_id", "item", F.concat("b.word", F.lower("b.raw")).alias("from"), F.lower("d.raw").alias("to")).distinct()
-    agreed = values.groupBy("row_id", "item", "from").agg(F.count("*").alias("n")).groupBy("row_id", "item").agg((F.count("*") / F.sum("n")).alias("consistency"))
-
-    ids = chosen.select("row_id", "doc_id")
-    out = hits.join(agreed, ["row_id", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).filter(F.col("consistency") >= CONSISTENCY)
-    return out.join(ids, "row_id").select("row_id", "doc_id", F.col("item").alias("item_id"), "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "consistency")
+    kinds = items.select("kind", "size").distinct().collect()  # at most two for each size of window
+    sizes = {kind: {r["size"] for r in kinds if r.kind == kind} for kind in (TEMPLATE, PLAIN)}
+    rows = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    cut, names = _with_windows(rows.select("row_id", tokens(F.col("text")).alias("words")), sizes)
+    asked = [(kind, size) for kind in sizes for size in sorted(sizes[kind])]
+    length = lambda size: F.greatest(F.col("n") - (size - 1), F.lit(0))
+    every = F.flatten(F.array(*(F.col(names[k]) for k in asked))) if asked else F.array().cast("array<bigint>")
+    found = cut.select("row_id", "n", F.posexplode(every).alias("at", "hash"))
+    met = found.join(small(items, BROADCAST_ROWS), "hash")
+    # a window's place in its text: its place among all windows, less the windows of the kinds and sizes before
+    before = reduce(lambda out, i: out.when((F.col("kind") == asked[i][0]) & (F.col("size") == asked[i][1]), sum((length(s) for _, s in asked[:i]), F.lit(0))), range(len(asked)), F.when(F.lit(False), 0))
+    met = met.select("row_id", "item", "kind", "size", "n_windows", "least", "hash", "place", (F.col("at") - before).alias("at"))
+    hits = met.groupBy("row_id", "item", "kind").agg(F.size(F.collect_set("hash")).cast("long").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.first("least").alias("least"), F.collect_set(F.struct("place", "at", "size")).alias("matches"))
+    hits = checkpoint(hits.filter("n_matched >= least").drop("least"))
+
+    # line up: the values in the placeholders, for these pairs alone
+    chosen = rows.join(small(checkpoint(hits.select("row_id").distinct()), BROADCAST_ROWS), "row_id").dropDuplicates(["row_id"]).select("row_id", "doc_id", tokens(F.col("text")).alias("dt"))
+    values = _items(benchmark).withColumnRenamed("words", "bt")
+    lined = hits.join(small(values, BROADCAST_ROWS), "item").join(chosen, "row_id")
+
+    def cells(match: Column) -> Column:
+        both = F.arrays_zip(F.slice("bt", match["place"] + 1, match["size"]).alias("b"), F.slice("dt", match["at"] + 1, match["size"]).alias("d"))
+        slots = F.filter(both, lambda x: _coded(x["b"], F.xxhash64(F.lower(x["b"]))).between(_ITEM_NAME, _NUMBER))
+        return F.transform(slots, lambda x: F.struct(F.lower(x["b"]).alias("b"), F.lower(x["d"]).alias("d")))
+
+    pairs = F.array_distinct(F.flatten(F.transform("matches", cells)))
+    lined = lined.select("row_id", "doc_id", "item_id", "kind", "n_matched", "n_windows", F.when(F.col("kind") == TEMPLATE, pairs).alias("pairs"))
+    agreed = F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) / F.size("pairs")
+    lined = lined.withColumn("consistency", F.when(F.size("pairs") > 0, agreed).otherwise(1.0)).filter(F.col("consistency") >= CONSISTENCY)
+    best = lined.groupBy("row_id", "item_id").agg(F.max(F.struct("kind", "n_matched", "n_windows", "consistency", "doc_id")).alias("x"))
+    return best.select("row_id", "x.doc_id", "item_id", "x.n_matched", "x.n_windows", (F.col("x.n_matched") / F.col("x.n_windows")).alias("coverage"), "x.consistency")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("row_id").alias("_row_id")).distinct()
-    return docs.withColumn("_row_id", F.xxhash64("doc_id", "text")).join(bad, "_row_id", "left_anti").drop("_row_id")
+    """The rows of ``docs``, all columns whatever their names, that contain no benchmark item.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty benchmark drops nothing.
+    """
+    bad = checkpoint(contaminated(docs, benchmark).select("row_id").distinct())
+    rows = docs.select(as_row(docs), F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_id"))
+    return rows.join(small(bad, BROADCAST_ROWS), "row_id", "left_anti").select("row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, checkpoint, without
+from .common import as_row, checkpoint, small, without
 
 #: Leading tokens that the tree looks at.
 DEPTH = 3
@@ -63,16 +63,11 @@ def places(rows: DataFrame) -> DataFrame:
     return one.select("row_id", "doc_id", "copy", "place", F.length("masked").alias("chars"), *_keys(F.col("masked")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it is proven small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def kinds_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """leaf, line, n, masked of the kinds of line in leaves that hold several; only their text is looked at."""
     several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("leaf")
     text = rows.select(F.explode(masked_lines(F.col("text"))).alias("masked")).filter("masked <> ''").select(*_keys(F.col("masked")), "masked")
-    return text.join(_small(checkpoint(several)), "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
+    return text.join(small(checkpoint(several), BROADCAST_ROWS), "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
 
 
 def joins(kinds: DataFrame) -> DataFrame:
@@ -98,7 +93,7 @@ def recurring(of: DataFrame) -> DataFrame:
     # one row per template and document before anything meets by template alone
     pairs = checkpoint(of.groupBy("leaf", "template", "copy").agg(F.sum("chars").alias("chars")))
     many = checkpoint(pairs.groupBy("leaf", "template").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS).select("leaf", "template"))
-    shared = checkpoint(pairs.join(_small(many), ["leaf", "template"]))
+    shared = checkpoint(pairs.join(small(many, BROADCAST_ROWS), ["leaf", "template"]))
     total = of.groupBy("copy").agg(F.sum("chars").alias("total"))
     own = shared.groupBy("copy").agg(F.sum("chars").alias("again")).join(total, "copy").filter((F.col("total") - F.col("again")) * LEAST_OWN >= F.col("total")).select("copy")
     seen = shared.join(own, "copy").groupBy("leaf", "template").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_DOCUMENTS)
@@ -108,13 +103,13 @@ def recurring(of: DataFrame) -> DataFrame:
 def dropped_places(rows: DataFrame) -> DataFrame:
     """row_id, doc_id and the places of the lines that go, of each of ``rows`` (row_id, doc_id, text) that loses any."""
     lines = checkpoint(places(rows))
-    joined = _small(checkpoint(joins(checkpoint(kinds_of(rows, lines)))))
+    joined = small(checkpoint(joins(checkpoint(kinds_of(rows, lines)))), BROADCAST_ROWS)
     # a line that joins no other is a template of its own
     of = lines.join(joined, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line")).drop("line")
     again = recurring(of)
-    gone = checkpoint(of.join(_small(again), ["leaf", "template"]))
+    gone = checkpoint(of.join(small(again, BROADCAST_ROWS), ["leaf", "template"]))
     first = gone.groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "copy", "place")).alias("first"))
-    out = gone.join(_small(first), ["leaf", "template"]).filter("copy <> first.copy OR place <> first.place")
+    out = gone.join(small(first, BROADCAST_ROWS), ["leaf", "template"]).filter("copy <> first.copy OR place <> first.place")
     return out.groupBy("row_id", "doc_id").agg(F.collect_set("place").alias("drop"))
 
 

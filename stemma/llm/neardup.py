@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, checkpoint, mix64, shingle_sets, text_chunks
+from .common import as_row, checkpoint, mix64, shingle_sets, small, text_chunks
 
 BINS = 72
 ROWS_PER_BAND = 3
@@ -145,11 +145,6 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it is proven small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 #: Members of a bucket aimed at for one side of a block.
 BLOCK_ROWS = 8192
 
@@ -186,7 +181,7 @@ def behind_buckets(buckets: DataFrame, hubs: DataFrame, groups: DataFrame, reps:
     mixed = mixed.groupBy("n", "h").agg(F.min(F.struct("bucket", "main")).alias("m")).select("m.bucket", "n", F.col("m.main.group").alias("main"), F.col("m.main.n").alias("in_main"))
     blocks = lambda size: F.ceil(size / BLOCK_ROWS).cast("int")
     mixed = mixed.select("bucket", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("in_main")).alias("left_blocks"))
-    members = checkpoint(met.join(_small(checkpoint(mixed)), "bucket").withColumn("left", F.col("group") != F.col("main")))
+    members = checkpoint(met.join(small(checkpoint(mixed), BROADCAST_ROWS), "bucket").withColumn("left", F.col("group") != F.col("main")))
     members = members.join(reps.select("rep", "sketch", "n_shingles"), "rep")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     cols = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "group", "sketch", "n_shingles")
@@ -196,7 +191,7 @@ def behind_buckets(buckets: DataFrame, hubs: DataFrame, groups: DataFrame, reps:
 
 def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """rep and the text of one document of each set whose ``rep`` is among ``ids``."""
-    asked = _small(checkpoint(reps.join(ids, "rep", "left_semi").select("rep", "doc_id", "text_key")))
+    asked = small(checkpoint(reps.join(ids, "rep", "left_semi").select("rep", "doc_id", "text_key")), BROADCAST_ROWS)
     return _keyed(docs).join(asked, ["doc_id", "text_key"]).dropDuplicates(["rep"]).select("rep", "text")
 
 
@@ -211,7 +206,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """
     texts = checkpoint(_texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).cast("int").alias("parts")).filter("parts > 1")
-    parts = _small(checkpoint(parts))
+    parts = small(checkpoint(parts), BROADCAST_ROWS)
     dealt = pairs.join(parts, "a", "left").select("a", "b", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).otherwise(0).alias("part"))
     hubs = texts.toDF("a", "ta").join(parts, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     both = dealt.join(texts.toDF("b", "tb"), "b").join(hubs, ["a", "part"]).select("a", "b", "ta", "tb")
@@ -268,11 +263,11 @@ def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame, reps: Data
     members = groups.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = members.groupBy("group", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("k > 1 AND n > 2").select("group", "main")
-    members = checkpoint(members.join(_small(checkpoint(mixed)), "group").withColumn("left", F.col("component") != F.col("main")).select("rep", "group", "component", "left"))
+    members = checkpoint(members.join(small(checkpoint(mixed), BROADCAST_ROWS), "group").withColumn("left", F.col("component") != F.col("main")).select("rep", "group", "component", "left"))
     members = checkpoint(members.join(_texts(docs, reps, members.select("rep")), "rep"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
     counted = members.groupBy("group").agg(blocks(F.sum(F.octet_length("text"))).alias("all_blocks"), blocks(F.sum(F.when(F.col("left"), F.octet_length("text")).otherwise(0))).alias("left_blocks"))
-    members = members.join(_small(checkpoint(counted)), "group")
+    members = members.join(small(checkpoint(counted), BROADCAST_ROWS), "group")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     cols = members.select("group", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("left"), "rep", "component", "text")
     rows = members.filter("left").select("group", place("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "component", "text")
@@ -336,7 +331,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     found = found.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = checkpoint(found.join(least, "component").select(F.col("node").alias("rep"), "component", "component_id"))
-    classes = reps.select("rep", "set_key", "doc_id").join(_small(linked), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = reps.select("rep", "set_key", "doc_id").join(small(linked, BROADCAST_ROWS), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = full.select("doc_id", "text_key", "n_shingles", "set_key").join(classes, "set_key").drop("set_key")
     alone = known.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -365,7 +360,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     out = rows.join(found.filter("NOT kept").select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti")
     again = checkpoint(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if not again.isEmpty():  # ids that repeat: one row of each group
-        again = _small(again)
+        again = small(again, BROADCAST_ROWS)
         one = found.filter("kept").join(again, "doc_id", "left_semi").groupBy("doc_id", "group").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(_small(one), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
+        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(small(one, BROADCAST_ROWS), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
     return out.select("row.*")

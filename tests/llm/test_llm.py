@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from stemma.llm import bpe, common, decontaminate, fingerprints, langid, licenses, linededup, neardup, quality, toxicity, warc
@@ -470,10 +471,82 @@ def test_slots_must_correspond(spark):
     assert got == [0]
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Ann has 7 pears. Tom gives 2 apples to Ann. How many apples does Tom have?"
+    other = item.replace("Tom", "Maria").replace("Ann", "Piet").replace("5", "15").replace("7", "30").replace("2", "12")
+    bench = spark.createDataFrame([(0, item), (1, "What is the highest mountain in Spain?")], "item_id long, text string")
+    texts = [other, item.upper(), f"question {item.lower()}", "Q What is the highest mountain in Spain? A", "so: what is the highest MOUNTAIN in spain", other.replace("Maria gives", "Oscar gives").replace("to Piet", "to Quinn").replace("does Maria", "does Zoe"), "What is the lowest valley in Spain?"]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(0, "Who wrote Hamlet?"), (1, "12 + 7 - 3 = 16 apples"), (2, "word"), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (4, "5 km")], "item_id long, text string")
+    texts = ["Tell me: who wrote Hamlet? Nobody.", "so 12 + 7 - 3 = 16 Apples.", "12 + 8 - 3 = 17 apples", "a word", "0 1 2 3 4 5 6 7 8 9 10 11 12 13", "1 2 3 4 5 6 7 8 9", "who wrote Macbeth", "6 km"]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect())
+    assert got == [(0, 0), (1, 1), (4, 3)]
+
+
+def _plain(text):
+    return [w.lower() for w in regex.findall(r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£]", text or "")]
+
+
+def _template(text):
+    out = []
+    for w in regex.findall(r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£]", text or ""):
+        kind = "<unit>" if w.lower() in [*decontaminate.UNITS, "%", "$", "€", "£"] else "<num>" if regex.match(r"\p{N}", w) else "<name>" if len(w) > 1 and regex.fullmatch(r"\p{Lu}[^\p{Lu}]+", w) else w.lower()
+        out.append((kind, w.lower()))
+    return out
+
+
+def _holds(text, item):
+    """Brute force: whether a text holds an item by its template or by its words."""
+    d, b = _template(text), _template(item)
+    if len(b) < 2:
+        return False
+    n = min(8, len(b))
+    runs = lambda t, k: [tuple(x[k] for x in t[i : i + n]) for i in range(len(t) - n + 1)]
+    usable = {w: i for i, w in reversed(list(enumerate(runs(b, 0)))) if sum(not x.startswith("<") for x in w) >= 4}
+    plain = set(runs(b, 1))
+    found = plain & set(runs(d, 1))
+    if len(found) >= (len(plain) if len(usable) < 2 else len(plain) / 2):
+        return True
+    at = [(usable[w], j) for j, w in enumerate(runs(d, 0)) if w in usable]
+    if not at or len({i for i, _ in at}) < len(usable) / 2:
+        return False
+    pairs = {(b[i + k][1], d[j + k][1]) for i, j in at for k in range(n) if b[i + k][0].startswith("<")}
+    return not pairs or len({x for x, _ in pairs}) >= 0.75 * len(pairs)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(18)
+    pool = ["the", "a", "in", "box", "red", "blue", "takes", "Tom", "Ann", "Émile", "NASA", "12", "3.5", "7", "km", "kg", "%", "über", "und", "x", "Of", "٣"]
+    say = lambda n: " ".join(rng.choice(pool) + rng.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
+    items = [say(rng.randint(0, 25)) for _ in range(25)] + ["", None, "Tom"]
+    texts = []
+    for _ in range(120):
+        item = rng.choice(items) or ""
+        words = item.split(" ")
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(pool)
+        inner = " ".join(words)
+        texts.append(f"{say(rng.randint(0, 9))} {rng.choice([inner, inner.upper(), inner.lower()])} {say(rng.randint(0, 9))}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(i, k) for i, t in enumerate(texts) for k, item in enumerate(items) if _holds(t, item)}
+
+
 def test_leaks_of_odd_rows(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(odd(spark), empty).count() == 0
     assert decontaminate.drop_contaminated(odd(spark), empty).count() == 7
+    bench = spark.createDataFrame([(0, "same same"), (0, "some text of no id"), (None, "word word word"), (1, None)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated(odd(spark), bench).collect())
+    assert got == [(0, 0), (3, None), (4, 0)]
+    assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
+    clash = odd(spark).withColumns({k: F.lit("mine") for k in ("row_id", "_row_id", "row", "words", "item")})
+    kept = decontaminate.drop_contaminated(clash, bench)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
 
 
 # ---------------------------------------------------------------- 7
