@@ -96,6 +96,19 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < share)
 
 
+def bounded_rows(rows: DataFrame, key: str, most_bytes: int) -> DataFrame:
+    """A sample's rows with a column text, kept by a hash of ``key`` so that the texts together have about ``most_bytes``.
+
+    The sample is written once, so that its documents are read in one pass.
+    """
+    rows = checkpoint(rows)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= most_bytes:
+        return rows
+    share = int(1_000_000 * most_bytes / total)
+    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(13)), F.lit(1_000_000)) < share)
+
+
 # ---------------------------------------------------------------- numpy text codes
 
 

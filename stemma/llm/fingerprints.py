@@ -9,6 +9,8 @@ likeness of two fingerprints. Only built-in functions over arrays are used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,8 @@ BINS = 1 << BIN_BITS
 LOW = 8
 PER_WORD = 64 // LOW
 SHINGLE = 5
-#: Neighbours are found within ranges of doc_id of about so many rows, of which there are at most MOST_RANGES.
+#: Neighbours are found within ranges of doc_id of so many rows, or the root of all rows if that is more.
 RANGE_ROWS = 500
-MOST_RANGES = 1024
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -107,6 +108,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(fair)
 
 
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts a value reaches: first among blocks of cuts, then within one block."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts)) + 1
+    listed = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
+    reached = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    block = reached(listed(cuts[::size]))
+    return F.when(block == 0, 0).otherwise((block - 1) * size + reached(F.slice(listed(cuts), (block - 1) * size + 1, size)))
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """doc_id, text, ghost, and the window in which the following row is the next document.
 
@@ -114,14 +126,14 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     after it (of the first range after the last), so that no row needs another range.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
+    ids = rows.select("doc_id").filter("doc_id IS NOT NULL")
     n = ids.count()
-    ranges = min(MOST_RANGES, max(1, n // RANGE_ROWS))
+    ranges = n // max(RANGE_ROWS, math.isqrt(n))
     cuts = []
-    if ranges > 1:
-        cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("c")).first().c
-        cuts = sorted({c for c in cuts or [] if c is not None})
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    if ranges > 1:  # the root of all rows, at most, comes to the driver
+        dealt = ids.repartitionByRange(ranges, "doc_id").select("doc_id", F.spark_partition_id().alias("range"))
+        cuts = sorted(r.c for r in dealt.groupBy("range").agg(F.min("doc_id").alias("c")).collect())[1:]
+    place = _place(F.col("doc_id"), cuts)
     placed = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), 0).otherwise(place).alias("range"), F.lit(0).alias("ghost"))
     # the first document of each range: a row per range
     firsts = placed.groupBy("range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("range").collect()
@@ -140,7 +152,7 @@ def likeness_of_edits(docs: DataFrame) -> DataFrame:
     Edited: the last floor(n_chars / 2) code points replaced by as many first ones of the next
     document by doc_id (equal ids by text; a null id comes first; after the last comes the first).
     A null text is empty; an empty text has an empty fingerprint. A table of one row is its own next
-    document. Repeated rows stay.
+    document. Repeated rows stay, and other columns are ignored. An empty table gives no rows.
     """
     placed, order = with_next(docs)
     n = F.length("text")

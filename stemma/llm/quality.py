@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_latin, hash_sample, held_out, learnable, span_hashes, text_chunks, word_spans
+from .common import bounded_rows, fold_latin, hash_sample, held_out, learnable, span_hashes, text_chunks, word_spans
 
 WORD_BITS = 15
 #: About so many labelled rows are learned from; a quarter of them fit the curve.
 SAMPLE_ROWS = 8000
+#: And about so many bytes of text.
+SAMPLE_BYTES = 64 << 20
 KEEP_SCORE = 0.7
 PENALTY = 1.0
 
@@ -148,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Learns from about ``sample_rows`` labelled rows that aren't held out; None if there are none."""
     known = learnable(labels.filter("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label")), 4, 2)
     chosen = hash_sample(known, "doc_id", sample_rows).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "label").toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = bounded_rows(rows, "doc_id", SAMPLE_BYTES).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     found = [r for _, part in indicators(rows["text"]) for r in part]
     return fit_rows(found, rows["label"].to_numpy())
 
@@ -172,5 +175,11 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document.
+
+    Null and empty texts have no n-grams and share one score. Rows with a null doc_id are scored,
+    never learned from, and not held out; repeated rows get equal scores. Repeated labels of one id
+    count as the larger; null labels aren't learned from, and without labels every score is 0.5.
+    Other columns of any name are ignored, and an empty table gives no rows.
+    """
     return score_quality(docs, fit(docs, labels)).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")

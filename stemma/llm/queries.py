@@ -9,45 +9,55 @@ from .common import table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """Byte-level BPE of all documents: doc_id, n_tokens and the digests of ids and of the decoded bytes."""
     import public_tokenizers
 
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and their merged index: what was read back of each, and its place in its URL's history."""
     done = warc.archive_pages(table(spark, sf_dir, "pages"))
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "history_no", "previous_page_id")
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents after line dedup: lines, dropped lines, and length and digest of what stays."""
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from ``labels`` outside the held-out fold."""
     return toxicity.toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds an item of ``benchmark``, with that item and how much of it."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id")
 
 
 def op7_packed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and their likeness."""
     return fingerprints.likeness_of_edits(table(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in all documents."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from ``labels`` outside the held-out fold."""
     return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned outside the held-out fold."""
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 

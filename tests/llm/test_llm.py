@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -380,6 +381,16 @@ def test_toxicity_of_odd_rows(spark):
         assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
         got = quality.quality_of(odd(spark), found).collect()
         assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
+    clash = odd(spark).withColumns({k: F.lit("mine") for k in ("score", "label", "h", "predicted")})
+    for of in (toxicity.toxicity_of, quality.quality_of):
+        assert of(clash, labels).count() == 7 and of(docs(spark, []), labels).count() == 0
+        assert of(odd(spark), labels).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_samples_are_bounded(spark):
+    rows = docs(spark, ["x" * 1000] * 300).select("doc_id", "text")
+    assert common.bounded_rows(rows, "doc_id", 10**6).count() == 300
+    assert 20 < common.bounded_rows(rows, "doc_id", 10**5).count() < 180
 
 
 def test_quality_on_held_out_rows(spark):
@@ -569,7 +580,8 @@ def test_fingerprints(spark):
 
 
 def test_fingerprints_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+    monkeypatch.setattr(fingerprints.math, "isqrt", lambda n: 2)
     texts = [f"text number {i} of many" for i in range(50)]
     got = sorted(fingerprints.likeness_of_edits(docs(spark, texts)).collect())
     for i, r in enumerate(got):
@@ -607,6 +619,57 @@ def test_license_suppression(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_clauses_and_short_names(spark):
+    texts = {
+        "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "Released under MIT.", "Licensed under the MIT/X11 terms"],
+        "apache-2": ["you may not use this file except in compliance with the License.", "Licensed under Apache 2.0"],
+        "bsd-4": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
+        "gpl-2": ["as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. gnu"],
+        "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+        "unlicense": ["This is free and unencumbered software released into the public domain."],
+        "cc-by-sa": ["see https://creativecommons.org/licenses/by-sa/4.0/"],
+        "zlib": ["Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."],
+        "": ["They permit it under mitigating circumstances", "the bsd of it", "apache helicopters under way"],
+    }
+    flat = [(k, t) for k, some in texts.items() for t in some]
+    got = sorted(licenses.scan(docs(spark, [t for _, t in flat])).collect())
+    assert [r.labels for r in got] == [k for k, _ in flat]
+
+
+def _labels(text):
+    """Brute force: every rule over the word line, and what no other detection covers."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+    line = f" {' '.join(words)} "
+    found = [(m.start(), m.end(), p, i, label, c) for i, label, p, c, keyword, _, pattern in licenses.rules() if keyword in line for m in re.finditer(pattern, line)]
+    over = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or (e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or (e[1] - e[0] == d[1] - d[0] and e[3] < d[3]))))
+    kept = [d for d in found if not any(over(e, d) for e in found)]
+    base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in line}
+    return ",".join(sorted({d[4] for d in kept} | base)), max([d[5] for d in kept] + [0.95] * bool(base) + [0.0])
+
+
+def test_labels_and_scores_against_brute_force(spark):
+    rng = random.Random(19)
+    parts = ["licensed under the", "MIT license", "under the MIT license", "GNU General Public License version 3", "GPL v2", "or later", "cc-by-nc-sa 4.0", "Creative Commons Attribution", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: LGPL-2.1-only", "you may not use this file except in compliance with the License", "apache", "2.0", "BSD 3-Clause license", "all rights reserved", "released under mit", "free text", "and", "the x", "Mozilla Public License 2.0", "under the terms of the"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(80)]
+    for r in licenses.scan(docs(spark, texts)).collect():
+        assert (r.labels, r.score) == _labels(texts[r.doc_id])
+
+
+def test_long_text_of_licenses(spark):
+    text = "Licensed under the MIT license or the GNU General Public License version 3, all rights reserved. " * 1900
+    frame = docs(spark, [text])
+    licenses.scan(docs(spark, ["mit license"])).collect()
+    began = time.time()
+    assert licenses.scan(frame).first().labels == "gpl-3,mit,proprietary"
+    assert time.time() - began < 20  # 5 on a machine of its own
+
+
+def test_licenses_with_clashing_names(spark):
+    clash = odd(spark).withColumns({k: F.lit("mine") for k in ("labels", "_text", "_row", "_line")})
+    got = licenses.scan(clash, keep=("doc_id", "labels", "_text", "_row", "_line"))
+    assert got.columns[:4] == ["doc_id", "_text", "_row", "_line"] and got.count() == 7 and {r._line for r in got.collect()} == {"mine"}
+
+
 def test_spdx_identifiers_and_expat(spark):
     named = {"MIT": "mit", "ISC": "isc", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "Zlib": "zlib", "BSL-1.0": "bsl-1", "Artistic-2.0": "artistic-2", "MIT-0": "mit-0", "LGPL-2.1": "lgpl-2.1", "LGPL-2.1-or-later": "lgpl-2.1", "GPL-3.0-only": "gpl-3", "BSD-3-Clause": "bsd-3", "MIT-CMU": ""}
     texts = [f"// SPDX-License-Identifier: {k}\nint main" for k in named]
