@@ -4,8 +4,8 @@ A document's set is its distinct 5-word shingles. Its shingle hashes are binned
 permutation); an empty bin copies a full bin found by the optimal densification walk. Three bins
 make a band. Equal sets are one class before anything is compared, so a group of exact copies costs
 one row. In each bucket one hub, the member that meets most others over all its bands, is paired
-with the rest: a bucket of m members gives m - 1 pairs. A sketch estimate well below the limit ends
-a pair; every other pair is confirmed on the full sets. Members of a bucket that are in different
+with the rest: a bucket of m members gives m - 1 pairs. A second sketch of the same binning, finer
+and without filled bins, ends a pair whose estimate is well below the limit; every other pair is confirmed on the full sets. Members of a bucket that are in different
 groups after that are compared with each other by their sketches, so that no pair is lost because
 its hub is like neither end. Members that a hub did not join to the rest of their group are compared
 with the whole group, so that no link is lost behind a hub. Both run in blocks of bounded size, which
@@ -30,7 +30,9 @@ BINS = 72
 ROWS_PER_BAND = 3
 BANDS = BINS // ROWS_PER_BAND
 LINK_PERCENT = 75
-#: A pair is not confirmed if its sketches agree in a share of bins that lies so many standard deviations under the limit.
+#: Bins of the sketch that rules pairs out: one byte each, empty bins left empty.
+FINE_BINS = 256
+#: A pair is not confirmed if its estimated similarity lies so many standard deviations under the limit.
 DEVIATIONS = 5
 
 _BAND_SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -65,15 +67,27 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def least_agreeing(sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Bins in which two sketches must agree for a link to be plausible; sizes: shingles of the smaller set.
+def fine_sketch(hashes: np.ndarray, bins: int = FINE_BINS) -> np.ndarray:
+    """The least of sorted distinct hashes in each bin, as a byte from 1 to 255; 0 for an empty bin."""
+    out = np.zeros(bins, np.uint8)
+    place = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    least = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])[: len(hashes)]
+    out[place[least]] = (hashes[least] & np.uint64(0xFFFFFFFF)) % np.uint64(255) + np.uint64(1)
+    return out
+
 
-    A set of few shingles fills few bins, and the others only repeat those: its sketch says as
-    little as so many draws, so the limit sinks, down to 0.
+def likely(same: np.ndarray, full: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether fine sketches leave a link possible.
+
+    same, full: bins that hold equal values, and that hold any in either sketch; sizes: both sets'
+    sizes together. Their quotient estimates the similarity; it is a sample of the joint set without
+    repetition, so where the set is small, and nearly all of it in a bin of its own, it hardly errs.
     """
     share = LINK_PERCENT / 100
-    spread = np.sqrt(share * (1 - share) / np.clip(sizes, 1, bins))
-    return np.maximum(0, np.floor(bins * (share - DEVIATIONS * spread)))
+    full = np.maximum(full, 1)
+    joint = np.maximum(sizes / (1 + share), 1)
+    unseen = np.clip(1 - (full - 1) / joint, 0.05, 1)
+    return same >= full * (share - DEVIATIONS * np.sqrt(share * (1 - share) * unseen / full))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +98,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, hashes in enumerate(shingle_sets(data, offsets), a):
                 sizes[i] = len(hashes)
                 s = sketch(hashes)
-                sketches.append(s.tobytes())
+                sketches.append(fine_sketch(hashes).tobytes())
                 # two independent sums over the set name its class
                 two = np.array([np.bitwise_xor.reduce(mix64(hashes)) if len(hashes) else 0, hashes.sum(dtype=np.uint64), len(hashes)], np.uint64)
                 keys.append(two.tobytes())
@@ -106,12 +120,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose sketches agree in enough bins."""
+    """Keeps the pairs whose sketches leave a link possible."""
     for batch in batches:
         if not len(batch):
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, BINS) for k in (2, 3))
-        keep = (a == b).sum(axis=1) >= least_agreeing(np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy()))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE_BINS) for k in (2, 3))
+        keep = likely(((a == b) & (a > 0)).sum(axis=1), ((a | b) > 0).sum(axis=1), batch.column(4).to_numpy() + batch.column(5).to_numpy())
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
 
@@ -149,17 +163,23 @@ BROADCAST_ROWS = 200_000
 BLOCK_ROWS = 8192
 
 
+def _compared(others: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins in which each of other fine sketches holds the same as one, and bins that hold any in either."""
+    on = np.flatnonzero(mine)
+    there = others[:, on]
+    return (there == mine[on]).sum(axis=1), (others > 0).sum(axis=1) + (there == 0).sum(axis=1)
+
+
 def _apart(table: pa.Table) -> pa.Table:
     """Plausible pairs between the rows outside the bucket's largest group and the members of one block, as far as they join groups."""
     ids, label, left = table["rep"].to_numpy(), table["group"].to_numpy().copy(), table["left"].to_numpy()
-    s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, BINS)
+    s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, FINE_BINS)
     cols = np.flatnonzero(~left)
-    others = np.ascontiguousarray(s[cols].T)
+    others = s[cols]
     n = table["n_shingles"].to_numpy()
     a, b = [], []
     for i in np.flatnonzero(left):
-        agree = np.add.reduce(others == s[i][:, None], axis=0, dtype=np.uint8)
-        hits = cols[agree >= least_agreeing(np.minimum(n[cols], n[i]))]
+        hits = cols[likely(*_compared(others, s[i]), n[cols] + n[i])]
         while len(hits := hits[label[hits] != label[i]]):
             a.append(int(ids[i]))
             b.append(int(ids[hits[0]]))
@@ -215,7 +235,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 #: Bytes of text aimed at for one side of a block.
 BLOCK_BYTES = 1 << 20
-_WIDE = 512
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -224,8 +243,8 @@ def _block(table: pa.Table) -> pa.Table:
     ids, of = table["rep"].to_numpy(), dict(zip(table["rep"].to_pylist(), table["component"].to_pylist()))
     left = table["left"].to_numpy()
     rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
-    wide = [sketch(h, _WIDE) for h in sets]
-    others = np.array([wide[j] for j in cols], np.uint32).reshape(len(cols), _WIDE)
+    fine = [fine_sketch(h) for h in sets]
+    others = np.array([fine[j] for j in cols], np.uint8).reshape(len(cols), FINE_BINS)
     sizes = np.array([len(x) for x in sets], np.int64)
     parent: dict[int, int] = {}
 
@@ -236,9 +255,9 @@ def _block(table: pa.Table) -> pa.Table:
 
     a, b = [], []
     for i in rows:
-        agree = (others == wide[i]).sum(axis=1)
-        likely = np.flatnonzero(agree >= least_agreeing(np.minimum(sizes[cols], sizes[i]), _WIDE))
-        for k in likely[np.argsort(-agree[likely], kind="stable")]:
+        same, full = _compared(others, fine[i])
+        hits = np.flatnonzero(likely(same, full, sizes[cols] + sizes[i]))
+        for k in hits[np.argsort(-same[hits] / full[hits], kind="stable")]:
             j = cols[k]
             x, y = root(of[int(ids[i])]), root(of[int(ids[j])])
             n, m = len(sets[i]), len(sets[j])

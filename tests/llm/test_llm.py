@@ -349,7 +349,7 @@ def test_sketch_estimates():
             true = k / (2 * len(x) - k)
             off.append((neardup.sketch(x, 256) == neardup.sketch(y, 256)).mean() - true)
         assert abs(np.mean(off)) < 0.02
-    assert not neardup.sketch(np.zeros(0, np.uint64)).any()
+    assert not neardup.sketch(np.zeros(0, np.uint64)).any() and not neardup.fine_sketch(np.zeros(0, np.uint64)).any()
 
 
 # ---------------------------------------------------------------- 5, 9, 10
