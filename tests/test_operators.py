@@ -78,11 +78,59 @@ def test_zones(spark):
     assert got == ["design", "design", "statistics", "unknown", "unknown", "unknown", "ethics"]
 
 
+SAYINGS = [
+    ("Protocol version: 2.0", "protocol_version", "2.0"),
+    ("Версия протокола 3.1", "protocol_version", "3.1"),
+    ("Protocol No. ABC-123/45", "protocol_id", "ABC-123/45"),
+    ("A phase II/III trial", "phase", "II/III"),
+    ("Amendment Date: 05 March 2021", "protocol_date", "2021-03-05"),
+    ("Дата: 5 марта 2021", "protocol_date", "2021-03-05"),
+    ("Protocol date 31.02.2021", "protocol_date", None),
+    ("Sponsor: Acme Pharma Ltd. Moscow", "sponsor_name", "Acme Pharma Ltd"),
+    ("Sponsor: to be determined", "sponsor_name", None),
+    ("randomised in a ratio of 2 to 1", "design.randomization_ratio", "2:1"),
+    ("a double-blind study", "design.masking", "double"),
+    ("перекрёстное исследование", "design.configuration", "crossover"),
+    ("Total N = 120 participants", "planned_n_total", "120"),
+    ("Sample size: 1 200 subjects", "planned_n_total", "1200"),
+    ("N = 0", "planned_n_total", None),
+    ("aged 65-18 years", "age_range", None),
+    ("женщины, возраст 18-45", "age_range", "18-45"),
+    ("женщины, возраст 18-45", "age_min", "18"),
+    ("женщины, возраст 18-45", "gender", "female"),
+    ("men and women of any age", "gender", "both"),
+    ("males only", "gender", "male"),
+    ("a single dose of 2,5 mg/kg", "dosage", "2.5 mg/kg"),
+    ("taken orally twice daily", "route", "oral"),
+    ("taken orally twice daily", "frequency", "twice_daily"),
+    ("Treatment duration: 12 weeks", "treatment_duration", "12 week"),
+    ("Период отмывки составит 7 дней", "washout_period", "7 day"),
+    ("significance level of 0,05", "alpha", "0.05"),
+    ("Primary endpoint: overall survival at two years", "primary", "overall survival at two years"),
+    ("PK parameters: Cmax, Tmax and AUC0-t", "pk_parameters", "auc0-t,cmax,tmax"),
+    ("120 ml of blood volume of 80 ml", "blood_sampling_volume", "80 ml"),
+    ("under fasting conditions", "fasting_condition", "fasting"),
+    ("nothing of the kind", None, None),
+]
+
+
 def test_fact_rules(spark):
-    df = spark.createDataFrame([(1, "a", "Protocol version: 2.0"), (1, "b", "Total N = 120 participants"), (1, "c", "aged 65-18 years"), (2, "d", "женщины, возраст 18-45"), (2, "e", None)], "doc_id long, anchor_id string, text_norm string")
+    df = spark.createDataFrame([(i, str(i), t) for i, (t, _, _) in enumerate(SAYINGS)] + [(99, "n", None)], "doc_id long, anchor_id string, text_norm string")
     got = {(r.doc_id, r.fact_key): r.value for r in facts.arbitrate(facts.extract(df)).collect()}
-    assert got[1, "protocol_version"] == "2.0" and got[1, "planned_n_total"] == "120"
-    assert got[2, "gender"] == "female" and got[2, "age_range"] == "18-45" and (1, "age_range") not in got
+    assert [(x[0], x[1], got.get((i, x[1]))) for i, x in enumerate(SAYINGS)] == SAYINGS
+    assert not any(d in (len(SAYINGS) - 1, 99) for d, _ in got)
+
+
+def test_preferred_zones_and_core_facts(spark):
+    c = spark.createDataFrame([(1, "a", "population", "planned_n_total", 0, 300, "100", 0.9), (1, "b", "population", "planned_n_total", 0, 300, "120", 0.9), (2, "c", "population", "planned_n_total", 0, 300, "80", 0.9)], "doc_id long, anchor_id string, fact_type string, fact_key string, rule int, priority int, value string, confidence double")
+    zones = spark.createDataFrame([("a", "statistics"), ("b", "other"), ("c", "other")], "anchor_id string, source_zone string")
+    got = facts.prefer_zones(c, zones, {"population": ["statistics"]})
+    assert sorted((r.doc_id, r.value, r.confidence) for r in got.collect()) == [(1, "100", 0.95), (2, "80", 0.9)]
+    other = spark.createDataFrame([(1, "planned_n_total", "90", 1.0, "z"), (1, "phase", "II", 0.5, "z"), (3, "phase", None, 0.5, "z")], "doc_id long, fact_key string, value string, confidence double, anchor_id string")
+    built = facts.core_facts({"anchors": got, "facts": other})
+    assert sorted((r.doc_id, r.fact_key, r.value, r.origin, r.evidence) for r in built.collect()) == [(1, "phase", "II", "facts", ["z"]), (1, "planned_n_total", "100", "anchors", ["a"]), (2, "planned_n_total", "80", "anchors", ["c"])]
+    saved = spark.createDataFrame([(1, 4), (1, 2)], "doc_id long, facts_version int")
+    assert {(r.doc_id, r.facts_version) for r in facts.next_version(saved, built).collect()} == {(1, 5), (2, 1)}
 
 
 def test_all_rules_compile():
