@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 
 ISSUE = "doc_id long, auditor string, severity string, category string, location string, detail string"
 
-#: Placeholders left in a text, by category (fixed values).
+#: What stands for a text that is still to come (fixed values): words, words in brackets, and others.
+OPEN_WORDS = ("TBD", "TBC")
+OPEN_BRACKETS = ("Insert", "Вставить", "Вставьте", "TODO", "FIXME")
+#: Category and pattern of each; marks of crosses count in capitals only.
 PLACEHOLDERS = {
-    "todo": r"(?i)\b(?:TODO|FIXME|TBD|TBC)\b",
-    "lorem": r"(?i)lorem ipsum",
-    "brackets": r"\[(?:insert|enter|вставить|указать)[^\]]*\]",
-    "angle": r"<(?:insert|enter|вставить|указать)[^>]*>",
-    "xxx": r"\b[XХ]{3,}\b",
-    "underscores": r"_{4,}",
-    "dots": r"\.{5,}",
-    "template": r"\{\{[^}]*\}\}",
-    "question": r"\?{3,}",
-    "date": r"(?i)\bdd[./-]mm[./-]yyyy\b",
+    **{w.lower(): rf"(?iuU)\b{w}\b" for w in OPEN_WORDS},
+    **{f"[{w.lower()}]": rf"(?iu)\[{w}\]" for w in OPEN_BRACKETS},
+    "error!": "(?i)Error!",
+    "xx": r"(?U)\bXX+\b",
+    "xxx": r"(?U)\bXXX\b",
 }
 
 
@@ -36,13 +34,24 @@ def placeholders(units: DataFrame, patterns: dict[str, str] | None = None) -> Da
     return _issues(rows.select("doc_id", "location", "x.category", "x.detail"), "placeholder", "major")
 
 
+#: Capital words that are no abbreviations (fixed values).
+NO_ABBREVIATIONS = ("II", "III", "IV", "VI", "VII", "VIII", "IX", "XI", "XII", "COVID", "SARS")
+
+
 def abbreviations(units: DataFrame) -> DataFrame:
-    """Abbreviations used without an expansion in brackets, and expanded ones that are never used again."""
-    used = units.select("doc_id", "para_index", F.explode(F.regexp_extract_all("text_norm", F.lit(r"\b[A-ZА-Я]{2,6}\b"), F.lit(0))).alias("abbr")).groupBy("doc_id", "abbr").agg(F.count("*").alias("uses"), F.min("para_index").alias("first_use"))
-    defined = units.select("doc_id", F.explode(F.regexp_extract_all("text_norm", F.lit(r"\(([A-ZА-Я]{2,6})\)"), F.lit(1))).alias("abbr")).distinct()
-    missing = used.join(defined, ["doc_id", "abbr"], "left_anti").select("doc_id", F.lit("missing").alias("category"), F.col("first_use").cast("string").alias("location"), F.col("abbr").alias("detail"))
-    unused = used.join(defined, ["doc_id", "abbr"]).filter("uses = 1").select("doc_id", F.lit("unused").alias("category"), F.col("first_use").cast("string").alias("location"), F.col("abbr").alias("detail"))
-    return _issues(missing.union(unused), "abbreviation", "minor")
+    """Abbreviations used without an expansion in brackets anywhere, expanded ones that are never used again, and those first used before their expansion.
+
+    An abbreviation is a word of two to six Latin or Cyrillic capitals of any language; it is expanded
+    where it stands in brackets. Roman numerals and a few fixed names are none.
+    """
+    words = F.filter(F.regexp_extract_all("text_norm", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-ZА-Я]{2,6}$") & ~w.isin(*NO_ABBREVIATIONS))
+    used = units.select("doc_id", "para_index", F.explode(words).alias("abbr")).groupBy("doc_id", "abbr").agg(F.count("*").alias("uses"), F.min("para_index").alias("first_use"))
+    opened = F.regexp_extract_all("text_norm", F.lit(r"\(([A-ZА-Я]{2,6})\)"), F.lit(1))
+    defined = units.select("doc_id", "para_index", F.explode(opened).alias("abbr")).groupBy("doc_id", "abbr").agg(F.min("para_index").alias("defined_at"))
+    both = used.join(defined, ["doc_id", "abbr"], "left")
+    category = F.when(F.col("defined_at").isNull(), "missing").when(F.col("uses") == 1, "unused").when(F.col("first_use") < F.col("defined_at"), "unexpanded")
+    rows = both.select("doc_id", category.alias("category"), F.col("first_use").cast("string").alias("location"), F.col("abbr").alias("detail")).filter("category IS NOT NULL")
+    return _issues(rows, "abbreviation", "minor")
 
 
 def sums(facts: DataFrame, total: str, parts: list[str], tolerance: float = 0.01) -> DataFrame:

@@ -97,25 +97,40 @@ def facts_across_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.across_versions(facts, pairs_of(a)).drop("fact_type")
 
 
+_OPEN = {
+    **{w.lower(): rf"(?i)(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])" for w in Q.OPEN_WORDS},
+    **{f"[{w.lower()}]": rf"(?i)\[{w}\]" for w in Q.OPEN_BRACKETS},
+    "error!": "(?i)Error!",
+    "xx": r"(^|[^\p{L}\p{N}_])XX+($|[^\p{L}\p{N}_])",
+    "xxx": r"(^|[^\p{L}\p{N}_])XXX($|[^\p{L}\p{N}_])",
+}
+#: Left-open texts planted into units by place, so that every category has rows.
+_PLANTED = ["see TBD now", "tbc", "XX days", "XXX", "[Insert]", "[ВСТАВИТЬ] имя", "[вставьте]", "Error! no source", "[todo]", "[FIXME]", "x XXXX y", "NoTBDhere"]
+_PLANT = "CASE para_index % 40 " + " ".join(f"WHEN {i} THEN '{t} '" for i, t in enumerate(_PLANTED)) + " ELSE '' END || text_norm"
+
+
 @R.query(
     "d08_placeholders",
-    f"WITH {UNIT} SELECT doc_id, CAST(para_index AS VARCHAR) AS location, 'marks' AS category, regexp_extract(text_norm, '[*&%$#]{{3}}') AS detail FROM unit WHERE regexp_matches(text_norm, '[*&%$#]{{3}}') UNION ALL SELECT doc_id, CAST(para_index AS VARCHAR), 'shouting', regexp_extract(text_norm, '!!') FROM unit WHERE contains(text_norm, '!!')",
+    f"WITH {UNIT}, u AS (SELECT doc_id, para_index, {_PLANT} AS t FROM unit) " + " UNION ALL ".join(f"SELECT doc_id, CAST(para_index AS VARCHAR) AS location, '{k}' AS category FROM u WHERE regexp_matches(t, '{p}')" for k, p in _OPEN.items()),
 )
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units with text that should have been filled in, by a pattern table."""
-    return Q.placeholders(units(spark, sf_dir), {"marks": "[*&%$#]{3}", "shouting": "!!"}).select("doc_id", "location", "category", "detail")
+    """Units with text that should have been filled in, by the table of placeholders."""
+    planted = F.get(F.array(*(F.lit(f"{t} ") for t in _PLANTED)), F.col("para_index") % 40)
+    u = units(spark, sf_dir).withColumn("text_norm", F.concat(F.coalesce(planted, F.lit("")), "text_norm"))
+    return Q.placeholders(u).select("doc_id", "location", "category")
 
 
 @R.query(
     "d09_abbreviations",
-    f"""WITH {UNIT}, u AS (SELECT doc_id, para_index, unnest(regexp_extract_all(text_norm, '\\b[A-Z]{{2,6}}\\b')) AS abbr FROM unit WHERE lang = 'en'),
-    d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text_norm, '\\(([A-Z]{{2,6}})\\)', 1)) AS abbr FROM unit WHERE lang = 'en'), n AS (SELECT doc_id, abbr, count(*) AS uses, min(para_index) AS first_use FROM u GROUP BY ALL)
-    SELECT doc_id, CASE WHEN d.abbr IS NULL THEN 'missing' ELSE 'unused' END AS category, CAST(first_use AS VARCHAR) AS location, n.abbr AS detail FROM n LEFT JOIN d USING (doc_id, abbr) WHERE d.abbr IS NULL OR uses = 1""",
+    rf"""WITH {UNIT}, w AS (SELECT doc_id, para_index, unnest(regexp_extract_all(text_norm, '[\p{{L}}\p{{N}}_]+')) AS abbr FROM unit),
+    u AS (SELECT doc_id, abbr, count(*) AS uses, min(para_index) AS first_use FROM w WHERE regexp_full_match(abbr, '[A-ZА-Я]{{2,6}}') AND abbr NOT IN {Q.NO_ABBREVIATIONS} GROUP BY ALL),
+    d AS (SELECT doc_id, abbr, min(para_index) AS defined_at FROM (SELECT doc_id, para_index, unnest(regexp_extract_all(text_norm, '\(([A-ZА-Я]{{2,6}})\)', 1)) AS abbr FROM unit) GROUP BY ALL),
+    c AS (SELECT doc_id, CASE WHEN defined_at IS NULL THEN 'missing' WHEN uses = 1 THEN 'unused' WHEN first_use < defined_at THEN 'unexpanded' END AS category, CAST(first_use AS VARCHAR) AS location, abbr AS detail FROM u LEFT JOIN d USING (doc_id, abbr))
+    SELECT * FROM c WHERE category IS NOT NULL""",
 )
 def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abbreviations without expansion, and expanded but unused ones, of English documents (ASCII word ends agree with SQL there)."""
-    en = U.units(table(spark, sf_dir, "documents").filter("lang = 'en'"))
-    return Q.abbreviations(en).select("doc_id", "category", "location", "detail")
+    """Abbreviations without expansion, expanded but unused ones, and those used before it, of all documents."""
+    return Q.abbreviations(units(spark, sf_dir)).select("doc_id", "category", "location", "detail")
 
 
 @R.query(
@@ -251,16 +266,14 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "f20_paths",
-    f"""WITH {ANCHOR}, n AS (SELECT doc_id, para_index, section_path AS a, lead(section_path) OVER (PARTITION BY doc_id ORDER BY para_index) AS b FROM anchor),
-    s AS (SELECT *, string_split(a, '/') AS x, string_split(b, '/') AS y FROM n WHERE b IS NOT NULL),
-    c AS (SELECT doc_id, para_index, len(x) AS lx, len(y) AS ly, CASE WHEN x[1] <> y[1] THEN 0 WHEN least(len(x), len(y)) = 1 OR x[2] <> y[2] THEN 1 WHEN least(len(x), len(y)) = 2 OR x[3] <> y[3] THEN 2 ELSE 3 END AS same FROM s WHERE len(x) <= 3 AND len(y) <= 3)
+    f"""WITH {ANCHOR}, n AS (SELECT doc_id, para_index, string_split(section_path, '/') AS x, string_split(lead(section_path) OVER (PARTITION BY doc_id ORDER BY para_index), '/') AS y FROM anchor),
+    c AS (SELECT doc_id, para_index, len(x) AS lx, len(y) AS ly, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i])) AS same FROM n WHERE y IS NOT NULL)
     SELECT doc_id, para_index, same / CAST(greatest(lx, ly) AS DOUBLE) AS ratio FROM c""",
 )
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F20, J12d: common path prefixes of neighbours."""
+    """F20, J12d: common path prefixes of neighbours, of any depth."""
     a = anchors(spark, sf_dir)
     n = a.select("doc_id", "para_index", F.col("section_path").alias("a"), F.lead("section_path").over(U.by_doc()).alias("b")).filter("b IS NOT NULL")
-    n = n.filter((F.size(F.split("a", "/")) <= 3) & (F.size(F.split("b", "/")) <= 3))
     return n.select("doc_id", "para_index", T.path_prefix_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 

@@ -83,7 +83,7 @@ def first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     "w10_following_items",
     f"""WITH {UNIT}, n AS (SELECT *, lead(kind, 1) OVER w AS k1, lead(kind, 2) OVER w AS k2, lead(kind, 3) OVER w AS k3, lead(text_norm, 1) OVER w AS t1, lead(text_norm, 2) OVER w AS t2, lead(text_norm, 3) OVER w AS t3
       FROM unit WINDOW w AS (PARTITION BY doc_id ORDER BY para_index))
-    SELECT doc_id, para_index, concat_ws('|', CASE WHEN k1 = 'p' THEN left(t1, 20) END, CASE WHEN k1 = 'p' AND k2 = 'p' THEN left(t2, 20) END, CASE WHEN k1 = 'p' AND k2 = 'p' AND k3 = 'p' THEN left(t3, 20) END) AS items
+    SELECT doc_id, para_index, concat_ws('|', CASE WHEN k1 = 'p' THEN t1 END, CASE WHEN k1 = 'p' AND k2 = 'p' THEN t2 END, CASE WHEN k1 = 'p' AND k2 = 'p' AND k3 = 'p' THEN t3 END) AS items
     FROM n WHERE kind = 'hdr'""",
 )
 def following_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def following_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = units(spark, sf_dir).withColumn("ahead", ahead).filter("kind = 'hdr'")
     stop = F.array_position(F.transform("ahead", lambda x: x["kind"]), "hdr")
     items = F.when(stop == 0, F.col("ahead")).otherwise(F.slice("ahead", 1, (stop - 1).cast("int")))
-    return rows.select("doc_id", "para_index", F.array_join(F.transform(items, lambda x: F.left(x["text_norm"], F.lit(20))), "|").alias("items"))
+    return rows.select("doc_id", "para_index", F.array_join(F.transform(items, lambda x: x["text_norm"]), "|").alias("items"))
 
 
 @R.query(

@@ -48,11 +48,12 @@ def previous_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "p05_array_overlap",
-    "SELECT doc_id FROM (SELECT doc_id, string_split(lower(left(text, 60)), ' ')[1:6] AS w FROM documents) WHERE list_has_any(w, ['the', 'der', 'les', 'las'])",
+    "SELECT doc_id FROM documents WHERE list_has_any(string_split(lower(text), ' '), ['whom', 'der', 'les', 'las'])",
 )
 def array_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.slice(F.split(F.lower(F.left("text", F.lit(60))), " "), 1, 6)
-    return table(spark, sf_dir, "documents").filter(F.arrays_overlap(w, F.array(*map(F.lit, ("the", "der", "les", "las"))))).select("doc_id")
+    """P5: documents whose words overlap a list."""
+    words = F.split(F.lower("text"), " ")
+    return table(spark, sf_dir, "documents").filter(F.arrays_overlap(words, F.array(*map(F.lit, ("whom", "der", "les", "las"))))).select("doc_id")
 
 
 @R.query("p06_array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), split_part(p_type, ' ', 1)) AND list_contains(string_split(p_name, ' '), split_part(p_name, ' ', 2))")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -84,34 +84,55 @@ def outside_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", F.array_join(F.array_sort(V.outside(F.col("l"), ("en", "de"))), ",").alias("outside"))
 
 
-_CELLS = """cell AS (
-  SELECT o_orderkey AS t, 0 AS r, c AS c, CASE c WHEN 0 THEN 'Procedure' WHEN 1 THEN 'Screening' WHEN 2 THEN 'Baseline' ELSE 'Week 4' END AS v FROM orders, range(4) x(c)
-  UNION ALL SELECT l_orderkey, l_linenumber, c, CASE c WHEN 0 THEN 'part ' || l_partkey WHEN 1 THEN CASE WHEN l_quantity > 25 THEN 'X' ELSE '-' END WHEN 2 THEN CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'NA' END ELSE l_linestatus END FROM lineitem, range(4) x(c) WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) = 1)
-)"""
+#: Every order as two tables: 0 its lines by visits, 1 a list of two columns and two rows.
+_CELLS = """line AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS r FROM lineitem),
+cell AS (
+  SELECT o_orderkey AS t, 0 AS k, 0 AS r, c AS c, CASE c WHEN 0 THEN 'Procedure' WHEN 1 THEN 'Screening' WHEN 2 THEN 'Baseline' ELSE 'Week 4' END AS v FROM orders, range(4) x(c)
+  UNION ALL SELECT l_orderkey, 0, r, c, CASE c WHEN 0 THEN 'part ' || l_partkey WHEN 1 THEN CASE WHEN l_quantity > 25 THEN 'X' ELSE '-' END WHEN 2 THEN CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'NA' END ELSE l_linestatus END FROM line, range(4) x(c)
+  UNION ALL SELECT o_orderkey, 1, r, c, CASE WHEN r = 0 AND c = 0 THEN 'Item' WHEN r = 0 THEN 'Text' ELSE 'a' || r || c END FROM orders, range(2) x(c), range(2) y(r)
+), mark AS (SELECT t, k, r, c, upper(v) AS u, lower(v) AS w FROM cell),
+score AS (
+  SELECT t, k, 3.0 * (max(CAST((r < 3 OR c = 0 AND r < 5) AND contains(w, 'week') AS INT)) + max(CAST((r < 3 OR c = 0 AND r < 5) AND contains(w, 'screening') AS INT)) + max(CAST((r < 3 OR c = 0 AND r < 5) AND contains(w, 'baseline') AS INT)))
+    + CASE WHEN count(*) FILTER (u IN ('X', '-', 'NA', 'YES', 'NO')) > 5 THEN 3 ELSE 0 END + CASE WHEN max(r) >= 2 AND max(c) >= 2 THEN 2 ELSE 0 END + CASE WHEN count(*) FILTER (u IN ('X', '-', 'NA', 'YES', 'NO', '')) > 0.3 * count(*) THEN 2 ELSE 0 END
+    + CASE WHEN t % 5 = 0 THEN 6 WHEN t % 5 = 1 THEN -8 ELSE 0 END AS score
+  FROM mark GROUP BY t, k
+), best AS (SELECT t, k, score FROM score QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, k) = 1)"""
+
+
+def _order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of two tables an order, and the text around them: some speak for a schedule, some against."""
+    grid = lambda rows: F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(v).alias("v")) for r, c, v in rows))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"))
+    top = o.select("t", F.lit(0).alias("k"), F.explode(grid([(0, i, v) for i, v in enumerate(("Procedure", "Screening", "Baseline", "Week 4"))])).alias("x"))
+    side = o.select("t", F.lit(1).alias("k"), F.explode(grid([(0, 0, "Item"), (0, 1, "Text"), (1, 0, "a10"), (1, 1, "a11")])).alias("x"))
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("r", r)
+    cell = lambda c, v: F.struct(F.col("r"), F.lit(c).alias("c"), v.alias("v"))
+    body = F.array(cell(0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))), cell(1, F.when(F.col("l_quantity") > 25, "X").otherwise("-")), cell(2, F.when(F.col("l_returnflag") == "R", "yes").otherwise("NA")), cell(3, F.col("l_linestatus")))
+    rows = lines.select(F.col("l_orderkey").alias("t"), F.lit(0).alias("k"), F.explode(body).alias("x"))
+    cells = top.union(rows).union(side).select(F.col("t").cast("string").alias("path"), F.col("k").alias("table_no"), F.col("x.r").alias("row_no"), F.col("x.c").alias("col_no"), F.col("x.v").alias("text_raw"))
+    said = F.when(F.col("t") % 5 == 0, "Schedule of Activities").when(F.col("t") % 5 == 1, "Appendix 6: schedule of activities").otherwise("Results")
+    context = o.select(F.col("t").cast("string").alias("path"), F.explode(F.array(F.lit(0), F.lit(1))).alias("table_no"), said.alias("context"))
+    return cells, context
+
+
+@R.query("s09_schedule_choice", f"WITH {_CELLS} SELECT CAST(t AS VARCHAR) AS path, k AS table_no, CAST(score AS DOUBLE) AS score FROM best WHERE score >= 2")
+def schedule_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scored table of every order, by its words, marks, shape and context."""
+    cells, context = _order_tables(spark, sf_dir)
+    return S.choose(S.score_tables(cells, context))
 
 
 @R.query(
     "s13_schedule_unpivot",
-    f"""WITH {_CELLS}, k AS (SELECT t FROM cell GROUP BY t HAVING max(r) >= 1)
+    f"""WITH {_CELLS}, x AS (SELECT cell.* FROM cell JOIN best USING (t, k) WHERE score >= 2)
     SELECT CAST(b.t AS VARCHAR) AS path, b.c AS visit_no, h.v AS visit, b.r AS procedure_no, p.v AS procedure, CASE WHEN upper(b.v) IN ('X', 'YES') THEN 'X' WHEN upper(b.v) IN ('-', 'NA') THEN '' ELSE b.v END AS value
-    FROM cell b JOIN k USING (t) JOIN cell h ON h.t = b.t AND h.r = 0 AND h.c = b.c JOIN cell p ON p.t = b.t AND p.c = 0 AND p.r = b.r WHERE b.r > 0 AND b.c > 0""",
+    FROM x b JOIN x h ON h.t = b.t AND h.r = 0 AND h.c = b.c JOIN x p ON p.t = b.t AND p.c = 0 AND p.r = b.r WHERE b.r > 0 AND b.c > 0""",
 )
 def schedule_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a table of procedures by visits, unpivoted with canonical cells."""
-    heads = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(n).alias("v")) for i, n in enumerate(("Procedure", "Screening", "Baseline", "Week 4"))))
-    top = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), F.lit(0).alias("r"), F.explode(heads).alias("x"))
-    lines = table(spark, sf_dir, "lineitem")
-    single = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first("l_partkey").alias("p"), F.first("l_quantity").alias("q"), F.first("l_returnflag").alias("f"), F.first("l_linestatus").alias("s")).filter("n = 1")
-    body = F.array(
-        F.struct(F.lit(0).alias("c"), F.concat(F.lit("part "), F.col("p").cast("string")).alias("v")),
-        F.struct(F.lit(1).alias("c"), F.when(F.col("q") > 25, "X").otherwise("-").alias("v")),
-        F.struct(F.lit(2).alias("c"), F.when(F.col("f") == "R", "yes").otherwise("NA").alias("v")),
-        F.struct(F.lit(3).alias("c"), F.col("s").alias("v")),
-    )
-    rows = single.select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("int").alias("r"), F.explode(body).alias("x"))
-    cells = top.union(rows).select(F.col("t").cast("string").alias("path"), F.lit(0).alias("table_no"), F.col("r").alias("row_no"), F.col("x.c").alias("col_no"), F.col("x.v").alias("text_raw"))
-    chosen = cells.groupBy("path", "table_no").agg(F.max("row_no").alias("m")).filter("m >= 1").select("path", "table_no")
-    return S.unpivot(cells, chosen).drop("marked")
+    """The chosen table of every order, unpivoted with canonical cells; repeated order lines are rows of their own."""
+    cells, context = _order_tables(spark, sf_dir)
+    return S.unpivot(cells, S.choose(S.score_tables(cells, context))).drop("marked")
 
 
 @R.query(
