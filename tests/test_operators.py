@@ -171,6 +171,46 @@ def test_clusters():
     assert clusters.merge_centroids(np.array([[1.0, 0], [0.99, 0.01], [0, 1.0]])) == [0, 0, 2]
 
 
+def _clustered(headings):
+    """All headings of a group at once, in one process."""
+    distinct = sorted(set(headings))
+    x = clusters.tfidf(distinct)
+    label = clusters.average_linkage(x)
+    kinds = sorted(set(label))
+    centroids = np.array([x[[i for i, c in enumerate(label) if c == k]].mean(axis=0) for k in kinds])
+    to = clusters.merge_centroids(centroids)
+    label = [to[c] for c in label]
+    size = {c: sum(headings.count(h) for h, k in zip(distinct, label) if k == c) for c in set(label)}
+    return {frozenset(h for h, k in zip(distinct, label) if k == c) for c in set(label) if size[c] >= 3}
+
+
+def test_clusters_of_parts_equal_those_of_all(spark):
+    rng = random.Random(7)
+    pool = ["study", "design", "safety", "data", "plan", "of", "the", "analysis", "set", "visit", "dose"]
+    rows = []
+    for grp in ("a", "b", None):
+        bases = [[rng.choice(pool) for _ in range(rng.randint(2, 7))] for _ in range(25)]
+        for _ in range(120):
+            one = list(rng.choice(bases))
+            if rng.random() < 0.5:
+                one.append(rng.choice(pool))
+            rows.append((grp, " ".join(one)))
+    got = clusters.cluster_headings(spark.createDataFrame(rows, "grp string, text_norm string")).collect()
+    for grp in ("a", "b", None):
+        mine = [r for r in got if r.grp == grp]
+        want = _clustered([h for g, h in rows if g == grp])
+        assert len(want) > 3 and {frozenset(r.heading for r in mine if r.cluster_id == c) for c in {r.cluster_id for r in mine} - {None}} == want
+    summed = clusters.summaries(spark.createDataFrame([("a", "x y", 3, "k"), ("a", "x z", 1, "k"), ("a", "q", 1, None)], "grp string, heading string, n long, cluster_id string")).collect()
+    assert len(summed) == 1 and summed[0].top_titles == ["x y", "x z"] and summed[0]["size"] == 4
+    assert np.allclose(summed[0].embedding, (3 * chunks.hashed_embedding("x y") + chunks.hashed_embedding("x z")) / 4, atol=1e-6)
+
+
+def test_contract_drafts(spark):
+    df = spark.createDataFrame([("g", "c", ["Study design", "Design of the study", "Study design plan"])], "grp string, cluster_id string, top_titles array<string>")
+    d = clusters.contract_drafts(df).first()
+    assert d.section == "study_design" and d.must == ["design", "study"] and d.should == [] and '"capture":"heading_block"' in d.draft
+
+
 def test_topics_see_their_predecessor(spark):
     b = spark.createDataFrame([(1, 1, "Safety", "", "z"), (1, 2, "unclear", "", "z"), (2, 1, "unclear", "", "z")], "doc_id long, block_no long, heading string, text string, zone string")
     got = {(r.doc_id, r.block_no): r.topic for r in topics.assign(b, [{"key": "safety", "aliases": ["safety"], "priors": {"z": 0.9}}]).collect()}
