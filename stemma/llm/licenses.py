@@ -277,7 +277,7 @@ SHORT_FORM = (2, 0.8, r"(?:(?:dual )?licen[cs]ed|released|distributed|published|
 
 #: What gates a text, besides cc followed by by, 0 or zero, and a short name under which something is licensed. Every
 #: match of a rule holds one of these; of a keyword of several words the first and last are looked for.
-KEYWORDS = ("licen", "all rights reserved", "public domain", "redistribution and use", "wtfpl", "creative", "gpl", "bsd", "apache", "cc0", "attribution", "hereby granted", "redistributions", "copyright notice", "advertising materials", "contributors may", "this program is", "later version", "dedicated all", "waived all", "any purpose", "reserved font", "unencumbered", "distribute this software", "misrepresented", "altered source", "proprietary", "strictly prohibited", "intent of this", "verbatim or modified", "this product includes", "university of illinois", "mpl was", "hereby grants", "by obtaining", "open data", "x consortium", "publicdomain")
+KEYWORDS = ("licen", "all rights reserved", "public domain", "wtfpl", "creative", "gpl", "bsd", "apache", "cc0", "attribution", "hereby granted", "copyright notice", "advertising materials", "contributors may", "redistribut", "warranty", "later version", "dedicated all", "waived all", "any purpose", "reserved font", "unencumbered", "distribute this software", "misrepresented", "altered source", "proprietary", "strictly prohibited", "intent of this", "verbatim or modified", "this product includes", "university of illinois", "mpl was", "hereby grants", "by obtaining", "open data", "x consortium", "publicdomain")
 
 
 def rules() -> list[tuple[int, str, int, float, str, str, str]]:
