@@ -55,6 +55,23 @@ def test_chunks_cover_units(spark):
     assert sorted(i for r in got for i in r.anchor_ids) == sorted(r.anchor_id for r in a.collect())
 
 
+def test_chunk_numbers_equal_the_rule(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for d in range(60):
+        texts = ["y" * rng.randint(0, 90) for _ in range(rng.randint(1, 40))]
+        cells = [rng.choice([None, (0, 0), (0, 1), (1, 0)]) if d % 2 else None for _ in texts]
+        if d % 3 == 0:
+            cells = [(0, i // 20) for i in range(len(texts))]
+        rows += [(d, i, "s", t, str(i), c and c[0], c and c[1]) for i, (t, c) in enumerate(zip(texts, cells))]
+        want[d] = [[str(i) for i in g] for g in chunks.cut(texts, cells, max_tokens=40)]
+    frame = spark.createDataFrame(rows, "doc_id long, para_index int, section_path string, text_norm string, anchor_id string, table_no int, row_no int")
+    got = {d: [] for d in want}
+    for r in chunks.chunks(frame, 40).orderBy("doc_id", "chunk_no").collect():
+        got[r.doc_id].append(r.anchor_ids)
+    assert got == want
+
+
 def test_greedy_is_one_to_one():
     got = align.greedy([(0.9, 0, 1), (0.9, 0, 0), (0.8, 1, 0), (0.7, 1, 1)])
     assert got == [(0.9, 0, 0), (0.7, 1, 1)]
