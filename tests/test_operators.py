@@ -89,6 +89,58 @@ def test_alignment(spark):
     assert (s.matched, s.changed, s.added, s.removed) == (2, 1, 1, 1)
 
 
+def test_alignment_equals_brute_force(spark):
+    """Small versions: every pair scored in one process, with and without embeddings; changed and deleted units by impact."""
+    from stemma.plans.versions import exact_matches, pairs_of
+
+    rng = random.Random(21)
+    words = "alpha beta gamma delta study design safety dose visit plan".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = []
+    for v in range(6):
+        old = [f"Title {v}"] + [say(rng.randint(2, 14)) for _ in range(9)]
+        new = [f"Title {v}"] + [t if rng.random() < 0.4 else " ".join(w if rng.random() < 0.8 else rng.choice(words) for w in t.split()) for t in old[1:]]
+        texts += ["\n".join(old), "\n".join(new[: rng.randint(5, 10)])]
+    a = U.anchors(U.with_sections(U.units(docs(spark, *texts)))).cache()
+    p = pairs_of(a).cache()
+    assert p.count() == 6
+    rows = {}
+    for r in a.collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    c = chunks.chunks(a, 20).withColumn("embedding", chunks.embed(F.col("text"))).cache()
+    first = {(r.doc_id, r.anchor_id): r.chunk_id for r in align.unit_chunks(c).collect()}
+    vector = {r.chunk_id: np.array(r.embedding) for r in c.collect()}
+    exact = exact_matches(a, p).cache()
+    done = {(r.from_doc, r.from_anchor) for r in exact.collect()}, {(r.to_doc, r.to_anchor) for r in exact.collect()}
+    for given in (None, c):
+        want = set()
+        for q in p.collect():
+            for kind in ("hdr", "p"):
+                found, by = [], {}
+                for x in rows[q.from_doc]:
+                    for y in rows[q.to_doc]:
+                        if x.kind != kind or y.kind != kind or (q.from_doc, x.anchor_id) in done[0] or (q.to_doc, y.anchor_id) in done[1]:
+                            continue
+                        cosine = float(np.clip(vector[first[q.from_doc, x.anchor_id]] @ vector[first[q.to_doc, y.anchor_id]], 0, 1)) if given is not None else 0.0
+                        s, method = align.score(x.text_norm, y.text_norm, x.section_path, y.section_path, True, True, cosine)
+                        if s >= align.LEAST_SCORE:
+                            found.append((s, x.para_index, y.para_index))
+                            by[x.para_index, y.para_index] = (x.anchor_id, y.anchor_id, method)
+                want |= {(q.from_doc, q.to_doc, *by[i, j][:2], round(s, 5), by[i, j][2]) for s, i, j in align.greedy(found)}
+        m = align.align(a, p, exact, given).cache()
+        got = {(r.from_doc, r.to_doc, r.from_anchor, r.to_anchor, round(r.score, 5), r.method) for r in m.collect() if r.method != "exact_hash"}
+        assert got == want and len(want) > 3
+    cites = a.select("anchor_id", F.col("doc_id").cast("string").alias("section")).distinct()
+    matched = {(r.from_doc, r.from_anchor): r.score for r in m.collect()}
+    removed = p.join(a.select(F.col("doc_id").alias("from_doc"), "anchor_id"), "from_doc").join(m.select("from_doc", F.col("from_anchor").alias("anchor_id")), ["from_doc", "anchor_id"], "left_anti")
+    hit = {r.section: (r.reasons, r.anchors) for r in align.impact(m, removed, cites).collect()}
+    for q in p.collect():
+        changed = sorted(r.anchor_id for r in rows[q.from_doc] if matched.get((q.from_doc, r.anchor_id), 1) < 0.95)
+        gone = sorted(r.anchor_id for r in rows[q.from_doc] if (q.from_doc, r.anchor_id) not in matched)
+        reasons = ["changed"] * bool(changed) + ["deleted"] * bool(gone)
+        assert hit.get(str(q.from_doc), ([], [])) == (reasons, sorted(changed + gone))
+
+
 def test_zones(spark):
     df = spark.createDataFrame([("Study design",), ("Дизайн исследования",), ("Intro/Sample size calculation",), ("nothing",), ("ROOT",), (None,), ("Ethics/Informed consent",)], "p string")
     got = [r.z.zone for r in df.select(classify.zone_of(F.col("p")).alias("z")).collect()]
