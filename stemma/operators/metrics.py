@@ -47,3 +47,24 @@ def quality_gate(metrics: DataFrame) -> DataFrame:
     rules = [(k, v) for k, v in GATE.items() if v.split()[0] in present]
     flags = F.array_compact(F.array(*(F.when(F.expr(v), F.lit(k)) for k, v in rules)))
     return metrics.withColumn("flags", flags).withColumn("status", F.when(F.size("flags") > 0, "needs_review").otherwise("ready"))
+
+
+def set_scores(predicted: Column, gold: Column) -> Column:
+    """struct(precision, recall, f1, jaccard, exact) of two arrays as sets; empty against empty is perfect."""
+    p, g = F.size(F.array_distinct(predicted)), F.size(F.array_distinct(gold))
+    both = F.size(F.array_intersect(predicted, gold))
+    share = lambda n: F.when((p == 0) & (g == 0), 1.0).when(n == 0, 0.0).otherwise(both / n)
+    return F.struct(share(p).alias("precision"), share(g).alias("recall"), F.when((p == 0) & (g == 0), 1.0).otherwise(2 * both / (p + g)).alias("f1"), share(p + g - both).alias("jaccard"), ((both == p) & (both == g)).alias("exact"))
+
+
+def evaluation_report(rows: DataFrame, by: str = "section") -> DataFrame:
+    """Mapped against right units: per ``by`` the number, exact and empty maps, means, and percentiles of the Jaccard similarity.
+
+    ``rows``: ``by``, predicted and gold (arrays). Similarities are rounded to four places, so a
+    group's percentiles count at most 10,001 values.
+    """
+    s = rows.select(by, F.size("predicted").alias("n"), set_scores(F.col("predicted"), F.col("gold")).alias("s"))
+    j = F.round("s.jaccard", 4)
+    rank = lambda p: F.percentile_disc(p).within_group(j) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY round(s.jaccard, 4))")
+    mean = lambda k: F.round(F.avg(f"s.{k}"), 6).alias(k)
+    return s.groupBy(by).agg(F.count("*").alias("maps"), F.count_if("s.exact").alias("exact"), F.count_if(F.col("n") == 0).alias("empty"), mean("precision"), mean("recall"), mean("f1"), mean("jaccard"), *(rank(p / 100).alias(f"p{p}") for p in (10, 50, 90)))

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 THRESHOLD, STRONG_THRESHOLD = 0.55, 0.45
 NEIGHBOUR_BONUS = 0.2
@@ -62,3 +63,14 @@ def assign(blocks: DataFrame, topics: list[dict]) -> DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "block_no", "topic", "score"])
 
     return blocks.select("doc_id", "block_no", "heading", "text", "zone").groupBy("doc_id").applyInPandas(run, "doc_id long, block_no long, topic string, score double")
+
+
+def topic_maps(assigned: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, topic, blocks, anchor_ids, confidence: the blocks of each topic and their units as evidence.
+
+    ``members``: doc_id, block_no, para_index, anchor_id. Confidence is the mean score of the blocks.
+    """
+    got = assigned.filter("topic IS NOT NULL").select("doc_id", "block_no", "topic", "score")
+    scores = got.groupBy("doc_id", "topic").agg(F.array_sort(F.collect_list("block_no")).alias("blocks"), F.round(F.avg("score"), 6).alias("confidence"))
+    units = got.join(members, ["doc_id", "block_no"]).groupBy("doc_id", "topic").agg(F.array_sort(F.collect_list(F.struct("para_index", "anchor_id"))).alias("a"))
+    return scores.join(units, ["doc_id", "topic"]).select("doc_id", "topic", "blocks", F.transform("a", lambda x: x["anchor_id"]).alias("anchor_ids"), "confidence")

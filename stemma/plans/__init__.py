@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package; each has QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("profile", "ordered", "relational", "aggregates", "versions", "composites", "domain", "scalars")
+MODULES: tuple[str, ...] = ("profile", "ordered", "relational", "aggregates", "versions", "composites", "domain", "scalars", "mapping", "ingest")
 
 
 def _gather(what: str) -> dict:

@@ -167,7 +167,11 @@ def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.objectives_differ(both.select(F.col("from_doc").alias("doc_id"), F.col("to_doc").alias("other_doc"), "a", "b")).select("doc_id", "location", "detail")
 
 
-@R.query("d13_all_audits")
+@R.query(
+    "d13_all_audits",
+    R.sql["d09_abbreviations"].rsplit("SELECT * FROM c", 1)[0].rstrip() + """, p AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS category FROM unit WHERE regexp_matches(text_norm, '{p}')" for k, p in _OPEN.items()) + """)
+    SELECT 'placeholder' AS auditor, 'major' AS severity, category, count(*) AS issues FROM p GROUP BY category UNION ALL SELECT 'abbreviation', 'minor', category, count(*) FROM c WHERE category IS NOT NULL GROUP BY category""",
+)
 def all_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All auditors of a collection, counted; one that cannot be planned leaves the others."""
     u = units(spark, sf_dir)

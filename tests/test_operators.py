@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import align, audit, chunks, classify, clusters, facts, metrics, topics
+from stemma.operators import align, audit, chunks, classify, clusters, facts, graphs, metrics, sections, topics
 from stemma.operators import units as U
 
 
@@ -280,6 +280,57 @@ def test_contract_drafts(spark):
     assert d.section == "study_design" and d.must == ["design", "study"] and d.should == [] and '"capture":"heading_block"' in d.draft
 
 
+def test_contracts_in_all_forms():
+    assert sections.required_facts(["a", "b"]) == [{"fact_key": "a", "required": True}, {"fact_key": "b", "required": True}]
+    assert sections.required_facts({"facts": ["a"]}) == sections.required_facts([{"fact_key": "a"}]) == [{"required": True, "fact_key": "a"}]
+    assert sections.required_facts(None) == sections.required_facts({}) == []
+    assert sections.required_facts({"facts": [{"fact_key": "a", "required": False}]}) == [{"required": False, "fact_key": "a"}]
+    c = sections.contract({"section": "x", "heading_match": "Study"})
+    assert c.must == ("study",) and c.should == () and c.pattern is None
+    assert sections.contract({"section": "x", "heading_match": ["A", "B"], "regex": "^z"}).pattern == "^z"
+
+
+def test_section_maps(spark):
+    long = "x" * 50
+    a = U.anchors(U.with_sections(U.units(docs(spark, f"Safety\n{long} one\nSafety part\n{long} two\nDesign\n{long} three", f"nothing here\n{long}"))))
+    listed = [sections.Contract("safety", ("safety",)), sections.Contract("design", ("design",), pattern="^D"), sections.Contract("parts", ("safety", "part"))]
+    maps = sections.map_sections(a, listed).cache()
+    text = {r.anchor_id: r.text_norm for r in a.collect()}
+    got = {(r.doc_id, r.section): (tuple(text[i].split()[-1] for i in r.anchor_ids), r.confidence, r.status) for r in maps.collect()}
+    assert got[0, "safety"] == (("Safety", "one"), 0.6, "needs_review")
+    assert got[0, "parts"] == (("part", "two"), 0.8, "mapped")  # the surer map keeps what both claim
+    assert got[0, "design"] == (("Design", "three"), 0.9, "mapped")
+    assert got[1, "safety"] == ((), 0.0, "needs_review") and maps.filter("doc_id = 1 AND notes = 'no heading match for safety'").count() == 1
+    changes = spark.createDataFrame([(0, "safety", ["z"], None), (1, "safety", None, "seen"), (7, "own", ["q"], None)], "doc_id long, section string, anchor_ids array<string>, notes string")
+    laid = sections.override(maps, changes).cache()
+    got = {(r.doc_id, r.section): r for r in laid.collect()}
+    assert got[0, "safety"].anchor_ids == ["z"] and got[0, "safety"].status == "overridden" and got[0, "safety"].confidence == 0.6
+    assert got[1, "safety"].anchor_ids == [] and got[1, "safety"].notes == "seen" and got[1, "safety"].mapped_by == "user"
+    assert got[7, "own"].confidence == 1.0 and got[0, "parts"].status == "mapped"
+    kept = {(r.doc_id, r.section): r for r in sections.rebuild(laid, maps).collect()}
+    forced = {(r.doc_id, r.section): r for r in sections.rebuild(laid, maps, force=True).collect()}
+    assert kept[0, "safety"].anchor_ids == ["z"] and forced[0, "safety"].anchor_ids != ["z"] and forced[0, "safety"].status == "needs_review"
+    assert kept[7, "own"].status == forced[7, "own"].status == "overridden"
+
+
+def test_topic_maps(spark):
+    assigned = spark.createDataFrame([(1, 1, "a", 0.6), (1, 2, "a", 0.8), (1, 3, "b", 0.5), (1, 4, None, None)], "doc_id long, block_no long, topic string, score double")
+    members = spark.createDataFrame([(1, b, 10 * b + i, f"u{b}{i}") for b in range(1, 5) for i in range(2)], "doc_id long, block_no long, para_index int, anchor_id string")
+    got = {r.topic: (r.blocks, r.anchor_ids, r.confidence) for r in topics.topic_maps(assigned, members).collect()}
+    assert got == {"a": ([1, 2], ["u10", "u11", "u20", "u21"], 0.7), "b": ([3], ["u30", "u31"], 0.5)}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"m{rng.randrange(30)}", f"m{rng.randrange(30)}") for _ in range(25)]
+    got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    to = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            to[a] = to[b] = min(to[a], to[b])
+    assert got == to
+
+
 def test_topics_see_their_predecessor(spark):
     b = spark.createDataFrame([(1, 1, "Safety", "", "z"), (1, 2, "unclear", "", "z"), (2, 1, "unclear", "", "z")], "doc_id long, block_no long, heading string, text string, zone string")
     got = {(r.doc_id, r.block_no): r.topic for r in topics.assign(b, [{"key": "safety", "aliases": ["safety"], "priors": {"z": 0.9}}]).collect()}

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from stemma.operators import headings, schedule
 from stemma.sources import corpora, docx
 from stemma.streaming import metrics
@@ -110,3 +112,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("counts").collect()) == sorted(metrics.windowed_counts(src).collect())
+
+
+def test_a_table_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "mapping")
+    corpora.replace_table(spark.range(3), path)
+    corpora.replace_table(spark.read.parquet(path).selectExpr("id + 10 AS id"), path)  # reads what it replaces
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10, 11, 12]
+    with pytest.raises(Exception):
+        corpora.replace_table(spark.range(3).selectExpr("raise_error('no')"), path)
+    assert spark.read.parquet(path).count() == 3 and not [p for p in tmp_path.iterdir() if ".old" in p.name]
