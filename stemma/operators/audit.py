@@ -64,7 +64,10 @@ def sums(facts: DataFrame, total: str, parts: list[str], tolerance: float = 0.01
 
 def cross_mentions(items: DataFrame, texts: DataFrame) -> DataFrame:
     """Items of one document (doc_id, other_doc, item) that the other's text (other_doc, text) never mentions."""
-    rows = items.join(texts, "other_doc").filter(~F.lower("text").contains(F.lower("item")))
+    # one row for each pair of documents, so that a text isn't repeated for every item
+    asked = items.groupBy("doc_id", "other_doc").agg(F.collect_list("item").alias("items"))
+    low = asked.join(texts.select("other_doc", F.lower("text").alias("low")), "other_doc")
+    rows = low.select("doc_id", "other_doc", F.explode(F.filter("items", lambda x: ~F.col("low").contains(F.lower(x)))).alias("item"))
     return _issues(rows.select("doc_id", F.lit("not_mentioned").alias("category"), F.col("other_doc").cast("string").alias("location"), F.col("item").alias("detail")), "cross_mention", "major")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as P
+from ..operators.ordering import numbered
 from .base import UNIT, units
 from .registry import Registry, table
 
@@ -253,8 +254,8 @@ def rank_map_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4, T5: ordering by a listed preference, everything else last."""
     at = F.array_position(F.array(F.lit("es"), F.lit("de")), F.col("lang"))
     rank = F.when(at > 0, at).otherwise(10000).cast("int")
-    w = Window.partitionBy("source").orderBy("rank", "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", rank.alias("rank")).select("doc_id", "lang", "rank", F.row_number().over(w).cast("long").alias("place"))
+    ranked = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", rank.alias("rank"))
+    return numbered(ranked, "source", ["rank", "doc_id"], "doc_id").select("doc_id", "lang", "rank", F.col("no").alias("place"))
 
 
 @R.query("t06_pagination", "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100")

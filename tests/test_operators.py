@@ -226,9 +226,9 @@ def test_upsert(spark):
 
 
 def test_audits(spark):
-    u = U.units(docs(spark, "TODO fill this\nThe ECG (ECG) is used and the MRI too", "fine"))
+    u = U.units(docs(spark, "TBD fill this\nThe ECG (ECG) is used and the MRI too", "fine"))
     got = {(r.auditor, r.category, r.detail) for r in audit.placeholders(u).union(audit.abbreviations(u)).collect()}
-    assert ("placeholder", "todo", "TODO") in got and ("abbreviation", "missing", "MRI") in got
+    assert ("placeholder", "tbd", "TBD") in got and ("abbreviation", "missing", "MRI") in got
     issues, failed = audit.run_all({"a": lambda: audit.placeholders(u), "b": lambda: u.select("nope")}, spark)
     assert issues.count() == 1 and set(failed) == {"b"}
 
@@ -320,6 +320,22 @@ def test_topic_maps(spark):
     assert got == {"a": ([1, 2], ["u10", "u11", "u20", "u21"], 0.7), "b": ([3], ["u30", "u31"], 0.5)}
 
 
+def test_numbers_over_ranges(spark):
+    from stemma.operators.ordering import numbered
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), i, rng.randrange(5)) for i in range(300)]
+    got = numbered(spark.createDataFrame(rows, "g string, id long, r int"), "g", ["r", "id"], "id", range_rows=7).collect()
+    assert len(got) == 300
+    for g in ("hot", "a", "b", None):
+        mine = sorted((r, i) for x, i, r in rows if x == g)
+        place = {i: k for k, (_, i) in enumerate(mine)}
+        for x in got:
+            if x.g == g:
+                k = place[x.id]
+                assert (x.no, x.previous) == (k + 1, mine[k - 1][1] if k else None)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"m{rng.randrange(30)}", f"m{rng.randrange(30)}") for _ in range(25)]

@@ -47,5 +47,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_a_kernel():
-    kernels = {"w05_chunks", "f08_hash_embedding", "j12_aligned_versions", "j14_alignment_stats", "d02_extracted_facts", "d12_objectives", "d13_all_audits", "a30_heading_clusters", "a33_cluster_summaries", "w07_topic_assignment"}
+    kernels = {"f08_hash_embedding", "j12_aligned_versions", "j14_alignment_stats", "j18_impact", "d02_extracted_facts", "d12_objectives", "d19_topic_maps", "a30_heading_clusters", "a33_cluster_summaries", "w07_topic_assignment"}
     assert plans.queries().keys() - plans.oracle_sql().keys() == kernels
