@@ -128,7 +128,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = [(kind, size) for kind in sizes for size in sorted(sizes[kind])]
     length = lambda size: F.greatest(F.col("n") - (size - 1), F.lit(0))
     every = F.flatten(F.array(*(F.col(names[k]) for k in asked))) if asked else F.array().cast("array<bigint>")
-    found = cut.select("row_id", "n", F.posexplode(every).alias("at", "hash"))
+    # an outer explode, as Spark guards a plain one by the array's size, for which it would be computed twice
+    found = cut.select("row_id", "n", F.posexplode_outer(every).alias("at", "hash"))
     met = found.join(small(items, BROADCAST_ROWS), "hash")
     # a window's place in its text: its place among all windows, less the windows of the kinds and sizes before
     before = reduce(lambda out, i: out.when((F.col("kind") == asked[i][0]) & (F.col("size") == asked[i][1]), sum((length(s) for _, s in asked[:i]), F.lit(0))), range(len(asked)), F.when(F.lit(False), 0))

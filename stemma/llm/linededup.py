@@ -58,15 +58,16 @@ def _keys(masked: Column) -> tuple[Column, Column]:
 
 def places(rows: DataFrame) -> DataFrame:
     """row_id, doc_id, copy, place, chars, leaf, line of each line that has a token; copy: equal for texts with equal masked lines."""
+    # an outer explode, as Spark guards a plain one by the array's size, for which it would be computed twice
     masked = rows.select("row_id", "doc_id", masked_lines(F.col("text")).alias("m"))
-    one = masked.select("row_id", "doc_id", F.xxhash64("m").alias("copy"), F.posexplode("m").alias("place", "masked")).filter("masked <> ''")
+    one = masked.select("row_id", "doc_id", F.xxhash64("m").alias("copy"), F.posexplode_outer("m").alias("place", "masked")).filter("masked <> ''")
     return one.select("row_id", "doc_id", "copy", "place", F.length("masked").alias("chars"), *_keys(F.col("masked")))
 
 
 def kinds_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """leaf, line, n, masked of the kinds of line in leaves that hold several; only their text is looked at."""
     several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("leaf")
-    text = rows.select(F.explode(masked_lines(F.col("text"))).alias("masked")).filter("masked <> ''").select(*_keys(F.col("masked")), "masked")
+    text = rows.select(F.explode_outer(masked_lines(F.col("text"))).alias("masked")).filter("masked <> ''").select(*_keys(F.col("masked")), "masked")
     return text.join(small(checkpoint(several), BROADCAST_ROWS), "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
 
 

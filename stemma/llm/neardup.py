@@ -293,6 +293,10 @@ def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame, reps: Data
     return cols.union(rows).groupBy("group", "i", "j").applyInArrow(_block, "a long, b long")
 
 
+#: Edges aimed at for one partition while components are found.
+EDGES_TOGETHER = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component for each node of the links (a, b); component is the smallest node reachable.
 
@@ -304,19 +308,23 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpoint(edges)
     mark = None
     while True:
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (seen.n, seen.h) == mark:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))
+        mark = (seen.n, seen.h)
+        # few edges in many partitions would be many files a step, and there are several steps a round
+        parts = 1 + seen.n // EDGES_TOGETHER
+        edges = edges.coalesce(parts)
         # large-star: every larger neighbour of u now points at u's smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
         # small-star: u and its smaller neighbours point at the smallest of them
+        edges = edges.coalesce(parts)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(least, "u")
-        edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = checkpoint(edges)
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))
-        mark = (seen.n, seen.h)
+        edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(parts).distinct()
+        edges = checkpoint(edges.coalesce(parts))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
