@@ -30,7 +30,7 @@ def _issues(df: DataFrame, auditor: str, severity: str) -> DataFrame:
 def placeholders(units: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """Units with placeholders, once per category."""
     found = F.array_compact(F.array(*(F.when(F.col("text_norm").rlike(p), F.struct(F.lit(k).alias("category"), F.regexp_extract("text_norm", p, 0).alias("detail"))) for k, p in (patterns or PLACEHOLDERS).items())))
-    rows = units.select("doc_id", F.col("para_index").cast("string").alias("location"), F.explode(found).alias("x"))
+    rows = units.select("doc_id", F.col("para_index").cast("string").alias("location"), F.explode_outer(found).alias("x")).filter("x IS NOT NULL")
     return _issues(rows.select("doc_id", "location", "x.category", "x.detail"), "placeholder", "major")
 
 
@@ -45,9 +45,9 @@ def abbreviations(units: DataFrame) -> DataFrame:
     where it stands in brackets. Roman numerals and a few fixed names are none.
     """
     words = F.filter(F.regexp_extract_all("text_norm", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-ZА-Я]{2,6}$") & ~w.isin(*NO_ABBREVIATIONS))
-    used = units.select("doc_id", "para_index", F.explode(words).alias("abbr")).groupBy("doc_id", "abbr").agg(F.count("*").alias("uses"), F.min("para_index").alias("first_use"))
+    used = units.select("doc_id", "para_index", F.explode_outer(words).alias("abbr")).filter("abbr IS NOT NULL").groupBy("doc_id", "abbr").agg(F.count("*").alias("uses"), F.min("para_index").alias("first_use"))
     opened = F.regexp_extract_all("text_norm", F.lit(r"\(([A-ZА-Я]{2,6})\)"), F.lit(1))
-    defined = units.select("doc_id", "para_index", F.explode(opened).alias("abbr")).groupBy("doc_id", "abbr").agg(F.min("para_index").alias("defined_at"))
+    defined = units.select("doc_id", "para_index", F.explode_outer(opened).alias("abbr")).filter("abbr IS NOT NULL").groupBy("doc_id", "abbr").agg(F.min("para_index").alias("defined_at"))
     both = used.join(defined, ["doc_id", "abbr"], "left")
     category = F.when(F.col("defined_at").isNull(), "missing").when(F.col("uses") == 1, "unused").when(F.col("first_use") < F.col("defined_at"), "unexpanded")
     rows = both.select("doc_id", category.alias("category"), F.col("first_use").cast("string").alias("location"), F.col("abbr").alias("detail")).filter("category IS NOT NULL")

@@ -61,7 +61,7 @@ def best_headings(units: DataFrame, contracts: list[Contract]) -> DataFrame:
 
     Headings of the first two levels come first, then the score, then the earlier one.
     """
-    h = U.block_ends(units).select("doc_id", "para_index", "end_index", "level", "anchor_id", F.explode(heading_scores(F.col("text_norm"), contracts)).alias("x"))
+    h = U.block_ends(units).select("doc_id", "para_index", "end_index", "level", "anchor_id", F.explode_outer(heading_scores(F.col("text_norm"), contracts)).alias("x")).filter("x IS NOT NULL")
     best = h.groupBy("doc_id", "x.section").agg(F.max(F.struct((F.col("level") <= 2).alias("near"), F.col("x.score").alias("score"), (-F.col("para_index")).alias("back"), "end_index", "anchor_id")).alias("b"))
     return best.select("doc_id", "section", (-F.col("b.back")).alias("para_index"), "b.end_index", F.col("b.anchor_id").alias("heading"), "b.score")
 

@@ -26,7 +26,7 @@ def so_far():
 
 def units(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, para_index, text_norm, kind (hdr or p), level of each line with text."""
-    lines = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("para_index", "raw"))
+    lines = docs.select("doc_id", "source", "lang", F.posexplode_outer(F.split("text", "\n", -1)).alias("para_index", "raw"))
     one = lines.select("doc_id", "source", "lang", "para_index", T.collapse_space(F.col("raw")).alias("text_norm")).filter("text_norm <> ''")
     heading = F.length("text_norm") <= HEADING_CHARS
     level = F.least(F.lit(LEVELS), T.word_count(F.col("text_norm")))
