@@ -53,12 +53,14 @@ def fact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "d05_replace_evidence",
-    "SELECT e.event_id, e.user_id FROM events e WHERE e.user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+    """WITH o AS (SELECT DISTINCT user_id, event_type, event_id AS anchor_id FROM events WHERE event_id % 3 <> 0), n AS (SELECT DISTINCT user_id, event_type, event_id AS anchor_id FROM events WHERE event_id % 3 = 0 AND value > 50)
+    SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = o.user_id AND n.event_type = o.event_type) UNION ALL SELECT * FROM n WHERE anchor_id IN (SELECT event_id FROM events WHERE event_id % 7 <> 0)""",
 )
 def replace_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence is kept only where its anchor is known."""
-    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id").join(known, "user_id", "left_semi")
+    """New evidence replaces that of its facts, as far as its units are known; other facts keep theirs."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("anchor_id"), "value")
+    known = e.filter("anchor_id % 7 <> 0").select("anchor_id")
+    return X.replace_evidence(e.filter("anchor_id % 3 <> 0").drop("value"), e.filter("anchor_id % 3 = 0 AND value > 50").drop("value"), known, ["user_id", "event_type"])
 
 
 @R.query(
@@ -184,10 +186,12 @@ def all_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), CASE WHEN d.n_chars > 1000 THEN 'long' END, 'unknown') AS profile, CASE WHEN l.quality IS NOT NULL THEN 'label' WHEN d.n_chars > 1000 THEN 'anchor' ELSE 'default' END AS origin FROM documents d LEFT JOIN labels l USING (doc_id)",
 )
 def core_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by precedence, with where each came from."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    long = F.when(F.col("n_chars") > 1000, "long")
-    return d.select("doc_id", F.coalesce(F.col("quality").cast("string"), long, F.lit("unknown")).alias("profile"), F.when(F.col("quality").isNotNull(), "label").when(long.isNotNull(), "anchor").otherwise("default").alias("origin"))
+    """One value of each core fact by the order of its sources, with where it came from: labels, then lengths, then a default."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    source = lambda rows, value: rows.select("doc_id", F.lit("profile").alias("fact_key"), value.alias("value"), F.lit(1.0).alias("confidence"), F.col("doc_id").cast("string").alias("anchor_id"))
+    labels = source(table(spark, sf_dir, "labels").join(d, "doc_id", "left_semi"), F.col("quality").cast("string"))
+    found = X.core_facts({"label": labels, "anchor": source(d, F.when(F.col("n_chars") > 1000, "long")), "default": source(d, F.lit("unknown"))})
+    return found.select("doc_id", F.col("value").alias("profile"), "origin")
 
 
 @R.query(
