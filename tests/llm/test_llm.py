@@ -702,6 +702,26 @@ def test_pipeline(spark):
     assert sorted(direct) == sorted(frame.select("doc_id", "ids_sha256").collect())
 
 
+def test_stages_of_odd_rows(spark):
+    """Nulls, repeated rows, very long texts, clashing names and empty tables go through every stage; columns stay as they are."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clash = odd(spark).withColumns({k: F.lit("mine") for k in ("row", "row_id", "rejected", "n_lines", "kept", "text_key", "n_tokens", "_text")})
+    for frame, ids in ((clash, [1, 3, 4, 4, None]), (clash.limit(0), [])):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, frame, "/root/testdata/sf0.001")
+            rows = out.collect()
+            if name != "byte_bpe":
+                assert out.columns == clash.columns and all(r.row == r.kept == "mine" for r in rows)
+            if name == "byte_bpe":
+                assert len(rows) == (7 if ids else 0)
+            elif name == "language_id":
+                assert {r.doc_id for r in rows} <= {None, 3, 4} and all(r.text for r in rows)
+            elif name == "minhash_near_dedup":
+                assert sorted(r.doc_id or 0 for r in rows) == ([0, 1, 2, 3, 4, 5] if ids else [])
+            else:
+                assert len(rows) == (7 if ids else 0)
+
+
 def test_chunks_of_arrow_text():
     texts = pa.array(["A b c d e f", None, "", "x y"]).slice(1)
     runs = list(common.text_chunks(texts, 2))
