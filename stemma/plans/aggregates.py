@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
+from ..streaming import metrics as S
 from .base import PAIR, SECTION, UNIT, sections, units
 from .registry import Registry, table
 
@@ -283,4 +284,11 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.quality_gate(m).select("source", "anchors", "headings", F.array_join("flags", ",").alias("flags"), "status")
 
 
+@R.query("x01_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: hourly counts of events, by the function that runs on a stream as well."""
+    w = S.windowed_counts(table(spark, sf_dir, "events").select("ts", "event_type", "value"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
