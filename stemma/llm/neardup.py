@@ -294,7 +294,7 @@ def behind_hubs(groups: DataFrame, found: DataFrame, docs: DataFrame, reps: Data
 
 
 #: Edges aimed at for one partition while components are found.
-EDGES_TOGETHER = 200_000
+EDGES_TOGETHER = 10_000
 
 
 def components(links: DataFrame) -> DataFrame:
