@@ -91,12 +91,12 @@ def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) ->
         return None
     present = (counts > 0).sum(axis=0)
     idf = (np.log((1 + len(counts)) / (1 + present)) + 1).astype(np.float32)
-    unit = counts * idf
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
     of = np.array(languages, object)
     owner, centroids = [], []
     for k, name in enumerate(names):
-        mine = unit[(of == name) & (sizes > 0)]
+        mine = counts[(of == name) & (sizes > 0)]  # one language's vectors at a time
+        mine *= idf
+        mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
         # farthest-first seeds, then spherical k-means
         seeds = [_unit(mine.mean(axis=0, keepdims=True))[0]]
         while len(seeds) < min(CENTROIDS, len(mine)):
@@ -111,7 +111,6 @@ def fit_vectors(counts: np.ndarray, sizes: np.ndarray, languages: list[str]) ->
         owner += [k] * len(seeds)
         centroids.append(seeds)
         del mine
-    del unit
     return Model(names, np.array(owner), np.vstack(centroids).astype(np.float32), idf, np.zeros(LENGTHS))
 
 
@@ -142,6 +141,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     for a, part, size in vectors(rows["text"]):
         counts[a : a + len(part)], sizes[a : a + len(part)] = part, size
     model = fit_vectors(counts, sizes, rows["lang"].to_pylist())
+    del counts
     if model:
         fit_limits(model, [x for x, n in zip(rows["text"].to_pylist(), sizes) if n])
     return model
