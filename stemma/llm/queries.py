@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, langid, licenses, linededup, neardup, quality, toxicity, warc
+from . import bpe, decontaminate, divergence, fingerprints, langid, licenses, linededup, neardup, quality, toxicity, warc
 from .common import table
 
 
@@ -61,7 +61,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op3_line_templates, op4_minhash_near_dedup, op5_toxicity_cnn, op6_template_decontamination, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of all sources of ``documents`` from each other and from their language, with their leading terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op3_line_templates, op4_minhash_near_dedup, op5_toxicity_cnn, op6_template_decontamination, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id, op11_source_divergence)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +122,20 @@ ORACLE_SQL: dict[str, str] = {
     m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
     SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, m.c = s.doc_id AS kept FROM s JOIN m ON m.d = s.doc_id
     """,
+    "op11_source_divergence": r"""
+    WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    own AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n, count(DISTINCT row_id) AS docs FROM w GROUP BY ALL),
+    whole AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM own GROUP BY ALL HAVING sum(docs) >= 3),
+    size AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS n FROM whole GROUP BY lang),
+    part AS (SELECT lang, source, CAST(sum(own.n) AS HUGEINT) AS n FROM own JOIN whole USING (lang, term) GROUP BY ALL),
+    grp AS (SELECT g.lang, g.source, coalesce(part.n, 0) + coalesce(v, 0) AS den, coalesce(size.n, 0) + coalesce(v, 0) AS lang_den FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN part USING (lang, source) LEFT JOIN size ON size.lang = g.lang),
+    p AS (SELECT grp.lang, grp.source, whole.term, coalesce(own.n, 0) AS n, 1 + (1000000000 * (coalesce(own.n, 0) + 1)) // den AS p, 1 + (1000000000 * (whole.n + 1)) // lang_den AS q
+          FROM grp JOIN whole USING (lang) LEFT JOIN own ON own.lang = grp.lang AND own.source = grp.source AND own.term = whole.term),
+    apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+    term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
