@@ -175,6 +175,20 @@ def text_chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tup
         at = end
 
 
+def text_runs(texts: pa.Array, chars: int) -> Iterator[list[str]]:
+    """The texts in runs of about ``chars`` characters, or one longer text; a null counts as an empty text."""
+    run, size = [], 0
+    for x in texts:
+        t = x.as_py() or ""
+        if run and size + len(t) > chars:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in a run of texts, and for each text the place of its first word (plus the total)."""
     if not len(data):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, fingerprints, langid, licenses, linededup, neardup, quality, tokenalign, toxicity, warc
+from . import bpe, decontaminate, divergence, fingerprints, langid, licenses, linededup, neardup, pii, quality, tokenalign, toxicity, warc
 from .common import table
 
 
@@ -73,7 +73,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str, byte_level: str | Non
     return tokenalign.align_documents(table(spark, sf_dir, "documents"), byte_level or public_tokenizers.path("byte_bpe_50k.json"), pieces or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op3_line_templates, op4_minhash_near_dedup, op5_toxicity_cnn, op6_template_decontamination, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id, op11_source_divergence, op12_token_alignment)}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: patterned kinds counted, and all spans."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_archives, op3_line_templates, op4_minhash_near_dedup, op5_toxicity_cnn, op6_template_decontamination, op7_packed_fingerprints, op8_license_scan, op9_quality_nbsvm, op10_language_id, op11_source_divergence, op12_token_alignment, op13_personal_data)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import checkpoint, fresh, text_runs
 
 #: Words, and their characters, that a worker remembers before it starts afresh; characters of text that are read at a time.
 MEMO, MEMO_CHARS, RUN_CHARS = 300_000, 8_000_000, 2_000_000
@@ -185,19 +185,6 @@ class Aligner:
         return numbers, has
 
 
-def _runs(texts: pa.Array) -> Iterator[list[str]]:
-    run, size = [], 0
-    for x in texts:
-        t = x.as_py() or ""
-        if run and size + len(t) > RUN_CHARS:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
-
-
 _ALIGNERS: dict[str, tuple[tuple, Aligner]] = {}
 
 
@@ -245,7 +232,7 @@ def link_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         codes, n, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         out = lambda c, m: pa.RecordBatch.from_arrays([pa.array(c), pa.array(m)], ["code", "docs"])
         for batch in batches:
-            for texts in _runs(batch.column(0)):
+            for texts in text_runs(batch.column(0), RUN_CHARS):
                 found = np.sort(_links(aligner, *aligner.read(texts))[1])
                 new, times = np.unique(found, return_counts=True)
                 waiting.append((new, times))
@@ -298,7 +285,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, keep: tuple[str,
         aligner = _aligner("sum" if few else "list", path_a, path_b, sent, sent_name)
         for batch in batches:
             at = 0
-            for texts in _runs(batch.column(len(keep))):
+            for texts in text_runs(batch.column(len(keep)), RUN_CHARS):
                 numbers, has = aligner.read(texts)
                 sums = np.array([aligner.counts[:, k].sum(axis=1) if h else np.zeros(7, np.int64) for k, h in zip(numbers, has.tolist())]).reshape(len(texts), 7)
                 digest = [hashlib.sha256(";".join(map(aligner.groups.__getitem__, k.tolist())).encode()).hexdigest() if h else "" for k, h in zip(numbers, has.tolist())]
@@ -333,7 +320,7 @@ def aligned_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         aligner = _aligner("groups", path_a, path_b)
         for batch in batches:
             at = 0
-            for texts in _runs(batch.column(1)):
+            for texts in text_runs(batch.column(1), RUN_CHARS):
                 numbers, has = aligner.read(texts)
                 for i, (k, h) in enumerate(zip(numbers, has.tolist())):
                     sides = [g.split("|") for w in k.tolist() for g in aligner.groups[w].split(";")] if h else []

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from stemma.llm import divergence, tokenalign
+from stemma.llm import divergence, pii, tokenalign
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -184,3 +184,113 @@ def test_group_products(spark):
     groups = tokenalign.aligned_groups(docs(spark, [("unbelievable tokens", "en", "s"), (None, "en", "s")]), *paths())
     rows = groups.orderBy("group_no").collect()
     assert tokenalign.group_products(groups).count() == sum(len(r.a) * len(r.b) for r in rows) and len(rows) > 1
+
+
+# ---------------------------------------------------------------- 13
+
+
+def brute_base(text):
+    import re
+
+    out = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        doubled = [x * 2 - 9 * (x > 4) if k % 2 else x for k, x in enumerate(reversed(d))]
+        out += [("card", m.span())] * (13 <= len(d) <= 19 and sum(doubled) % 10 == 0)
+    out += [("phone", m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return [(pii.KINDS.index(k), *s) for k, s in out]
+
+
+def test_patterns_equal_brute_force():
+    rng = random.Random(7)
+    pieces = ["a", "Z9", "@", "@@", ".", "..", "-", "+", "+1", " ", "(", ")", "255", "256", "0", "1.2.3.4", "10.0.0.1.5", "4713332104704538", "4713 3321-0470 4538", "x.y@z.com", "@b.co", "%_", "é", "\n", "+49 (30) 90", "1820", "٣"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert pii.base_spans(text) == brute_base(text), text
+    long = "1" * 200_000 + " " + "a@" * 50_000 + "+1(" * 50_000
+    assert pii.base_spans(long) == brute_base("") + [s for s in pii.base_spans(long)]  # ends in time
+    assert pii.base_spans("1." * 100_000 + "x@" + "b-" * 100_000) is not None
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.fit(pii.labelled_table(spark))
+
+
+def test_viterbi_equals_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    field = pii.Field({}, np.zeros((0, len(pii.LABELS))), rng.normal(size=(len(pii.LABELS),) * 2))
+    runs = [rng.normal(size=(n, len(pii.LABELS))) for n in (3, 1, 2, 3, 1)]
+
+    def value(scores, path):
+        if not pii.ALLOWED[0, path[0]]:
+            return -np.inf
+        return sum(scores[t, k] for t, k in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(path, path[1:]))
+
+    for scores, got in zip(runs, field.decode(runs)):
+        best = max(product(range(len(pii.LABELS)), repeat=len(scores)), key=lambda p: value(scores, p))
+        assert tuple(got.tolist()) == best
+    assert field.decode([]) == []
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    scores, labels = rng.normal(size=(4, len(pii.LABELS))), np.array([0, 1, 2, 0])
+    moves = np.where(pii.ALLOWED, rng.normal(size=(len(pii.LABELS),) * 2), -np.inf)
+    value, by_word, by_move = pii.likelihood(scores, moves, labels)
+    for t, k in ((0, 0), (1, 3), (2, 2), (3, 5)):
+        more = scores.copy()
+        more[t, k] += 1e-6
+        assert abs((pii.likelihood(more, moves, labels)[0] - value) / 1e-6 - by_word[t, k]) < 1e-4
+    for a, b in ((0, 1), (1, 2), (3, 0)):
+        more = moves.copy()
+        more[a, b] += 1e-6
+        assert abs((pii.likelihood(scores, more, labels)[0] - value) / 1e-6 - by_move[a, b]) < 1e-4
+
+
+def test_field_learns_its_table_and_finds_the_like(field):
+    for sentence in pii.SENTENCES.strip().split("\n"):
+        text, spans = pii.marked(sentence)
+        (_, got), = pii.find([text], field)
+        assert [(pii.KINDS[k], text[s:e]) for k, s, e in got] == sorted(((k, text[s:e].strip('"')) for k, s, e in spans), key=lambda x: pii.KINDS.index(x[0])), sentence
+    unseen = {
+        "please ring (415) 555-2671 soon": [("phone", "(415) 555-2671")],
+        'here token = "0b5e2f7a9c3d4e6f8a1b2c3d4e5f60718293a4b5" ends': [("secret", "0b5e2f7a9c3d4e6f8a1b2c3d4e5f60718293a4b5")],
+        "Dear Sophie, as agreed": [("name", "Sophie")],
+        "Mr. Henry Adams left early": [("name", "Henry Adams")],
+        "her SSN 321-54-9876 is known": [("number", "321-54-9876")],
+        "write anna(at)example.net now": [("email", "anna(at)example.net")],
+        "in 1875 and 1990 some 45 of 90 came": [],
+        "on 2021-11-03 at 12:45, room 7": [],
+        "no numbers at all, Dr is a title": [],
+    }
+    for text, want in unseen.items():
+        (_, got), = pii.find([text], field)
+        assert [(pii.KINDS[k], text[s:e]) for k, s, e in got] == want, text
+
+
+def test_patterned_spans_stay_and_added_ones_do_not_overlap(field):
+    rng = random.Random(9)
+    pieces = ["+1 (499) 555-6503", "a@b.com", "1.2.3.4", "4713332104704538", "word", "Mr. John Smith", "\n", "12", "token", "=", '"9f86d081884c7d659a2feaa0c55ad015"', "(499) 555-6503"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    for text, (base, spans) in zip(texts, pii.find(texts, field)):
+        assert base == brute_base(text) and set(base) <= set(spans)
+        added = sorted(set(spans) - set(base), key=lambda x: x[1])
+        assert all(e <= s or v <= u for _, s, v in added for _, u, e in base)
+        assert all(a[2] <= b[1] for a, b in zip(added, added[1:]))
+
+
+def test_personal_data_frame(spark):
+    got = pii.personal_data(odd(spark), keep=("doc_id", "spans", "value")).collect()
+    assert len(got) == 7 and all(r.spans == "" and r.n_email == 0 and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
+    text = "é a@b.co 1.2.3.4 +1 (499) 555-6503 Dear Anna, pay 4713332104704538"
+    r = pii.personal_data(docs(spark, [(text, "en", "s")])).first()
+    base = brute_base(text)
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert r.base_sha256 == hashlib.sha256(pii.told(base).encode()).hexdigest() and r.spans == pii.told(base) + f",name:{text.index('Anna')}:{text.index('Anna') + 4}"
+    assert pii.personal_data(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        pii.fit(pii.labelled_table(spark), rows=3)
