@@ -3,8 +3,9 @@
 The ends of both token sequences cut a text into elementary intervals; each lies in one token of
 either side, so it is one overlap (``searchsorted`` finds the two owners), and an end that both sides
 share closes a group. Neither tokenizer joins a visible character and a space after it, so a text
-falls into words that are tokenized and aligned once per worker and looked up from then on; what is
-wanted of a text is a sum over its words.
+falls into words that a worker tokenizes, aligns and remembers; what is wanted of a text is a sum over
+its words. Texts are read once: their distinct linked id pairs are written packed beside the results,
+counted over all documents from there, and looked up in the counts.
 """
 
 from __future__ import annotations
@@ -13,18 +14,19 @@ import hashlib
 import json
 import os
 import re
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, fresh, text_runs
+from .common import checkpoint, fresh, text_runs, without
 
-#: Words, and their characters, that a worker remembers before it starts afresh; characters of text that are read at a time.
-MEMO, MEMO_CHARS, RUN_CHARS = 300_000, 8_000_000, 2_000_000
+#: Words, and their characters, that a worker remembers before it forgets rare ones; characters of text that are read at a time.
+MEMO, MEMO_CHARS, RUN_CHARS = 400_000, 8_000_000, 2_000_000
 #: Pairs of ids that are sent to all workers; beyond it pairs are joined by a shuffle.
 SENT_PAIRS = 4_000_000
 #: Pairs that a task counts before it passes them on, and parts of a pair that many documents hold in the shuffled join.
@@ -61,7 +63,7 @@ class ByteLevel:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """The ids of each word with a space before it."""
-        return [e.ids for e in self.of.encode_batch([f" {w}" for w in words], add_special_tokens=False)]
+        return [e.ids for e in self.of.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
 
 
 class Pieces:
@@ -92,11 +94,11 @@ class Aligner:
     """Texts as sequences of remembered words.
 
     For word w (a column of ``counts``): tokens of A and of B, groups, links, and whether the bytes
-    of both sides are those of the word; ``pairs`` holds the links' id pairs, word after word.
+    of both sides are not those of the word; ``pairs`` holds the links' id pairs, word after word.
     """
 
-    def __init__(self, path_a: str, path_b: str, sent: tuple | None = None) -> None:
-        self.a, self.b, self.sent = ByteLevel(path_a), Pieces(path_b), sent
+    def __init__(self, path_a: str, path_b: str) -> None:
+        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.width = len(self.b.tokens)
         self.size_a, self.size_b = (np.array([len(t) for t in side.tokens], np.int64) for side in (self.a, self.b))
         self.forget()
@@ -105,8 +107,25 @@ class Aligner:
         self.memo: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str] = []
-        self.counts = np.zeros((7, 0), np.int64)  # n_a, n_b, n_groups, n_links, not the same bytes, n_best, count_sum
+        self.counts = np.zeros((5, 0), np.int64)
         self.pairs, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Keeps the words that were met again since they came or were last kept, half of the memo at most."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > MEMO // 2:
+            keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[: MEMO // 2]])
+        names = list(self.memo)
+        self.memo = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.chars = sum(map(len, self.memo))
+        if self.chars > MEMO_CHARS // 2:
+            return self.forget()
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        n = self.at[keep + 1] - self.at[keep]
+        self.pairs = self.pairs[_ranges(self.at[keep], n)]
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        self.counts, self.seen = self.counts[:, keep], np.ones(len(keep), np.int64)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -129,7 +148,7 @@ class Aligner:
         fits = [b"".join(map(self.a.tokens.__getitem__, x)) == r == b"".join(map(self.b.tokens.__getitem__, y)) for r, x, y in zip(raw, found_a, found_b)]
         found_a, found_b = ([x if f else [] for x, f in zip(found, fits)] for found in (found_a, found_b))
         n = len(words)
-        counts = np.zeros((7, n), np.int64)
+        counts = np.zeros((5, n), np.int64)
         counts[0], counts[1], counts[4] = [len(x) for x in found_a], [len(x) for x in found_b], [not f for f in fits]
         ids_a, ids_b = (np.fromiter((i for x in found for i in x), np.int64, int(total)) for found, total in ((found_a, counts[0].sum()), (found_b, counts[1].sum())))
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
@@ -141,16 +160,13 @@ class Aligner:
         group_end = np.concatenate([[0], np.cumsum(shared)])[link_end]
         counts[3], counts[2] = np.diff(link_end, prepend=0), np.diff(group_end, prepend=0)
         self.groups += self._groups(ids_a, ids_b, a[shared] + 1, b[shared] + 1, group_end)
-        if self.sent is not None and len(codes):
-            best, times = self.look_up(codes)
-            for row, values in ((5, best), (6, times)):
-                counts[row] = np.diff(np.concatenate([[0], np.cumsum(values)])[link_end], prepend=0)
         for w in words:
             self.memo[w] = len(self.memo)
             self.chars += len(w)
         self.counts = np.concatenate([self.counts, counts], axis=1)
         self.pairs = np.concatenate([self.pairs, codes])
         self.at = np.concatenate([self.at, self.at[-1] + link_end])
+        self.seen = np.concatenate([self.seen, np.zeros(n, np.int64)])
 
     @staticmethod
     def _groups(ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, group_end: np.ndarray) -> list[str]:
@@ -163,37 +179,34 @@ class Aligner:
         ends = group_end.tolist()
         return [";".join(told[s:e]) for s, e in zip([0, *ends[:-1]], ends)]
 
-    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, docs, best = self.sent
-        if not len(known):
-            return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        hit = known[at] == codes
-        return (best[at] & hit).astype(np.int64), np.where(hit, docs[at], 0)
-
     def read(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """For each text its words' numbers; and whether it has tokens."""
         words = [self.words(t) if t else [] for t in texts]
-        new = {w for x in words for w in x}
+        new = {w for x in words for w in x} - self.memo.keys()
         if len(self.memo) + len(new) > MEMO or self.chars > MEMO_CHARS:
-            self.forget()
-        new = sorted(new - self.memo.keys())
+            self.thin()
+            new = {w for x in words for w in x} - self.memo.keys()
         if new:
-            self.learn(new)
+            self.learn(sorted(new))
         numbers = [np.fromiter(map(self.memo.__getitem__, x), np.int64, len(x)) for x in words]
+        self.seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(self.seen))
         has = np.array([bool(t) and not self.counts[4, k].any() for t, k in zip(texts, numbers)], bool)
         return numbers, has
 
 
-_ALIGNERS: dict[str, tuple[tuple, Aligner]] = {}
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them) for each start, one after the other."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
 
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
-def _aligner(use: str, path_a: str, path_b: str, sent=None, name: str = "") -> Aligner:
-    """A worker's aligner for a use; what is sent goes by its name."""
-    key = (path_a, path_b, name)
-    if use not in _ALIGNERS or _ALIGNERS[use][0] != key:
-        _ALIGNERS[use] = (key, Aligner(path_a, path_b, sent.value if sent is not None else None))
-    return _ALIGNERS[use][1]
+
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """The aligner of a worker."""
+    if (path_a, path_b) not in _ALIGNERS:
+        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
+    return _ALIGNERS[path_a, path_b]
 
 
 def _links(aligner: Aligner, numbers: list[np.ndarray], has: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,13 +221,11 @@ def _links(aligner: Aligner, numbers: list[np.ndarray], has: np.ndarray) -> tupl
             doc.append(np.full(len(w), i))
     word, times, doc = np.concatenate(word), np.concatenate(times), np.concatenate(doc)
     n = aligner.at[word + 1] - aligner.at[word]
-    total = int(n.sum())
-    at = np.repeat(aligner.at[word] - (np.cumsum(n) - n), n) + np.arange(total)
-    keys = np.repeat(doc, n) * span + aligner.pairs[at]
+    keys = np.repeat(doc, n) * span + aligner.pairs[_ranges(aligner.at[word], n)]
     order = np.argsort(keys, kind="stable")
     keys, weight = keys[order], np.repeat(times, n)[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if total else np.zeros(0, np.int64)
-    return keys[first] // span, keys[first] % span, np.add.reduceat(weight, first) if total else first
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first] // span, keys[first] % span, np.add.reduceat(weight, first) if len(keys) else first
 
 
 def _sum_by(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,36 +235,67 @@ def _sum_by(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.add.reduceat(n, first) if len(codes) else n
 
 
-def link_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """code, docs, best: how many documents hold each linked id pair, and whether that is the most of its A id (ties included)."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 in the narrowest type, compressed; the first byte names the type."""
+    narrow = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return narrow.dtype.char.encode() + zlib.compress(narrow.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), packed[:1].decode()).astype(np.int64)
+
+
+def unpack_links(codes: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct linked id pairs, ascending, and how often each is linked."""
+    return np.cumsum(_unpacked(codes)), _unpacked(times)
+
+
+def link_counts(links: DataFrame, width: int) -> DataFrame:
+    """code, docs, best from packed links (codes, times): how many documents hold each linked id pair, and whether that is the most of its A id (ties included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner("count", path_a, path_b)
         codes, n, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         out = lambda c, m: pa.RecordBatch.from_arrays([pa.array(c), pa.array(m)], ["code", "docs"])
         for batch in batches:
-            for texts in text_runs(batch.column(0), RUN_CHARS):
-                found = np.sort(_links(aligner, *aligner.read(texts))[1])
-                new, times = np.unique(found, return_counts=True)
-                waiting.append((new, times))
-                held += len(new)
-                if held > 2 * len(codes) + 500_000:
-                    codes, n = _sum_by(np.concatenate([codes, *(c for c, _ in waiting)]), np.concatenate([n, *(m for _, m in waiting)]))
-                    waiting, held = [], 0
-                if len(codes) > HELD_PAIRS:
-                    yield out(codes, n)
-                    codes, n = codes[:0], n[:0]
+            found = [np.cumsum(_unpacked(x.as_py())) for x in batch.column(0)]
+            new, times = np.unique(np.concatenate([codes[:0], *found]), return_counts=True)
+            waiting.append((new, times))
+            held += len(new)
+            if held > 2 * len(codes) + 500_000:
+                codes, n = _sum_by(np.concatenate([codes, *(c for c, _ in waiting)]), np.concatenate([n, *(m for _, m in waiting)]))
+                waiting, held = [], 0
+            if len(codes) > HELD_PAIRS:
+                yield out(codes, n)
+                codes, n = codes[:0], n[:0]
         yield out(*_sum_by(np.concatenate([codes, *(c for c, _ in waiting)]), np.concatenate([n, *(m for _, m in waiting)])))
 
-    width = len(Pieces(path_b).tokens)
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
+    counts = links.select("codes").mapInArrow(run, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
     counts = checkpoint(counts).withColumn("a", F.expr(f"code div {width}"))
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
     return counts.join(most, "a").select("code", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
 
+def _summed(batches: Iterator[pa.RecordBatch], known: np.ndarray, docs: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The row number, n_best and count_sum of packed links, by looking their pairs up."""
+    for batch in batches:
+        best_links, total = [], []
+        for c, t in zip(batch.column(1), batch.column(2)):
+            codes, times = unpack_links(c.as_py(), t.as_py())
+            at = np.searchsorted(known, codes)
+            best_links.append(int(times[best[at]].sum()))
+            total.append(int((times * docs[at]).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_links, pa.int64()), pa.array(total, pa.int64())], ["row", "n_best", "count_sum"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed links as rows: the row number, an id pair and how often it is linked."""
+    for batch in batches:
+        for row, c, t in zip(batch.column(0), batch.column(1), batch.column(2)):
+            codes, times = unpack_links(c.as_py(), t.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row.as_py())), pa.array(codes), pa.array(times)], ["row", "code", "times"])
+
+
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-LINKS = "array<struct<code: bigint, times: bigint>>"
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, keep: tuple[str, ...] = ("doc_id",), sent_pairs: int = SENT_PAIRS) -> DataFrame:
@@ -268,56 +310,55 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, keep: tuple[str,
     U+2581), has no tokens: zeros, and '' as digest. Repeated rows count as documents of their own; an
     empty table gives no rows; a column of ``keep`` that is named like a result gives way to it.
 
-    Counts of up to ``sent_pairs`` id pairs (their number is bounded by both vocabularies) go to all
-    workers, and texts are read a second time; beyond it links are exploded and joined.
+    Counts of up to ``sent_pairs`` id pairs (their number is bounded by both vocabularies) are sent to
+    all workers; beyond it links become rows and are joined, a pair spread over ``SALTS`` parts.
     """
-    named = {c.split()[0] for c in RESULT.split(", ")}
-    keep = tuple(k for k in keep if k.lower() not in named)
-    counts = checkpoint(link_counts(docs, path_a, path_b))
-    few = counts.count() <= sent_pairs
-    sent, sent_name = None, uuid.uuid4().hex
-    if few:
-        t = counts.toArrow()
-        order = np.argsort(t.column("code").to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(t.column(c).to_numpy(zero_copy_only=False)[order] for c in ("code", "docs", "best")))
+    results = [c.split()[0] for c in RESULT.split(", ")]
+    keep = without(keep, *results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner("sum" if few else "list", path_a, path_b, sent, sent_name)
+        aligner = _aligner(path_a, path_b)
         for batch in batches:
             at = 0
             for texts in text_runs(batch.column(len(keep)), RUN_CHARS):
                 numbers, has = aligner.read(texts)
-                sums = np.array([aligner.counts[:, k].sum(axis=1) if h else np.zeros(7, np.int64) for k, h in zip(numbers, has.tolist())]).reshape(len(texts), 7)
+                sums = np.array([aligner.counts[:4, k].sum(axis=1) if h else np.zeros(4, np.int64) for k, h in zip(numbers, has.tolist())]).reshape(len(texts), 4)
                 digest = [hashlib.sha256(";".join(map(aligner.groups.__getitem__, k.tolist())).encode()).hexdigest() if h else "" for k, h in zip(numbers, has.tolist())]
-                columns = [batch.column(k).slice(at, len(texts)) for k in range(len(keep))] + [pa.array(sums[:, k]) for k in (0, 1, 2, 3, 5, 6)] + [pa.array(digest, pa.string())]
-                if not few:
-                    doc, code, times = _links(aligner, numbers, has)
-                    offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(code), pa.array(times)], ["code", "times"])))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                doc, code, times = _links(aligner, numbers, has)
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+                packed = [(_packed(np.diff(code[a:b], prepend=0)), _packed(times[a:b])) for a, b in zip(cut, cut[1:])]
+                kept = [batch.column(k).slice(at, len(texts)) for k in range(len(keep))]
+                columns = [pa.StructArray.from_arrays(kept, list(keep)) if keep else pa.nulls(len(texts), pa.struct([])), *(pa.array(sums[:, k]) for k in range(4)), pa.array(digest, pa.string()), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["kept", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"])
                 at += len(texts)
 
-    listed = fresh("links", keep)
     frame = docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").cast("string").alias(fresh("_text", keep)))
-    names = [*keep, *(c.split()[0] for c in RESULT.split(", ")), *([] if few else [listed])]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)]), RESULT, *([] if few else [f"{listed} {LINKS}"])])
-    out = frame.mapInArrow(run, schema)
-    if few:
-        return out
-    row, salt = fresh("_row", names), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    out = checkpoint(out.withColumn(row, F.monotonically_increasing_id()))
-    one = out.select(row, F.explode(listed).alias("l")).select(row, "l.code", "l.times").withColumn("salt", salt)
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sums = one.join(spread, ["code", "salt"]).groupBy(row).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("_best"), F.sum(F.col("times") * F.col("docs")).alias("_sum"))
-    out = out.join(sums, row, "left").withColumn("n_best", F.coalesce("_best", F.lit(0))).withColumn("count_sum", F.coalesce("_sum", F.lit(0)))
-    return out.select(*(f"`{n}`" for n in names[:-1]))
+    kept = T.StructType(frame.schema.fields[: len(keep)])
+    schema = T.StructType().add("kept", kept)
+    for name in ("n_a", "n_b", "n_groups", "n_links"):
+        schema = schema.add(name, "long")
+    schema = schema.add("groups_sha256", "string").add("codes", "binary").add("times", "binary")
+    done = checkpoint(frame.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    links = done.filter("n_links > 0").select("row", "codes", "times")
+    counts = checkpoint(link_counts(links, len(Pieces(path_b).tokens)))
+    if counts.count() <= sent_pairs:
+        table = counts.toArrow()
+        order = np.argsort(table.column("code").to_numpy())
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy()[order] for c in ("code", "docs", "best")))
+        sums = links.mapInArrow(lambda batches: _summed(batches, *sent.value), "row long, n_best long, count_sum long")
+    else:
+        one = links.mapInArrow(_listed, "row long, code long, times long").withColumn("salt", (F.col("row") % SALTS).cast("int"))
+        spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sums = one.join(spread, ["code", "salt"]).groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
+    out = done.drop("codes", "times").join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
+    return out.select("kept.*", *results)
 
 
 def aligned_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, group_no (from 0), a, b: the ids of every group of every text, in order; the product of a and b has all its id pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner("groups", path_a, path_b)
+        aligner = _aligner(path_a, path_b)
         for batch in batches:
             at = 0
             for texts in text_runs(batch.column(1), RUN_CHARS):
