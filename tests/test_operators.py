@@ -244,7 +244,7 @@ def _clustered(headings):
     """All headings of a group at once, in one process."""
     distinct = sorted(set(headings))
     x = clusters.tfidf(distinct)
-    label = clusters.average_linkage(x)
+    label = clusters.average_linkage(x, ranks=clusters.tie_ranks(distinct))
     kinds = sorted(set(label))
     centroids = np.array([x[[i for i, c in enumerate(label) if c == k]].mean(axis=0) for k in kinds])
     to = clusters.merge_centroids(centroids)
@@ -269,11 +269,40 @@ def test_clusters_of_parts_equal_those_of_all(spark):
         mine = [r for r in got if r.grp == grp]
         want = _clustered([h for g, h in rows if g == grp])
         assert len(want) > 3 and {frozenset(r.heading for r in mine if r.cluster_id == c) for c in {r.cluster_id for r in mine} - {None}} == want
+    same = clusters.cluster_headings(spark.createDataFrame(rows, "grp string, text_norm string"), alone=3).collect()
+    assert sorted((r.grp or "", r.heading, r.cluster_id or "") for r in same) == sorted((r.grp or "", r.heading, r.cluster_id or "") for r in got)
     summed = clusters.summaries(spark.createDataFrame([("a", "x y", 3, "k"), ("a", "x z", 1, "k"), ("a", "q", 1, None)], "grp string, heading string, n long, cluster_id string")).collect()
     assert len(summed) == 1 and summed[0].top_titles == ["x y", "x z"] and summed[0]["size"] == 4
     assert np.allclose(summed[0].embedding, (3 * chunks.hashed_embedding("x y") + chunks.hashed_embedding("x z")) / 4, atol=1e-6)
 
 
+def test_linkage_in_rounds_equals_that_of_one_task(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[i : i + 9]) for i in range(50)]  # every heading is near its neighbours, ties all along
+    loose = [" ".join(rng.choices(words[:12], k=rng.randint(3, 9))) for _ in range(40)]
+    both, want = [], {}
+    for group, texts in (("chain", sorted(set(chain))), ("loose", sorted(set(loose)))):
+        label = clusters.average_linkage(clusters.tfidf(texts), 0.4, clusters.tie_ranks(texts))
+        want |= {(group, t): texts[label.index(c)] for t, c in zip(texts, label)}
+        both += [(group, t) for t in texts]
+        assert len(set(label)) < len(texts)
+    rows = clusters.vectors(spark.createDataFrame(both, "grp string, heading string"))
+    got = {(r.grp, r.heading): r.cluster for r in clusters.linkage_rounds(rows, 0.4).collect()}
+    assert got == {k: want[k] for k in got} and len(got) > 80
+
+
+def test_most_frequent_terms(spark):
+    rng = random.Random(3)
+    rows = [(g, f"t{i:03d}", rng.randint(1, 6)) for g in ("a", "b", None) for i in range(rng.randint(5, 60))]
+    frame = spark.createDataFrame(rows, "grp string, term string, total long")
+    for features in (1, 7, 20, 100):
+        want = [x for g in ("a", "b", None) for x in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:features]]
+        found = clusters.most_frequent(frame, features)
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+    assert "[grp" not in "".join(x for x in found._jdf.queryExecution().toString().split("Window ")[1:] if x.startswith("[") and "_range" not in x.split("\n")[0])
+
+
 def test_contract_drafts(spark):
     df = spark.createDataFrame([("g", "c", ["Study design", "Design of the study", "Study design plan"])], "grp string, cluster_id string, top_titles array<string>")
     d = clusters.contract_drafts(df).first()
