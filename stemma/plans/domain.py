@@ -238,14 +238,59 @@ def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.summaries(K.cluster_headings(h))
 
 
-@R.query("w07_topic_assignment")
-def topic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of blocks, each seeing its predecessor's."""
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading blocks with the first two sentences of their first paragraph; the language stands for the zone."""
     b = U.blocks(units(spark, sf_dir)).filter("block_no > 0")
     blocks = b.groupBy("doc_id", "block_no").agg(F.max(F.when(F.col("kind") == "hdr", F.col("text_norm"))).alias("heading"), F.min_by(F.when(F.col("kind") == "p", F.col("text_norm")), F.when(F.col("kind") == "p", F.col("para_index"))).alias("t"), F.max("lang").alias("zone"))
-    blocks = blocks.select("doc_id", "block_no", "heading", T.first_sentences(F.coalesce("t", F.lit(""))).alias("text"), "zone")
-    topics = [{"key": "english", "keywords": ["the", "of", "and"], "aliases": ["of the"], "priors": {"en": 0.8, "de": 0.1}}, {"key": "german", "keywords": ["der", "und", "die"], "priors": {"de": 0.8}}, {"key": "romance", "keywords": ["de", "la", "que"], "priors": {"fr": 0.7, "es": 0.7}, "exclude": ["the "]}]
-    return W.assign(blocks, topics)
+    return blocks.select("doc_id", "block_no", "heading", T.first_sentences(F.coalesce("t", F.lit(""))).alias("text"), "zone")
+
+
+#: Topics of the driver's prose, by keywords, priors of languages and prototypes.
+BLOCK_TOPICS = [
+    {"key": "english", "keywords": ["the", "of", "and"], "priors": {"en": 0.8, "de": 0.1}, "prototype": "the of and to in is that for it as with on by this be are from at or an"},
+    {"key": "german", "keywords": ["der", "und", "die"], "priors": {"de": 0.8}, "prototype": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als"},
+    {"key": "romance", "keywords": ["de", "la", "que"], "priors": {"fr": 0.7, "es": 0.7}, "exclude": ["the "], "prototype": "de la que el en les et le des los un une"},
+]
+_PRIORS = [(k, z, w) for k, t in enumerate(BLOCK_TOPICS, 1) for z, w in t["priors"].items()]
+_NEVER = [(k, x) for k, t in enumerate(BLOCK_TOPICS, 1) for x in t.get("exclude", ())]
+
+#: Cosines of hashed counts, scores with and without the bonus, and the walk along each document.
+TOPIC_WALK = rf"""WITH RECURSIVE {UNIT}, nb AS (SELECT *, count(*) FILTER (kind = 'hdr') OVER (PARTITION BY doc_id ORDER BY para_index) AS block_no FROM unit),
+  blk AS (SELECT doc_id, block_no, max(text_norm) FILTER (kind = 'hdr') AS heading, coalesce(min_by(text_norm, para_index) FILTER (kind = 'p'), '') AS t, max(lang) AS zone FROM nb WHERE block_no > 0 GROUP BY ALL),
+  b AS (SELECT doc_id, block_no, heading, zone, heading || ' ' || CASE WHEN regexp_matches(t, '^(?:.*?[.!?] ){{2}}') THEN rtrim(regexp_extract(t, '^(?:.*?[.!?] ){{2}}')) ELSE t END AS s FROM blk),
+  topic(k, key, words, s) AS (VALUES {', '.join(f"({k}, '{t['key']}', {t['keywords']}, '{t['prototype']}')" for k, t in enumerate(BLOCK_TOPICS, 1))}),
+  prior(k, zone, w) AS (VALUES {', '.join(map(str, _PRIORS))}), never(k, pattern) AS (VALUES {', '.join(map(str, _NEVER))}),
+  src AS (SELECT 'b' AS side, doc_id AS i, block_no AS j, s FROM b UNION ALL SELECT 't', k, 0, s FROM topic),
+  tok AS (SELECT side, i, j, sha256(lower(unnest(regexp_extract_all(s, '[A-Za-z0-9]+|[^\s0-9A-Za-z]')))) AS h FROM src),
+  vec AS (SELECT side, i, j, CAST('0x' || substr(h, 1, 16) AS UBIGINT) % 1536 AS at, sum(CASE WHEN contains('13579bdf', substr(h, 18, 1)) THEN -1 ELSE 1 END) AS v FROM tok GROUP BY ALL),
+  len AS (SELECT side, i, j, sqrt(CAST(sum(v * v) AS DOUBLE)) AS n FROM vec GROUP BY ALL),
+  dot AS (SELECT b.i, b.j, t.i AS k, CAST(sum(b.v * t.v) AS DOUBLE) AS d FROM vec b JOIN vec t ON b.side = 'b' AND t.side = 't' AND b.at = t.at GROUP BY ALL),
+  f AS (SELECT b.doc_id, b.block_no, topic.k, coalesce(greatest(d, 0) / (lb.n * lt.n), 0.0) AS e, least(0.8, 0.8 * len(list_filter(words, lambda w: contains(lower(b.s), w))) / len(words)) AS kw, CAST(coalesce(w, 0.5) AS DOUBLE) AS pr
+    FROM b CROSS JOIN topic LEFT JOIN dot ON dot.i = doc_id AND dot.j = block_no AND dot.k = topic.k LEFT JOIN len lb ON lb.side = 'b' AND lb.i = doc_id AND lb.j = block_no LEFT JOIN len lt ON lt.side = 't' AND lt.i = topic.k
+    LEFT JOIN prior ON prior.k = topic.k AND prior.zone = b.zone WHERE NOT EXISTS (SELECT 1 FROM never WHERE never.k = topic.k AND contains(lower(heading), pattern))),
+  g AS (SELECT doc_id, block_no, k, pr, kw, CASE WHEN e > 0 THEN 0.5 * e + 0.3 * (0.7 * kw) + 0.2 * pr ELSE 0.5 * (0.7 * kw) + 0.3 * pr END AS s FROM f),
+  p AS (SELECT doc_id, block_no, k, least(1.0, s) * CASE WHEN pr < 0.2 THEN 0.2 ELSE 1.0 END AS plain, least(1.0, s + CASE WHEN kw < 0.4 THEN 0.2 ELSE 0.0 END) * CASE WHEN pr < 0.2 THEN 0.2 ELSE 1.0 END AS after, CASE WHEN pr >= 0.7 THEN 0.45 ELSE 0.55 END AS least FROM g
+    UNION ALL SELECT doc_id, block_no, 0, 0.0, 0.0, 1.0 FROM b),
+  walk(doc_id, block_no, k, score) AS (SELECT doc_id, CAST(0 AS BIGINT), 0, CAST(0 AS DOUBLE) FROM b WHERE block_no = 1
+    UNION ALL SELECT doc_id, block_no, CASE WHEN x.s >= x.least THEN -x.k ELSE 0 END, x.s FROM (SELECT p.doc_id, p.block_no, max(struct_pack(s := CASE WHEN p.k = walk.k THEN p.after ELSE p.plain END, k := -p.k, least := p.least)) AS x FROM walk JOIN p ON p.doc_id = walk.doc_id AND p.block_no = walk.block_no + 1 GROUP BY ALL)),
+  assigned AS (SELECT walk.doc_id, block_no, key AS topic, CASE WHEN walk.k > 0 THEN score END AS score FROM walk LEFT JOIN topic ON topic.k = walk.k WHERE block_no > 0)"""
+
+
+def assigned_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.assign(_blocks(spark, sf_dir), BLOCK_TOPICS)
+
+
+@R.query("w07_topic_assignment", f"{TOPIC_WALK} SELECT doc_id, block_no, topic, round(score, 6) AS score FROM assigned")
+def topic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of blocks by embedding, keywords and prior, each block seeing its predecessor's."""
+    return assigned_topics(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@R.query("f22_fuzzy_headings")
+def fuzzy_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topics by difflib's likeness of headings to aliases."""
+    topics = [{"key": "en", "aliases": ["of the", "that and"], "priors": {"en": 0.8}}, {"key": "de", "aliases": ["der und", "nicht"], "priors": {"de": 0.8}}, {"key": "other", "aliases": ["de la", "que el"], "exclude": ["the"]}]
+    return W.assign(_blocks(spark, sf_dir), topics)
 
 
 @R.query(

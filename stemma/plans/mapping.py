@@ -11,7 +11,7 @@ from ..operators import sections as S
 from ..operators import topics as W
 from ..operators import units as U
 from .base import ANCHOR, UNIT, anchors, units
-from .domain import topic_assignment
+from .domain import TOPIC_WALK, assigned_topics
 from .registry import Registry, table
 
 R = Registry()
@@ -96,11 +96,17 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluation_report(rows.select("section", F.coalesce("predicted", nothing).alias("predicted"), F.coalesce("gold", nothing).alias("gold")))
 
 
-@R.query("d19_topic_maps")
+@R.query(
+    "d19_topic_maps",
+    f"""{TOPIC_WALK}, {ANCHOR[len(UNIT) + 2 :]},
+    a AS (SELECT doc_id, anchor_id, para_index, count(*) FILTER (kind = 'hdr') OVER (PARTITION BY doc_id ORDER BY para_index) AS block_no FROM anchor),
+    e AS (SELECT doc_id, topic, list(anchor_id ORDER BY para_index) AS anchor_ids FROM assigned JOIN a USING (doc_id, block_no) WHERE topic IS NOT NULL GROUP BY ALL)
+    SELECT doc_id, topic, list(block_no ORDER BY block_no) AS blocks, any_value(anchor_ids) AS anchor_ids, round(avg(score), 6) AS confidence FROM assigned JOIN e USING (doc_id, topic) GROUP BY ALL""",
+)
 def topic_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of blocks, and the units of each topic as its evidence."""
     members = U.blocks(anchors(spark, sf_dir)).filter("block_no > 0").select("doc_id", "block_no", "para_index", "anchor_id")
-    return W.topic_maps(topic_assignment(spark, sf_dir), members)
+    return W.topic_maps(assigned_topics(spark, sf_dir), members)
 
 
 @R.query(
