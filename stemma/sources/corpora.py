@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,21 +40,3 @@ def read_rules(spark: SparkSession, path: str) -> dict:
 def overwrite_versions(df: DataFrame, path: str, key: str = "doc_version_id") -> None:
     """Rewrites the partitions of the versions in ``df`` and leaves all others (delete and insert in one)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Saves a table in the place of an older one: written aside in full, then exchanged by two renames.
-
-    A failure while writing leaves the old table as it was. Works on any file system Spark can write.
-    """
-    aside, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    df.write.parquet(aside)
-    jvm = df.sparkSession._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
-        raise OSError(f"{path} can't be moved aside")
-    if not fs.rename(at(aside), at(path)):
-        raise OSError(f"{aside} can't be moved to {path}")
-    if fs.exists(at(old)):
-        fs.delete(at(old), True)

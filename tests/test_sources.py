@@ -1,12 +1,14 @@
 """Word documents, schedules, corpora and streams, made and read back."""
 
+import hashlib
 import json
+import os
 
 import pytest
 
 from stemma.operators import headings, schedule
-from stemma.sources import corpora, docx
-from stemma.streaming import metrics
+from stemma.sources import corpora, docx, snapshots, word_files
+from stemma.streaming import ingest, metrics
 
 
 def _p(text, style=None, extra="", run=""):
@@ -114,11 +116,72 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("counts").collect()) == sorted(metrics.windowed_counts(src).collect())
 
 
-def test_a_table_is_replaced_as_a_whole(spark, tmp_path):
-    path = str(tmp_path / "mapping")
-    corpora.replace_table(spark.range(3), path)
-    corpora.replace_table(spark.read.parquet(path).selectExpr("id + 10 AS id"), path)  # reads what it replaces
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10, 11, 12]
-    with pytest.raises(Exception):
-        corpora.replace_table(spark.range(3).selectExpr("raise_error('no')"), path)
-    assert spark.read.parquet(path).count() == 3 and not [p for p in tmp_path.iterdir() if ".old" in p.name]
+def test_word_source_reads_as_the_parser_does(spark, tmp_path):
+    word_files.register(spark)
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>One</w:t></w:r></w:p>' + docx.table_xml([["a", "b"], ["c", "d & e"]]) + "<w:p><w:r><w:t>after</w:t></w:r></w:p>" * 5000
+    contents = {"a.docx": docx.package(body), "b.docx": docx.package(""), "c.docx": b"no archive", "d.docx": docx.package("<w:p><w:r><w:t>x</w:t>")}
+    rows = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "name string, content binary").repartition(3)
+    rows.write.format("word").mode("append").save(str(tmp_path / "w"))
+    assert sorted(os.listdir(tmp_path / "w")) == sorted(contents)
+    (tmp_path / "w" / "note.txt").write_text("not read")
+    got = spark.read.format("word").load(str(tmp_path / "w")).collect()
+    frame = spark.createDataFrame([(f"{tmp_path}/w/{n}", bytearray(c)) for n, c in contents.items()], "path string, content binary")
+    key = lambda r: (r.path, r.para_index or 0)
+    want = sorted(docx.blocks(frame).collect(), key=key)
+    assert [r.asDict() | {"error": bool(r.error)} for r in sorted(got, key=key)] == [r.asDict() | {"error": bool(r.error)} for r in want]
+    assert {r.file_hash for r in got} == {hashlib.sha256(c).hexdigest() for n, c in contents.items() if n != "b.docx"}
+    with pytest.raises(Exception, match="there already"):
+        rows.write.format("word").mode("append").save(str(tmp_path / "w"))
+    with pytest.raises(Exception, match="once each"):
+        rows.union(rows).write.format("word").mode("append").save(str(tmp_path / "v"))
+    assert not [x for x in os.listdir(tmp_path / "v")]
+    os.mkdir(tmp_path / "empty")
+    assert spark.read.format("word").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_ingest_takes_up_where_it_was(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        ingest.ingest(ingest.unseen(ingest.arrivals(spark, folder, "id long, text string", files=1), "text"), out, state)
+        return sorted((r.text or "") for r in spark.read.parquet(out).collect())
+
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "")], "id long, text string").repartition(3).write.parquet(folder)
+    assert run() in (["", "a", "b"],) and run() == ["", "a", "b"]
+    spark.createDataFrame([(6, "b"), (7, "c")], "id long, text string").write.mode("append").parquet(folder)
+    assert run() == ["", "a", "b", "c"] and run() == ["", "a", "b", "c"]
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read(spark, path)
+    assert snapshots.replace(spark.range(3), path) == 1
+    reader = snapshots.read(spark, path)
+    assert snapshots.replace(reader.selectExpr("id + 10 AS id"), path, base=1) == 2
+    assert sorted(r.id for r in reader.collect()) == [0, 1, 2] and sorted(r.id for r in snapshots.read(spark, path).collect()) == [10, 11, 12]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.replace(spark.range(1), path, base=1)
+    with pytest.raises(Exception, match="no"):
+        snapshots.replace(spark.range(3).selectExpr("raise_error('no')"), path)
+    assert snapshots.versions(spark, path) == [1, 2] and len([x for x in os.listdir(path) if x.startswith("data-") and os.path.exists(f"{path}/{x}/_SUCCESS")]) == 2
+    assert snapshots.vacuum(spark, path, keep=1) == 1 and snapshots.versions(spark, path) == [2]
+    assert sorted(r.id for r in snapshots.read(spark, path, 2).collect()) == [10, 11, 12]
+
+
+def test_a_lost_race_raises(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    snapshots.replace(spark.range(1), path)
+    real, calls = snapshots.latest, []
+
+    def latest(spark_, path_):  # another writer commits between the last look and the rename
+        calls.append(1)
+        if len(calls) == 1:
+            monkeypatch.setattr(snapshots, "latest", real)
+            snapshots.replace(spark.range(5), path)
+        return 1
+
+    monkeypatch.setattr(snapshots, "latest", latest)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.replace(spark.range(2), path, base=1)
+    assert snapshots.read(spark, path).count() == 5
