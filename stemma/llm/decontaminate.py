@@ -4,8 +4,13 @@ Texts become templates: numbers, units of measure and names (capitalised words,
 turn into typed placeholders, other words into lower case. Windows of WINDOW template words of the
 benchmark are joined by hash with those of the documents; a document that has enough of an item's
 windows is lined up with it, and the values in the placeholders must correspond: one value of the
-item stands for one value of the document. So a question with other numbers or names is found, and
-a text that shares only the wording around them in a jumbled way is not.
+item stands for one value of the document, and most values of the document for one of the item. So a
+question with other numbers or names is found, and a text that shares only the wording around them in
+a jumbled way is not.
+
+A document may hold several variants of one question, each with values of its own. Matches of one copy
+lie at one distance between their places in text and item (within SHIFT words), so the matches are
+cut into copies by this distance, and each copy is tested alone, besides all of them together.
 
 Windows of the plain lower-case words are joined alike. They find copies in capitals or lower case,
 where names can't be told, and they are the exact way for items whose template says too little: an
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_row, checkpoint, small
@@ -30,6 +35,10 @@ LEAST_WORDS = 2
 COVERAGE = 0.5
 #: Distinct item values per distinct pair of item and document value, at least.
 CONSISTENCY = 0.75
+#: Distinct document values per distinct pair, at least: less, since different values of an item may well become equal.
+REVERSE_CONSISTENCY = 0.6
+#: Words by which a copy may be shifted within itself, by words put in or left out.
+SHIFT = 4
 #: The benchmark's windows are broadcast up to this many, and joined by a shuffle beyond; so are the documents to line up.
 BROADCAST_ROWS = 500_000
 
@@ -82,20 +91,26 @@ def _with_windows(rows: DataFrame, sizes: dict[int, set[int]]) -> tuple[DataFram
     return rows, names
 
 
+def not_looked_for(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """item_id, n_words of the items that have too few words to be evidence, nulls and empty ones included: no document is reported for them."""
+    n = F.size(tokens(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("n_words")
+    return benchmark.select("item_id", n).filter(F.col("n_words") < least_words)
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return benchmark.select(F.xxhash64("item_id", text).alias("item"), "item_id", tokens(text).alias("words")).dropDuplicates(["item"])
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """item, kind, size, place, hash of each distinct window of each item, n_windows of its kind, and how many must be found.
 
     An item shorter than a window is one window of its own length. Template windows with fewer than
-    LEAST_CONSTANT constant words are left out. Null and empty items, and those of one word, have
-    none. item is the hash of an item's id and text.
+    LEAST_CONSTANT constant words are left out. Null and empty items, and those of fewer than
+    ``least_words`` words, have none. item is the hash of an item's id and text.
     """
-    items = _items(benchmark).filter(F.size("words") >= LEAST_WORDS)
-    sizes = set(range(LEAST_WORDS, WINDOW + 1))
+    items = _items(benchmark).filter(F.size("words") >= least_words)
+    sizes = set(range(min(least_words, WINDOW), WINDOW + 1))
     items, names = _with_windows(items, {TEMPLATE: sizes, PLAIN: sizes})
     size = F.least(F.lit(WINDOW), F.col("n"))
     one = None
@@ -112,15 +127,25 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return one.join(n, "item").select("item", "kind", "size", "place", "hash", total.alias("n_windows"), F.ceil(total * share).alias("least"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _copies(hits: DataFrame) -> DataFrame:
+    """The hits, and beside each template hit its copies: matches at one distance between text and item."""
+    one = hits.filter(F.col("kind") == TEMPLATE).select("row_id", "item", "kind", "n_windows", "least", F.explode("matches").alias("m")).withColumn("far", F.col("m.at") - F.col("m.place"))
+    by = Window.partitionBy("row_id", "item").orderBy("far")
+    one = one.withColumn("new", F.coalesce(F.col("far") - F.lag("far").over(by) > SHIFT, F.lit(False)).cast("int")).withColumn("copy", F.sum("new").over(by))
+    parts = one.groupBy("row_id", "item", "kind", "copy").agg(F.count_distinct("m.place").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.first("least").alias("least"), F.collect_list("m").alias("matches"))
+    return hits.unionByName(parts.filter("n_matched >= least").select(*hits.columns))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """row_id, doc_id, item_id, n_matched, n_windows, coverage, consistency of each document and item it contains.
 
     row_id is the hash of doc_id and text. Null and empty texts contain nothing; repeated rows give
-    one row; an empty table on either side gives no rows. Several copies of a passage in one text
-    count once. Items with equal texts are all reported, and texts that share an item_id as one. A document that holds an item both as a
-    template and in plain words is reported by its words. Other columns are ignored.
+    one row; an empty table on either side gives no rows. Several copies of a passage in one text,
+    variants with other values among them, give one row, that of the copy that is found best. Items of
+    fewer than ``least_words`` words are those of ``not_looked_for``. Items with equal texts are all reported, and texts that share an item_id as one. A
+    document that holds an item both as a template and in plain words is reported by its words. Other columns are ignored.
     """
-    items = checkpoint(item_windows(benchmark))
+    items = checkpoint(item_windows(benchmark, least_words))
     kinds = items.select("kind", "size").distinct().collect()  # at most two for each size of window
     sizes = {kind: {r["size"] for r in kinds if r.kind == kind} for kind in (TEMPLATE, PLAIN)}
     rows = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -135,12 +160,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     before = reduce(lambda out, i: out.when((F.col("kind") == asked[i][0]) & (F.col("size") == asked[i][1]), sum((length(s) for _, s in asked[:i]), F.lit(0))), range(len(asked)), F.when(F.lit(False), 0))
     met = met.select("row_id", "item", "kind", "size", "n_windows", "least", "hash", "place", (F.col("at") - before).alias("at"))
     hits = met.groupBy("row_id", "item", "kind").agg(F.size(F.collect_set("hash")).cast("long").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.first("least").alias("least"), F.collect_set(F.struct("place", "at", "size")).alias("matches"))
-    hits = checkpoint(hits.filter("n_matched >= least").drop("least"))
+    hits = checkpoint(hits.filter("n_matched >= least"))
 
     # line up: the values in the placeholders, for these pairs alone
     chosen = rows.join(small(checkpoint(hits.select("row_id").distinct()), BROADCAST_ROWS), "row_id").dropDuplicates(["row_id"]).select("row_id", "doc_id", tokens(F.col("text")).alias("dt"))
     values = _items(benchmark).withColumnRenamed("words", "bt")
-    lined = hits.join(small(values, BROADCAST_ROWS), "item").join(chosen, "row_id")
+    lined = _copies(hits).join(small(values, BROADCAST_ROWS), "item").join(chosen, "row_id")
 
     def cells(match: Column) -> Column:
         both = F.arrays_zip(F.slice("bt", match["place"] + 1, match["size"]).alias("b"), F.slice("dt", match["at"] + 1, match["size"]).alias("d"))
@@ -149,8 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     pairs = F.array_distinct(F.flatten(F.transform("matches", cells)))
     lined = lined.select("row_id", "doc_id", "item_id", "kind", "n_matched", "n_windows", F.when(F.col("kind") == TEMPLATE, pairs).alias("pairs"))
-    agreed = F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) / F.size("pairs")
-    lined = lined.withColumn("consistency", F.when(F.size("pairs") > 0, agreed).otherwise(1.0)).filter(F.col("consistency") >= CONSISTENCY)
+    agreed = lambda end: F.when(F.size("pairs") > 0, F.size(F.array_distinct(F.transform("pairs", lambda x: x[end]))) / F.size("pairs")).otherwise(1.0)
+    lined = lined.withColumn("consistency", agreed("b")).filter((F.col("consistency") >= CONSISTENCY) & (agreed("d") >= REVERSE_CONSISTENCY))
     best = lined.groupBy("row_id", "item_id").agg(F.max(F.struct("kind", "n_matched", "n_windows", "consistency", "doc_id")).alias("x"))
     return best.select("row_id", "x.doc_id", "item_id", "x.n_matched", "x.n_windows", (F.col("x.n_matched") / F.col("x.n_windows")).alias("coverage"), "x.consistency")
 

@@ -525,8 +525,30 @@ def _holds(text, item):
     at = [(usable[w], j) for j, w in enumerate(runs(d, 0)) if w in usable]
     if not at or len({i for i, _ in at}) < len(usable) / 2:
         return False
-    pairs = {(b[i + k][1], d[j + k][1]) for i, j in at for k in range(n) if b[i + k][0].startswith("<")}
-    return not pairs or len({x for x, _ in pairs}) >= 0.75 * len(pairs)
+    copies, last = [at, []], None
+    for i, j in sorted(at, key=lambda m: m[1] - m[0]):
+        if last is not None and j - i - last > 4:
+            copies.append([])
+        copies[-1].append((i, j))
+        last = j - i
+    for copy in copies:
+        pairs = {(b[i + k][1], d[j + k][1]) for i, j in copy for k in range(n) if b[i + k][0].startswith("<")}
+        if len({i for i, _ in copy}) >= len(usable) / 2 and (not pairs or (len({x for x, _ in pairs}) >= 0.75 * len(pairs) and len({y for _, y in pairs}) >= 0.6 * len(pairs))):
+            return True
+    return False
+
+
+def test_variants_of_one_question_in_a_text(spark):
+    item = "Alice has 12 apples and buys 7 more from Bob every day until she owns 30 fruits in total at the market"
+    variant = lambda *v: item.replace("Alice", v[0]).replace("12", v[1]).replace("7", v[2]).replace("Bob", v[3]).replace("30", v[4])
+    many = [variant("Maria", "15", "3", "Tom", "90"), variant("Oscar", "21", "4", "Piet", "50"), variant("Zoe", "8", "6", "Max", "77"), item]
+    flat = "Take 12 red balls then add 7 blue balls and give 30 to the boy at once in the park"
+    bench = spark.createDataFrame([(0, item), (1, flat), (2, "word"), (3, None)], "item_id long, text string")
+    texts = [many[0], " ".join(many[:2]), "\n".join(many[:3]), f"{many[0]} and {many[3]}", f"{many[3]} {many[1]} {many[2]} some words {many[0]}", flat.replace("12", "1").replace("7", "1").replace("30", "1"), flat.replace("12", "4").replace("7", "4").replace("30", "9"), "and buys 3 more from Tom every day until Alice has 12 apples"]
+    got = sorted((r.doc_id, r.item_id, r.n_matched) for r in decontaminate.contaminated(docs(spark, texts), bench).collect())
+    assert [g[:2] for g in got] == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (6, 1)]
+    assert sorted((r.item_id, r.n_words) for r in decontaminate.not_looked_for(bench).collect()) == [(2, 1), (3, 0)]
+    assert decontaminate.contaminated(docs(spark, texts), bench, least_words=30).count() == 0
 
 
 def test_leaks_against_brute_force(spark):
@@ -541,6 +563,8 @@ def test_leaks_against_brute_force(spark):
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(len(words))] = rng.choice(pool)
         inner = " ".join(words)
+        if rng.random() < 0.3:  # a second copy with other values
+            inner += f" {say(rng.randint(0, 6))} " + " ".join(rng.choice(["Max", "Zoe", "5", "9", "g"]) if w in ("Tom", "Ann", "12", "7", "km", "kg") else w for w in item.split(" "))
         texts.append(f"{say(rng.randint(0, 9))} {rng.choice([inner, inner.upper(), inner.lower()])} {say(rng.randint(0, 9))}")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
