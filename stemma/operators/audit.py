@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ISSUE = "doc_id long, auditor string, severity string, category string, location string, detail string"
@@ -103,6 +104,65 @@ def run_all(auditors: dict[str, Callable[[], DataFrame]], spark) -> tuple[DataFr
     return out, failed
 
 
+#: Numbers in a text: digits with a decimal part.
+_NUMBER = r"-?\d+(?:\.\d+)?"
+
+
+def numbers_in(text: Column) -> Column:
+    """The numbers of a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda x: x.cast("double"))
+
+
+def _bucket(value: Column, tolerance: float) -> Column:
+    """Sign and logarithmic range of a number; two numbers within the tolerance are in the same range or in neighbouring ones."""
+    width = -math.log1p(-tolerance)
+    return F.when(value == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(value)) / width)).cast("long")
+
+
+def within(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """The rows of ``a`` (keys, value) that have a number of ``b`` (keys, value) within a share ``tolerance`` of the larger one.
+
+    Numbers meet by key and range, the rows of ``a`` in the neighbouring ranges too, so no key is compared with all of its numbers.
+    """
+    x = a.select(*keys, "value", F.signum("value").alias("_sign"), F.explode(F.transform(F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1))), lambda d: d + _bucket(F.col("value"), tolerance))).alias("_range"))
+    y = b.select(*keys, F.col("value").alias("_other"), F.signum("value").alias("_sign"), _bucket(F.col("value"), tolerance).alias("_range")).distinct()
+    close = F.abs(F.col("value") - F.col("_other")) <= tolerance * F.greatest(F.abs("value"), F.abs("_other"))
+    return x.join(y, [*keys, "_sign", "_range"]).filter(close).select(*keys, "value").distinct()
+
+
+def unsupported_numbers(generated: DataFrame, cited: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Section, check, value of the numbers of generated text (section, text) that no cited unit (section, text) has within the tolerance."""
+    told = lambda d: d.select("section", F.explode(numbers_in(F.col("text"))).alias("value")).distinct()
+    have = told(generated)
+    return have.join(within(have, told(cited), ["section"], tolerance), ["section", "value"], "left_anti").select("section", F.lit("unsupported_number").alias("check"), "value")
+
+
+def missing_facts(required: DataFrame, facts: DataFrame, states: tuple[str, ...] = ("extracted", "validated")) -> DataFrame:
+    """Section, check, fact_key of the required facts (study, section, fact_key) that the study has in none of the states."""
+    known = facts.filter(F.col("status").isin(*states)).select("study", "fact_key").distinct()
+    return required.join(known, ["study", "fact_key"], "left_anti").select("study", "section", F.lit("missing_fact").alias("check"), "fact_key")
+
+
+#: Units of volume in millilitres (fixed values).
+MILLILITRES = {"ml": 1.0, "l": 1000.0, "cl": 10.0, "dl": 100.0}
+
+
+def role_differences(facts: DataFrame, first: str, second: str, keys: list[str], tolerance: float = 0.0) -> DataFrame:
+    """Study, fact_key, a, b, issue of the numeric facts that two roles of documents tell differently.
+
+    ``facts``: study, role, fact_key, value, unit. Volumes are compared in millilitres. ``missing``:
+    the second role doesn't tell it; ``differs``: none of its numbers is within the tolerance. Of
+    several numbers of one role the smallest is shown.
+    """
+    factor = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in MILLILITRES.items() for x in kv)), F.lower("unit")), F.lit(1.0))
+    f = facts.filter(F.col("fact_key").isin(*keys) & F.col("value").isNotNull()).select("study", "role", "fact_key", (F.col("value") * factor).alias("value"))
+    by = ["study", "fact_key"]
+    a, b = (f.filter(F.col("role") == role).select(*by, "value") for role in (first, second))
+    alike = within(a, b, by, tolerance) if tolerance > 0 else a.join(b, [*by, "value"], "left_semi")
+    rest = a.join(alike.select(*by).distinct(), by, "left_anti").groupBy(*by).agg(F.min("value").alias("a"))
+    return rest.join(b.groupBy(*by).agg(F.min("value").alias("b")), by, "left").select(*by, "a", "b", F.when(F.col("b").isNull(), "missing").otherwise("differs").alias("issue"))
+
+
 def uncited(sections: DataFrame, citations: DataFrame, anchors: DataFrame, allowed: DataFrame) -> DataFrame:
     """Checks of generated sections (section): citations of unknown units, of units outside the allowed ones, and none at all."""
     c = citations.select("section", "anchor_id")

@@ -17,6 +17,12 @@ from . import units as U
 
 #: Score that a heading must reach, and confidence from which a map needs no review.
 LEAST_SCORE, SURE = 2, 0.7
+#: The limit for a document's headings by how rich it is: many headings, few, and others (fixed values: 4, 2, 3).
+RICH_HEADINGS, RICH_SCORE = 30, 4
+SPARSE_HEADINGS, SPARSE_SCORE = 5, 2
+USUAL_SCORE = 3
+#: Confidence that a map by a heading under its document's limit can have at most.
+SECOND_PASS = 0.5
 MAP = "doc_id long, section string, heading string, anchor_ids array<string>, confidence double, status string, mapped_by string, notes string"
 
 
@@ -57,23 +63,28 @@ def heading_scores(text: Column, contracts: list[Contract]) -> Column:
 
 
 def best_headings(units: DataFrame, contracts: list[Contract]) -> DataFrame:
-    """doc_id, section, para_index, end_index, heading, score: the best heading of each contract a document has one for.
+    """doc_id, section, para_index, end_index, heading, score, sure: the best heading of each contract a document has one for.
 
-    Headings of the first two levels come first, then the score, then the earlier one.
+    A first pass asks for the limit that the document's number of headings sets (``sure``); where it
+    finds none, a second one takes a heading of at least LEAST_SCORE. Headings of the first two levels
+    come first, then the score, then the earlier one.
     """
-    h = U.block_ends(units).select("doc_id", "para_index", "end_index", "level", "anchor_id", F.explode_outer(heading_scores(F.col("text_norm"), contracts)).alias("x")).filter("x IS NOT NULL")
-    best = h.groupBy("doc_id", "x.section").agg(F.max(F.struct((F.col("level") <= 2).alias("near"), F.col("x.score").alias("score"), (-F.col("para_index")).alias("back"), "end_index", "anchor_id")).alias("b"))
-    return best.select("doc_id", "section", (-F.col("b.back")).alias("para_index"), "b.end_index", F.col("b.anchor_id").alias("heading"), "b.score")
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    limit = F.when(n >= RICH_HEADINGS, RICH_SCORE).when(n <= SPARSE_HEADINGS, SPARSE_SCORE).otherwise(USUAL_SCORE)
+    h = U.block_ends(units).withColumn("limit", limit).select("doc_id", "para_index", "end_index", "level", "anchor_id", "limit", F.explode_outer(heading_scores(F.col("text_norm"), contracts)).alias("x")).filter("x IS NOT NULL")
+    best = h.groupBy("doc_id", "x.section").agg(F.max(F.struct((F.col("x.score") >= F.col("limit")).alias("sure"), (F.col("level") <= 2).alias("near"), F.col("x.score").alias("score"), (-F.col("para_index")).alias("back"), "end_index", "anchor_id")).alias("b"))
+    return best.select("doc_id", "section", (-F.col("b.back")).alias("para_index"), "b.end_index", F.col("b.anchor_id").alias("heading"), "b.score", "b.sure")
 
 
 def map_sections(units: DataFrame, contracts: list[Contract]) -> DataFrame:
     """A map (MAP) for every document and contract, from units with anchor_id and level.
 
-    Confidence is 0.4 and a tenth of the score, at most 1; a map of at least SURE is mapped, others
+    Confidence is 0.4 and a tenth of the score, at most 1, or SECOND_PASS for a heading under its
+    document's limit; a map of at least SURE is mapped, others
     need review, those without a heading with confidence 0, no units and a note. A unit in several
     blocks goes to the surest map, ties to the first section by name.
     """
-    found = best_headings(units, contracts).withColumn("confidence", F.least(F.lit(1.0), F.round(0.4 + F.col("score") / 10, 2)))
+    found = best_headings(units, contracts).withColumn("confidence", F.least(F.when(F.col("sure"), 1.0).otherwise(SECOND_PASS), F.round(0.4 + F.col("score") / 10, 2)))
     inside = (F.col("u.para_index") >= F.col("f.para_index")) & (F.col("f.end_index").isNull() | (F.col("u.para_index") < F.col("f.end_index")))
     claims = units.select("doc_id", "para_index", "anchor_id").alias("u").join(found.alias("f"), "doc_id").filter(inside).select("doc_id", "u.para_index", "u.anchor_id", "section", "confidence")
     first = F.row_number().over(Window.partitionBy("doc_id", "anchor_id").orderBy(F.desc("confidence"), "section"))

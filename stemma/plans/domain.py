@@ -224,6 +224,75 @@ def generated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.uncited(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("section")), o, lines.select(key).distinct(), lines.filter("l_quantity > 25").select(key).distinct())
 
 
+@R.query(
+    "d16_numbers",
+    """WITH g AS (SELECT o_orderkey AS section, CAST(unnest(regexp_extract_all('total ' || printf('%.2f', o_totalprice) || ' for ' || o_custkey, '-?\\d+(?:\\.\\d+)?')) AS DOUBLE) AS value FROM orders),
+    c AS (SELECT DISTINCT l_orderkey AS section, CAST(printf('%.2f', l_extendedprice) AS DOUBLE) AS value FROM lineitem)
+    SELECT DISTINCT section, 'unsupported_number' AS "check", value FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.section = g.section AND abs(c.value - g.value) <= 0.1 * greatest(abs(c.value), abs(g.value)))""",
+)
+def generated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers told of an order that none of its lines supports within a tenth."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section"), F.concat(F.lit("total "), F.format_string("%.2f", F.col("o_totalprice").cast("double")), F.lit(" for "), F.col("o_custkey").cast("string")).alias("text"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), F.format_string("%.2f", F.col("l_extendedprice").cast("double")).alias("text"))
+    return Q.unsupported_numbers(o, lines, 0.1)
+
+
+#: Facts that each section of a study requires.
+REQUIRED_FACTS = {"opening": ["click", "purchase", "signup"], "closing": ["purchase", "refund"]}
+
+
+@R.query(
+    "d16_missing_facts",
+    f"""WITH {_FACTS}, had AS (SELECT DISTINCT user_id, fact_key FROM fact WHERE confidence >= 0.5),
+    asked AS (SELECT user_id, section, fact_key FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES {', '.join(str((s, k)) for s, ks in REQUIRED_FACTS.items() for k in ks)}) r(section, fact_key))
+    SELECT user_id AS study, section, 'missing_fact' AS "check", fact_key FROM asked WHERE NOT EXISTS (SELECT 1 FROM had WHERE had.user_id = asked.user_id AND had.fact_key = asked.fact_key)""",
+)
+def missing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that a section requires and a study has in no accepted state; here a user's events that are never sure."""
+    f = _event_facts(spark, sf_dir).select(F.col("user_id").alias("study"), "fact_key", F.when(F.col("confidence") >= 0.5, "extracted").otherwise("needs_review").alias("status"))
+    asked = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(k).alias("fact_key")) for s, ks in REQUIRED_FACTS.items() for k in ks))
+    required = f.select("study").distinct().select("study", F.explode(asked).alias("x")).select("study", "x.section", "x.fact_key")
+    return Q.missing_facts(required, f)
+
+
+@R.query(
+    "d11_role_numbers",
+    """WITH f AS (SELECT o_custkey AS study, o_orderstatus AS role, 'visits' AS fact_key, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL
+      UNION ALL SELECT o_custkey, o_orderstatus, 'total_blood_volume', round(CAST(sum(o_totalprice) AS DOUBLE), 2) FROM orders GROUP BY ALL),
+    a AS (SELECT study, fact_key, value AS a FROM f WHERE role = 'F'), b AS (SELECT study, fact_key, value AS b FROM f WHERE role = 'O')
+    SELECT study, fact_key, a, b, CASE WHEN b IS NULL THEN 'missing' ELSE 'differs' END AS issue FROM a LEFT JOIN b USING (study, fact_key) WHERE b IS NULL OR abs(a - b) > 0.05 * greatest(abs(a), abs(b))""",
+)
+def role_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits and blood volume of two roles of documents compared; here a customer's finished orders against the open ones, the volume in litres there."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("study"), F.col("o_orderstatus").alias("role")).agg(F.count("*").cast("double").alias("n"), F.round(F.sum("o_totalprice").cast("double"), 2).alias("volume"))
+    visits = o.select("study", "role", F.lit("visits").alias("fact_key"), F.col("n").alias("value"), F.lit(None).cast("string").alias("unit"))
+    litres = F.col("role") == "O"
+    volume = o.select("study", "role", F.lit("total_blood_volume").alias("fact_key"), F.when(litres, F.col("volume") / 1000).otherwise(F.col("volume")).alias("value"), F.when(litres, "L").otherwise("ml").alias("unit"))
+    found = Q.role_differences(visits.union(volume), "F", "O", ["visits", "total_blood_volume"], 0.05)
+    return found.withColumn("b", F.round("b", 2))
+
+
+@R.query(
+    "d03_preferred_zones",
+    f"""WITH {ANCHOR}, c AS (SELECT doc_id, anchor_id, kind, regexp_extract(text_norm, '\\b(\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}})\\b', 1) AS value FROM anchor),
+    n AS (SELECT *, bool_or(kind = 'hdr') OVER (PARTITION BY doc_id) AS near FROM c WHERE value <> '')
+    SELECT doc_id, anchor_id, value, CAST(CASE WHEN kind = 'hdr' THEN 0.95 ELSE 0.7 END AS DOUBLE) AS confidence FROM n WHERE kind = 'hdr' OR NOT near""",
+)
+def preferred_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: addresses extracted from headings where a document has some there, else from anywhere."""
+    a = anchors(spark, sf_dir)
+    found = X.extract(a, [X.Rule("contact", "address", 100, 0.7, "text", r"\b(\d{1,3}(?:\.\d{1,3}){3})\b")])
+    zones = a.select("anchor_id", F.when(F.col("kind") == "hdr", "title").otherwise("body").alias("source_zone"))
+    return X.prefer_zones(found, zones, {"contact": ["title"]}).select("doc_id", "anchor_id", "value", "confidence")
+
+
+@R.query("a34_corpus_clusters")
+def corpus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all headings of the corpus in one group, with their titles."""
+    h = units(spark, sf_dir).filter("kind = 'hdr'").select(F.lit("corpus").alias("grp"), "text_norm")
+    return K.summaries(K.cluster_headings(h)).drop("embedding")
+
+
 @R.query("a30_heading_clusters")
 def heading_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF, average linkage and centroid merges of distinct headings by language."""

@@ -27,12 +27,12 @@ CONTRACTS = [
 def _score_sql(c: S.Contract) -> str:
     count = lambda words: " + ".join(["0", *(f"CAST(contains(lower(text_norm), '{w}') AS INT)" for w in words)])
     pattern = f" + 3 * CAST(regexp_matches(text_norm, '{c.pattern}') AS INT)" if c.pattern else ""
-    return f"SELECT doc_id, para_index, level, anchor_id, '{c.section}' AS section, 2 * ({count(c.must)}) + ({count(c.should)}) - 3 * ({count(c.never)}){pattern} AS score FROM anchor WHERE kind = 'hdr'"
+    return f"SELECT doc_id, para_index, level, anchor_id, CASE WHEN count(*) OVER (PARTITION BY doc_id) >= 30 THEN 4 WHEN count(*) OVER (PARTITION BY doc_id) <= 5 THEN 2 ELSE 3 END AS lim, '{c.section}' AS section, 2 * ({count(c.must)}) + ({count(c.should)}) - 3 * ({count(c.never)}){pattern} AS score FROM anchor WHERE kind = 'hdr'"
 
 
 _MAPS = f"""{ANCHOR}, scored AS ({' UNION ALL '.join(map(_score_sql, CONTRACTS))}),
-best AS (SELECT doc_id, section, para_index, level, anchor_id, score FROM scored WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY level <= 2 DESC, score DESC, para_index) = 1),
-ended AS (SELECT b.*, least(1.0, round(0.4 + score / 10.0, 2)) AS confidence, (SELECT min(h.para_index) FROM anchor h WHERE h.doc_id = b.doc_id AND h.kind = 'hdr' AND h.level <= b.level AND h.para_index > b.para_index) AS stop FROM best b),
+best AS (SELECT doc_id, section, para_index, level, anchor_id, score, lim FROM scored WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY score >= lim DESC, level <= 2 DESC, score DESC, para_index) = 1),
+ended AS (SELECT b.*, least(CASE WHEN score >= lim THEN 1.0 ELSE 0.5 END, round(0.4 + score / 10.0, 2)) AS confidence, (SELECT min(h.para_index) FROM anchor h WHERE h.doc_id = b.doc_id AND h.kind = 'hdr' AND h.level <= b.level AND h.para_index > b.para_index) AS stop FROM best b),
 held AS (SELECT e.doc_id, e.section, a.para_index, a.anchor_id FROM ended e JOIN anchor a ON a.doc_id = e.doc_id AND a.para_index >= e.para_index AND (stop IS NULL OR a.para_index < stop) QUALIFY row_number() OVER (PARTITION BY e.doc_id, a.anchor_id ORDER BY confidence DESC, section) = 1),
 maps AS (SELECT d.doc_id, c.section, e.anchor_id AS heading, coalesce((SELECT array_to_string(list(h.anchor_id ORDER BY h.para_index), ',') FROM held h WHERE h.doc_id = d.doc_id AND h.section = c.section), '') AS anchors,
     CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.7 THEN 'mapped' ELSE 'needs_review' END AS status, 'system' AS mapped_by, CASE WHEN e.doc_id IS NULL THEN 'no heading match for ' || c.section END AS notes

@@ -126,8 +126,8 @@ def schedule_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     "s13_schedule_unpivot",
     f"""WITH {_CELLS}, x AS (SELECT cell.* FROM cell JOIN best USING (t, k) WHERE score >= 2)
-    SELECT CAST(b.t AS VARCHAR) AS path, b.c AS visit_no, h.v AS visit, b.r AS procedure_no, p.v AS procedure, CASE WHEN upper(b.v) IN ('X', 'YES') THEN 'X' WHEN upper(b.v) IN ('-', 'NA') THEN '' ELSE b.v END AS value
-    FROM x b JOIN x h ON h.t = b.t AND h.r = 0 AND h.c = b.c JOIN x p ON p.t = b.t AND p.c = 0 AND p.r = b.r WHERE b.r > 0 AND b.c > 0""",
+    SELECT CAST(b.t AS VARCHAR) AS path, b.c AS visit_no, visit, b.r AS procedure_no, procedure, CASE WHEN upper(b.v) IN ('X', 'YES') THEN 'X' WHEN upper(b.v) IN ('-', 'NA') THEN '' ELSE b.v END AS value
+    FROM (SELECT *, first_value(v) OVER (PARTITION BY t, c ORDER BY r) AS visit, first_value(v) OVER (PARTITION BY t, r ORDER BY c) AS procedure FROM x) b WHERE r > 0 AND c > 0""",
 )
 def schedule_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen table of every order, unpivoted with canonical cells; repeated order lines are rows of their own."""

@@ -395,3 +395,80 @@ def test_percentile_of_nothing(spark):
 def test_quality_gate(spark):
     r = metrics.quality_gate(spark.createDataFrame([(50, 30, 0.1)], "anchors long, headings long, unknown_rate double")).first()
     assert r.flags == ["few_anchors"] and r.status == "needs_review"
+
+
+def _topic_walk(blocks, topics):
+    """The assignment of one document's blocks (heading, text, zone) in plain Python."""
+    out, before = [], None
+    for heading, text, zone in blocks:
+        h, best = (heading or "").lower(), (0.0, None, 1.0)
+        everything = f"{h} {(text or '').lower()}"
+        v = chunks.hashed_counts(f"{heading or ''} {text or ''}")
+        for t in topics:
+            if any(x in h for x in t.get("exclude", ())):
+                continue
+            words, p = t.get("keywords", []), chunks.hashed_counts(topics_prototype(t))
+            norm = np.sqrt(v @ v) * np.sqrt(p @ p)
+            e = max(0.0, v @ p) / norm if norm else 0.0
+            head = topics.match(heading or "", t.get("aliases", []))
+            k = min(0.8, 0.8 * sum(w in everything for w in words) / len(words)) if words else 0.0
+            prior = t.get("priors", {}).get(zone, 0.5)
+            named = max(head, 0.7 * k)
+            s = 0.5 * e + 0.3 * named + 0.2 * prior if e > 0 else 0.5 * named + 0.3 * prior
+            s = min(1.0, s + (0.2 if before == t["key"] and head < 0.4 and k < 0.4 else 0.0))
+            s = (min(1.0, 1.2 * s) if head > 0.7 else s) * (0.2 if prior < 0.2 else 1.0)
+            if s > best[0]:
+                best = (s, t["key"], 0.45 if prior >= 0.7 else 0.55)
+        before = best[1] if best[1] and best[0] >= best[2] else None
+        out.append((before, round(best[0], 9) if before else None))
+    return out
+
+
+class _Topics(list):
+    match = staticmethod(topics.heading_match)
+
+
+topics_prototype = topics.prototype
+
+
+def test_topics_equal_brute_force(spark):
+    rng = random.Random(13)
+    words = "safety adverse event dose visit schedule consent risk plan the of study".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    listed = _Topics([{"key": "safety", "aliases": ["adverse events", "safety"], "keywords": ["safety", "risk"], "priors": {"z": 0.8, "y": 0.1}}, {"key": "visits", "keywords": ["visit", "schedule", "dose"], "priors": {"z": 0.3}, "prototype": "visit schedule plan"}, {"key": "other", "aliases": ["consent"], "exclude": ["dose"], "prototype": "consent of the study"}])
+    docs_ = {d: [(rng.choice([None, "", say(2), "Adverse event", "SAFETY first"]), rng.choice([None, "", say(8)]), rng.choice(["z", "y", None])) for _ in range(rng.randint(1, 12))] for d in range(40)}
+    rows = [(d, i, *b) for d, bs in docs_.items() for i, b in enumerate(bs)]
+    got = {(r.doc_id, r.block_no): (r.topic, None if r.score is None else round(r.score, 9)) for r in topics.assign(spark.createDataFrame(rows, "doc_id long, block_no long, heading string, text string, zone string"), listed).collect()}
+    want = {(d, i): x for d, bs in docs_.items() for i, x in enumerate(_topic_walk(bs, listed))}
+    assert got == want and len({t for t, _ in want.values()}) == 4
+
+
+def test_numbers_within_a_tolerance(spark):
+    rng = random.Random(4)
+    number = lambda: rng.choice([0.0, 1.0, -1.0, 100.0, rng.uniform(-5, 5), 10 ** rng.uniform(-3, 6)]) * rng.choice([1, 1, 1.004, 0.996, 1.0101])
+    a, b = ([(rng.randint(0, 4), number()) for _ in range(150)] for _ in range(2))
+    frame = lambda rows: spark.createDataFrame(rows, "k int, value double")
+    for tolerance in (0.005, 0.01, 0.3):
+        want = {(k, x) for k, x in a if any(k == j and abs(x - y) <= tolerance * max(abs(x), abs(y)) for j, y in b)}
+        assert {(r.k, r.value) for r in audit.within(frame(a), frame(b), ["k"], tolerance).collect()} == want
+    text = lambda rows: spark.createDataFrame(rows, "section string, text string")
+    got = audit.unsupported_numbers(text([("s", "12 of 300 and -4.5"), ("t", None)]), text([("s", "301 were 12.0"), ("t", "1")])).collect()
+    assert [(r.section, r.check, r.value) for r in got] == [("s", "unsupported_number", -4.5)]
+
+
+def test_facts_of_two_roles(spark):
+    rows = [(1, "protocol", "visits", 5.0, None), (1, "consent", "visits", 6.0, None), (1, "consent", "visits", 5.0, None), (2, "protocol", "visits", 5.0, None), (2, "consent", "visits", 6.0, None), (3, "protocol", "blood", 250.0, "ml"), (3, "consent", "blood", 0.25, "L"), (4, "protocol", "blood", 90.0, "ml"), (4, "protocol", "other", 1.0, None), (5, "protocol", "visits", None, None)]
+    got = audit.role_differences(spark.createDataFrame(rows, "study int, role string, fact_key string, value double, unit string"), "protocol", "consent", ["visits", "blood"])
+    assert sorted((r.study, r.fact_key, r.a, r.b, r.issue) for r in got.collect()) == [(2, "visits", 5.0, 6.0, "differs"), (4, "blood", 90.0, None, "missing")]
+
+
+def test_limits_by_the_number_of_headings(spark):
+    c = [sections.contract({"section": "s", "heading_match": {"must": ["alpha"], "should": ["beta", "gamma"]}})]
+    plain = lambda n: [f"Head {i}" for i in range(n)]
+    rich = ["Alpha", *plain(30), "Alpha beta gamma"]
+    texts = ["\n".join(x) for x in (["Alpha"], ["Alpha", *plain(6), "Alpha beta"], rich, ["Alpha", *plain(31), "Alpha beta"])]
+    a = U.anchors(U.with_sections(U.units(docs(spark, *texts))))
+    got = {r.doc_id: (r.para_index, r.score, r.sure) for r in sections.best_headings(a, c).collect()}
+    assert sorted(got.values()) == sorted([(0, 2, True), (7, 3, True), (31, 4, True), (32, 3, False)])
+    maps = {r.doc_id: (r.confidence, r.status) for r in sections.map_sections(a, c).collect()}
+    assert sorted(maps.values()) == sorted([(0.6, "needs_review"), (0.7, "mapped"), (0.8, "mapped"), (0.5, "needs_review")])

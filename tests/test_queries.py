@@ -47,5 +47,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_a_kernel():
-    kernels = {"f08_hash_embedding", "j12_aligned_versions", "j14_alignment_stats", "j18_impact", "d02_extracted_facts", "d12_objectives", "a30_heading_clusters", "a33_cluster_summaries", "f22_fuzzy_headings"}
+    kernels = {"f08_hash_embedding", "j12_aligned_versions", "j14_alignment_stats", "j18_impact", "d02_extracted_facts", "d12_objectives", "a30_heading_clusters", "a33_cluster_summaries", "a34_corpus_clusters", "f22_fuzzy_headings"}
     assert plans.queries().keys() - plans.oracle_sql().keys() == kernels
