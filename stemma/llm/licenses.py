@@ -40,6 +40,10 @@ lgpl-3 | general public | gnu (?:lesser|library) general public licen[cs]e(?: ve
 lgpl-2.1 | general public | gnu (?:lesser|library) general public licen[cs]e(?: version| v)? ?2 1
 lgpl-2 | general public | gnu (?:lesser|library) general public licen[cs]e(?: version| v)? ?2(?: 0)?
 lgpl | general public | gnu (?:lesser|library) general public licen[cs]e
+gpl | gpl | gnu gpl
+lgpl-3 | lgpl | (?:gnu )?lgpl(?: version| v)? ?3(?: 0)?|lgplv3
+lgpl-2.1 | lgpl | (?:gnu )?lgpl(?: version| v)? ?2 1|lgplv2 1
+lgpl-2 | lgpl | (?:gnu )?lgpl(?: version| v)? ?2(?: 0)?(?! 1 )|lgplv2(?! 1 )
 lgpl | lgpl | (?:gnu )?lgpl(?: version| v)? ?[23]?(?: [01])?
 agpl-3 | general public | gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?
 agpl | general public | gnu affero general public licen[cs]e
@@ -49,6 +53,10 @@ fdl | documentation | gnu free documentation licen[cs]e
 mpl-2 | mozilla | mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?
 mpl-1.1 | mozilla | mozilla public licen[cs]e(?: version| v)? ?1 1
 mpl | mozilla | mozilla public licen[cs]e
+mpl-2 | mpl | mpl(?: version| v)? ?2 0|mplv2
+mpl-1.1 | mpl | mpl(?: version| v)? ?1 1
+epl-2 | epl | epl(?: version| v)? ?2 0
+epl-1 | epl | epl(?: version| v)? ?1 0
 epl-2 | eclipse | eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?
 epl-1 | eclipse | eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?
 cddl-1 | development and distribution | common development and distribution licen[cs]e(?: version| v)? ?1(?: [01])?
@@ -77,6 +85,12 @@ cc-by-sa | creative commons | creative commons attribution share ?alike(?: [1-4]
 cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative|atives|s)(?: [1-4] [05])?(?: international| unported)?
 cc-by-nc | creative commons | creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?
 cc-by-nc-sa | creative commons | creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?
+cc-by | creative commons | creative commons by(?: [1-4] [05])?
+cc-by-sa | creative commons | creative commons by sa(?: [1-4] [05])?
+cc-by-nd | creative commons | creative commons by nd(?: [1-4] [05])?
+cc-by-nc | creative commons | creative commons by nc(?: [1-4] [05])?
+cc-by-nc-sa | creative commons | creative commons by nc sa(?: [1-4] [05])?
+cc-by-nc-nd | creative commons | creative commons by nc nd(?: [1-4] [05])?
 ofl-1.1 | font | sil open font licen[cs]e(?: version| v)? ?1 1|open font licen[cs]e
 artistic-2 | artistic | artistic licen[cs]e(?: version| v)? ?2(?: 0)?
 artistic-1 | artistic | artistic licen[cs]e(?: version| v)? ?1(?: 0)?|perl artistic licen[cs]e
@@ -234,7 +248,8 @@ proprietary | unauthori | unauthori[sz]ed (?:copying|use|reproduction|distributi
 #: label | keyword | regex of a short name that says enough only after words of licensing
 SHORT = r"""
 mit | mit | mit
-apache-2 | apache | apache(?: v)? ?2(?: 0)?|asl ?2(?: 0)?
+apache-2 | apache | apache(?: v)? ?2(?: 0)?
+apache-2 | asl | asl ?2(?: 0)?
 apache | apache | apache
 bsd-2 | bsd | bsd 2|2 clause bsd
 bsd-3 | bsd | bsd 3|3 clause bsd
@@ -273,6 +288,8 @@ FORMS = (
 #: Priority and confidence of an SPDX identifier, of a clause, and of a short name after words of licensing.
 SPDX_FORM = (5, 1.0, r"spdx licen[cs]e identifier (?:{name})")
 CLAUSE_FORM = (4, 0.97, r"(?:{name})")
+#: A field or sentence that tells a license by its identifier or short name: License: X, license = "X", see the license file (X).
+FIELD_FORM = (2, 0.9, r"licen[cs]es?(?: is| are| name| type| id| file| file for details| for details| spdx)? (?:the )?(?:{name})")
 SHORT_FORM = (2, 0.8, r"(?:(?:dual )?licen[cs]ed|released|distributed|published|made available|available)(?: \w+)? under(?: the)? (?:{name})")
 
 #: What gates a text, besides cc followed by by, 0 or zero, and a short name under which something is licensed. Every
@@ -283,7 +300,8 @@ KEYWORDS = ("licen", "all rights reserved", "public domain", "wtfpl", "creative"
 def rules() -> list[tuple[int, str, int, float, str, str, str]]:
     """(place, label, priority, confidence, keyword, name, pattern) of every rule, in order; SPDX identifiers come first.
 
-    A rule is tried only in a text that holds its keyword and somewhere its name.
+    A rule is tried only in a text that holds its keyword and somewhere its name. Identifiers come a
+    second time, as values of a field called license.
     """
     out: list[tuple] = []
 
@@ -294,7 +312,10 @@ def rules() -> list[tuple[int, str, int, float, str, str, str]]:
     for line in SPDX.strip().splitlines():
         label, name = (x.strip() for x in line.split(" | ", 1))
         add(label, "spdx", name, SPDX_FORM)
-    for listed, forms in ((CLAUSES, [CLAUSE_FORM]), (FAMILIES, FORMS), (SHORT, [SHORT_FORM])):
+    for line in SPDX.strip().splitlines():
+        label, name = (x.strip() for x in line.split(" | ", 1))
+        add(label, "licen", name, FIELD_FORM)
+    for listed, forms in ((CLAUSES, [CLAUSE_FORM]), (FAMILIES, FORMS), (SHORT, [SHORT_FORM, FIELD_FORM])):
         for line in listed.strip().splitlines():
             label, keyword, name = (x.strip() for x in line.split(" | ", 2))
             add(label, keyword, name, *forms)
@@ -385,6 +406,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     gate = gate | (low.contains("cc") & F.col("_text").rlike(r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(by|0|zero)"))
     apart = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     gate = gate | (low.contains("under") & low.rlike(f"under{apart}(?:the{apart}|a{apart})?(?:[23]{apart}clause|mit|isc|[me]pl|asl|cddl|zlib|x11|ncsa|postgresql|sil|ofl|eupl|odbl|afl|osl|upl|psf|artistic|ms{apart}pl)"))
+    gate = gate | ((low.contains("mpl") | low.contains("epl")) & low.rlike(f"[me]pl(?:{apart})?(?:v|version)?(?:{apart})?[12]"))
     base = base.withColumn("_gate", gate)
     n_words = F.regexp_count("_text", F.lit(WORDS))
     words = F.when(F.col("_gate"), F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORDS), F.lit(0)))

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from stemma.llm import divergence, pii, tokenalign
+from stemma.llm import divergence, licenses, pii, tokenalign
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -296,3 +296,150 @@ def test_personal_data_frame(spark):
     assert pii.personal_data(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         pii.fit(pii.labelled_table(spark), rows=3)
+
+
+# ---------------------------------------------------------------- 8
+
+SAYINGS = """
+License: MIT | mit
+license = "MIT" | mit
+"license": "MIT" | mit
+see LICENSE file for details (MIT) | mit
+The license is MIT. | mit
+MIT License | mit
+Licensed under the MIT license. | mit
+SPDX-License-Identifier: MIT | mit
+under the Expat License | mit
+MPL-2.0 | mpl-2
+MPL 2.0 | mpl-2
+License: MPL-2.0 | mpl-2
+licensed under MPL v2 | mpl-2
+Mozilla Public License, v. 2.0 | mpl-2
+EPL-2.0 | epl-2
+EPL 1.0 | epl-1
+License: EPL-2.0 | epl-2
+Eclipse Public License 2.0 | epl-2
+GNU GPL | gpl
+GPLv3 | gpl-3
+GPL-2.0-only | gpl-2
+License: GPL-3.0-or-later | gpl-3
+GNU General Public License version 2 | gpl-2
+GNU General Public License | gpl
+licensed under LGPL-2.1 | lgpl-2.1
+LGPL 2.1 | lgpl-2.1
+LGPL-3.0 | lgpl-3
+LGPL | lgpl
+GNU LGPL v2 | lgpl-2
+GNU Lesser General Public License 2.1 | lgpl-2.1
+AGPL-3.0 | agpl-3
+GNU Affero General Public License | agpl
+Creative Commons BY-NC-SA 4.0 | cc-by-nc-sa
+Creative Commons BY 4.0 | cc-by
+CC BY-SA 4.0 | cc-by-sa
+CC-BY-ND 3.0 | cc-by-nd
+CC0 1.0 | cc0
+Creative Commons Attribution 4.0 International | cc-by
+Apache License, Version 2.0 | apache-2
+license: Apache-2.0 | apache-2
+Apache 2.0 | apache-2
+licensed under Apache | apache
+licensed under ASL 2.0 | apache-2
+BSD-3-Clause | bsd-3
+License: BSD-3-Clause | bsd-3
+License: BSD-2-Clause | bsd-2
+3-clause BSD license | bsd-3
+BSD license | bsd
+license: BSD | bsd
+License: ISC | isc
+ISC License | isc
+license: Zlib | zlib
+zlib/libpng license | zlib
+Boost Software License 1.0 | bsl-1
+license: BSL-1.0 | bsl-1
+The Unlicense | unlicense
+license: Unlicense | unlicense
+WTFPL | wtfpl
+license: CC0-1.0 | cc0
+license: CC-BY-4.0 | cc-by
+license: CC-BY-NC-4.0 | cc-by-nc
+SIL Open Font License 1.1 | ofl-1.1
+license: OFL-1.1 | ofl-1.1
+Artistic License 2.0 | artistic-2
+license: Artistic-2.0 | artistic-2
+European Union Public Licence 1.2 | eupl-1.2
+license: EUPL-1.2 | eupl-1.2
+Microsoft Public License | ms-pl
+license: MS-PL | ms-pl
+Python Software Foundation License | psf-2
+PHP License 3.01 | php-3
+license: PHP-3.01 | php-3
+Ruby License | ruby
+PostgreSQL License | postgresql
+license: PostgreSQL | postgresql
+OpenSSL License | openssl
+University of Illinois/NCSA Open Source License | ncsa
+license: NCSA | ncsa
+Academic Free License 3.0 | afl-3
+license: AFL-3.0 | afl-3
+Open Software License 3.0 | osl-3
+Universal Permissive License 1.0 | upl-1
+license: UPL-1.0 | upl-1
+Open Database License | odbl
+license: ODbL-1.0 | odbl
+W3C Software License | w3c
+license: W3C | w3c
+Vim License | vim
+X11 License | x11
+license: X11 | x11
+GNU Free Documentation License | fdl
+license: GFDL-1.3-only | fdl-1.3
+Common Development and Distribution License 1.0 | cddl-1
+license: CDDL-1.0 | cddl-1
+Common Public License 1.0 | cpl-1
+Perl Artistic License | artistic-1
+MIT No Attribution | mit-0
+license: MIT-0 | mit-0
+Apache Software License 1.1 | apache-1.1
+All rights reserved. | proprietary
+in the public domain | public-domain
+proprietary and confidential | proprietary
+free of charge and simple | 
+the committee met under the bridge | 
+simple examples of 2 replies | 
+"""
+
+
+def test_what_people_write_about_licenses(spark):
+    said = [tuple(x.strip() for x in line.rsplit(" |", 1)) for line in SAYINGS.strip("\n").split("\n")]
+    assert len(said) > 100
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, [(f"Some words. {t} More words.", "en", "s") for t, _ in said])).collect()}
+    assert [(t, want, got[i]) for i, (t, want) in enumerate(said) if got[i] != want] == []
+
+
+def test_every_rule_passes_the_gate(spark):
+    """A text made from each rule's pattern, at its shortest, is found by that rule's label or one that covers it."""
+    from re import _constants as c
+    from re import _parser as p
+
+    def shortest(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, value = arg[0]
+                out += chr(value) if kind is c.LITERAL else chr(value[0]) if kind is c.RANGE else "a"
+            elif op is c.BRANCH:
+                out += shortest(arg[1][0])
+            elif op is c.SUBPATTERN:
+                out += shortest(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                out += shortest(arg[2]) * arg[0]
+        return out
+
+    # a clause may ask for its keyword elsewhere in the text
+    made = [(f"{rule[4]} words {shortest(p.parse(rule[6]))}", rule[1]) for rule in licenses.rules()]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [(f"words {t} words", "en", "s") for t, _ in made])).collect()}
+    lost = [(t, label) for i, (t, label) in enumerate(made) if not got[i].labels]
+    assert not lost, "\n".join(f"LOST {label}: {t[:60]}" for t, label in lost)
+    assert sum(label in got[i].labels.split(",") for i, (_, label) in enumerate(made)) > 0.95 * len(made)
