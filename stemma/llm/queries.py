@@ -85,9 +85,9 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc_archives": r"""
     WITH p AS (
       SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
-             regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '#.*$', ''), '^[a-z][a-z0-9+.-]*://([^/@]*@)?', '') AS bare FROM pages
+             regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '(?s)#.*$', ''), '^[a-z][a-z0-9+.-]*://([^/@]*@)?', '') AS bare FROM pages
     ), k AS (
-      SELECT *, regexp_replace(regexp_extract(bare, '^[^/?]*'), '^www\d*\.|:\d+$', '', 'g') AS host, regexp_extract(bare, '^[^/?]*(.*)$', 1) AS rest,
+      SELECT *, regexp_replace(regexp_extract(bare, '^[^/?]*'), '^www\d*\.|:\d+$', '', 'g') AS host, regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1) AS rest,
              max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
     ), c AS (
       SELECT page_id, payload_bytes, payload_digest,

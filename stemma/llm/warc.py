@@ -42,10 +42,10 @@ def url_key(url):
     ``http://www.B.a.com:80/X?q=1#f`` gives ``com,a,b)/x?q=1``. White space inside becomes ``%20``. A
     null URL gives an empty key.
     """
-    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"#.*$", "")
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"(?s)#.*$", "")
     bare = F.regexp_replace(bare, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?", "")
     host = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*", 0), r"^www\d*\.|:\d+$", "")
-    rest = F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
+    rest = F.regexp_extract(bare, r"(?s)^[^/?]*(.*)$", 1)
     labels = F.array_join(F.reverse(F.split(host, r"\.")), ",")
     key = F.when(bare == "", "").otherwise(F.concat(labels, F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
     return F.regexp_replace(key, r"\s", "%20")

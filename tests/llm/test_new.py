@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from stemma.llm import divergence, licenses, pii, tokenalign
+from stemma.llm import divergence, licenses, pii, tokenalign, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -443,3 +443,14 @@ def test_every_rule_passes_the_gate(spark):
     lost = [(t, label) for i, (t, label) in enumerate(made) if not got[i].labels]
     assert not lost, "\n".join(f"LOST {label}: {t[:60]}" for t, label in lost)
     assert sum(label in got[i].labels.split(",") for i, (_, label) in enumerate(made)) > 0.95 * len(made)
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_url_keys_of_urls_with_line_ends(spark):
+    from pyspark.sql import functions as F
+
+    urls = {"http://a.com/x y\r\nX: 1": "com,a)/x%20y%20%20x:%201", "http://a.com/p#f\ng": "com,a)/p", "http://www.B.a.com:80/X?q=1#f": "com,a,b)/x?q=1", None: ""}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", warc.url_key(F.col("url")).alias("k")).collect()
+    assert {r.url: r.k for r in rows} == urls
