@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, fold_latin, fresh, has_letter, hash_sample, held_out, learnable, text_chunks, without
+from .common import NOT_ALNUM, bounded_rows, fold_latin, fresh, has_letter, hash_sample, held_out, learnable, text_chunks, without
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
 #: About so many rows are learned from, over all languages.
 SAMPLE_ROWS = 2500
+SAMPLE_BYTES = 64 << 20
 #: A text is rejected under this share of the cosine that all but a twentieth of training passages of its length reach.
 REJECT_SHARE = 0.36
 #: Passages of each length, in powers of two, that set the limits; fewer than LEAST_PASSAGES set none of their own.
@@ -134,9 +135,10 @@ def fit_limits(model: Model, texts: list[str], seed: int = 11) -> None:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learns from about ``sample_rows`` rows with text and lang that aren't held out; None if there are none."""
+    """Learns from about ``sample_rows`` rows with text and lang that aren't held out, of SAMPLE_BYTES together at most; None if there are none."""
     known = learnable(docs, 3, 1).filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = hash_sample(known, "doc_id", sample_rows).select(F.xxhash64("doc_id").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
+    sample = bounded_rows(hash_sample(known, "doc_id", sample_rows), "doc_id", SAMPLE_BYTES)
+    rows = sample.select(F.xxhash64("doc_id").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     counts, sizes = np.zeros((len(rows), BUCKETS), np.float32), np.zeros(len(rows), np.int64)
     for a, part, size in vectors(rows["text"]):
         counts[a : a + len(part)], sizes[a : a + len(part)] = part, size
