@@ -15,8 +15,9 @@ from stemma.llm.common import as_row, shared_path, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents go that have no letter or lie far from every language."""
-    packed = docs.select(as_row(docs), F.col("text"))
-    return langid.identify(packed, langid.fit(docs), keep=("row",)).filter("NOT rejected").select("row.*")
+    packed = docs.select(as_row(docs.drop("text")), F.col("text"))
+    found = langid.identify(packed, langid.fit(docs), keep=("row", "text")).filter("NOT rejected")
+    return found.select(*(F.col("text").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

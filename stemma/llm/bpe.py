@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .common import fresh, without
 
-#: Pieces that a worker remembers before it starts afresh.
-MEMO = 300_000
+#: Pieces that a worker remembers before it starts afresh; those longer than the widest class are never kept.
+MEMO = 100_000
 #: Characters of text that are split into pieces at a time.
 RUN_CHARS = 1_000_000
 _CLASSES = (8, 16, 32, 64)
@@ -213,10 +213,12 @@ _CLASS: list[np.ndarray] = []
 def _class_table() -> np.ndarray:
     """The class of each code point, asked once of the regex engine itself."""
     if not _CLASS:
-        points = [chr(i) if not 0xD800 <= i < 0xE000 else "\0" for i in range(0x110000)]
+        points = np.arange(0x110000, dtype="<u4")
+        points[0xD800:0xE000] = 0  # surrogates
+        every = points.tobytes().decode("utf-32-le")
         codes = np.zeros(0x110000, np.uint8)
         for code, name in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
-            codes[[m.start() for m in regex.finditer(name, "".join(points))]] = code
+            codes[[m.start() for m in regex.finditer(name, every)]] = code
         _CLASS.append(codes)
     return _CLASS[0]
 
@@ -300,6 +302,9 @@ class Encoder:
         new = list(new - self.memo.keys())
         self.memo.update(zip(new, encode_pieces(new, self.ranks)))
         ids = list(map(self.memo.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > _CLASSES[-1]:
+                del self.memo[piece]
         return [b"".join(ids[a:b]) for a, b in zip(first, first[1:])]
 
     def decode(self, ids: bytes) -> bytes:

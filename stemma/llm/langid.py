@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from .common import NOT_ALNUM, bounded_rows, fold_latin, fresh, has_letter, hash_sample, held_out, learnable, text_chunks, without
 
 BUCKETS = 1 << 13
+#: Rows whose vectors a worker holds at a time, however short their texts are.
+ROWS_TOGETHER = 256
 CENTROIDS = 4
 #: About so many rows are learned from, over all languages.
 SAMPLE_ROWS = 2500
@@ -36,7 +38,7 @@ _BLANK[0x30:0x3A] = True
 
 def vectors(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, log counts of hashed trigrams, and the number of trigrams of each row."""
-    for a, b, data, offsets in text_chunks(texts):
+    for a, b, data, offsets in text_chunks(texts, rows=ROWS_TOGETHER):
         clean = fold_latin(data)
         clean[_BLANK[clean]] = 0x20
         counts = np.zeros((b - a, BUCKETS), np.float32)
@@ -156,18 +158,21 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     language, and are rejected if they lie too far from all centroids. Without a model everything is
     ``und``, and only what has no letter is rejected. Ties go to the alphabetically first language.
     Repeated rows give repeated results, and an empty table none. A column of ``keep`` that is named
-    like a result gives way to it; to carry columns of any name, pack them into one struct.
+    like a result gives way to it; to carry columns of any name, pack them into one struct. A string
+    ``text`` among ``keep`` goes to Python once.
     """
     names = model.languages if model else []
     keep = without(keep, "lang_pred", "score", "rejected")
+    kept = "text" in keep and docs.schema["text"].dataType == T.StringType()
+    at = keep.index("text") if kept else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lettered = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
+            lettered = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             n = len(batch)
             best, cosine, sizes = np.zeros(n, int), np.zeros(n), np.zeros(n, np.int64)
             if model:
-                for a, counts, size in vectors(batch.column(len(keep))):
+                for a, counts, size in vectors(batch.column(at)):
                     b = a + len(counts)
                     best[a:b], cosine[a:b] = model.nearest(counts)
                     sizes[a:b] = size
@@ -177,7 +182,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(far | ~lettered)], [*keep, "lang_pred", "score", "rejected"])
 
     text = F.col("text").cast("string")
-    frame = docs.select(*(F.col(f"`{k}`") for k in keep), text.alias(fresh("_text", keep)), has_letter(text).alias(fresh("_lettered", keep)))
+    frame = docs.select(*(F.col(f"`{k}`") for k in keep), *([] if kept else [text.alias(fresh("_text", keep))]), has_letter(text).alias(fresh("_lettered", keep)))
     results = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields[: len(keep)], *results.fields]))
 

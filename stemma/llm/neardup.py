@@ -30,6 +30,8 @@ BINS = 72
 ROWS_PER_BAND = 3
 BANDS = BINS // ROWS_PER_BAND
 LINK_PERCENT = 75
+#: Bytes of text that a worker sketches at a time.
+RUN_BYTES = 1 << 18
 #: Bins of the sketch that rules pairs out: one byte each, empty bins left empty.
 FINE_BINS = 256
 #: A pair is not confirmed if its estimated similarity lies so many standard deviations under the limit.
@@ -94,7 +96,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sketches, keys, sizes = len(batch), [], [], np.zeros(len(batch), np.int64)
         bands = np.zeros((n, BANDS), np.uint64)
-        for a, _, data, offsets in text_chunks(batch.column(1)):
+        for a, _, data, offsets in text_chunks(batch.column(1), RUN_BYTES):
             for i, hashes in enumerate(shingle_sets(data, offsets), a):
                 sizes[i] = len(hashes)
                 s = sketch(hashes)

@@ -9,7 +9,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from stemma.llm import divergence, licenses, pii, tokenalign, warc
+import corpus_pipeline
+from stemma.llm import bpe, divergence, langid, licenses, pii, tokenalign, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -454,3 +455,34 @@ def test_url_keys_of_urls_with_line_ends(spark):
     urls = {"http://a.com/x y\r\nX: 1": "com,a)/x%20y%20%20x:%201", "http://a.com/p#f\ng": "com,a)/p", "http://www.B.a.com:80/X?q=1#f": "com,a,b)/x?q=1", None: ""}
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", warc.url_key(F.col("url")).alias("k")).collect()
     assert {r.url: r.k for r in rows} == urls
+
+
+def test_vectors_of_short_texts_come_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    texts = ["", None, "abc déf", "the cat"] * 300
+    runs = list(langid.vectors(pa.array(texts, pa.string())))
+    assert max(len(counts) for _, counts, _ in runs) <= langid.ROWS_TOGETHER
+    assert [a for a, _, _ in runs] == list(range(0, len(texts), langid.ROWS_TOGETHER))
+    (_, whole, sizes), = langid.vectors(pa.array(texts[:4], pa.string()))
+    assert (np.concatenate([counts for _, counts, _ in runs]) == np.tile(whole, (300, 1))).all()
+    assert np.concatenate([size for _, _, size in runs]).tolist() == sizes.tolist() * 300
+
+
+def test_long_pieces_are_not_remembered():
+    import public_tokenizers
+
+    e = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "short " + "xq" * 5000 + " short"
+    ids, = e.encode([text])
+    assert e.memo and max(map(len, e.memo)) <= 64
+    assert e.encode([text, text]) == [ids, ids] and e.decode(ids).decode() == text
+
+
+def test_language_stage_sends_each_text_once(spark):
+    rows = [(k, t, "en", k) for k, t in enumerate(["the cat sat on the mat and the dog lay by the door"] * 40 + [None, "", "123"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int")
+    found = corpus_pipeline.identify_language(spark, d, "")
+    assert "_text" not in found._jdf.queryExecution().toString()
+    assert found.schema == d.schema
+    assert sorted(map(tuple, found.collect())) == rows[:40]
