@@ -29,7 +29,7 @@ def same_as_sql(spark, tmp_path):
     return compare
 
 
-@pytest.mark.parametrize("name", ["s04_word_headings"])
+@pytest.mark.parametrize("name", ["s04_word_headings", "s06_visual_headings"])
 def test_lines_with_numbers_of_their_own(same_as_sql, name):
     lines = "92.19.73.54 Thorea ntin inreed to threingwh and onther eren\nHeading here\n1.2 Short one\nSome more prose that is long enough to be a paragraph\n" * 2 + "prose\n" * 9
     prose = "and this is a paragraph of prose, as there are many of them\n" * 12
