@@ -37,7 +37,8 @@ def detect(blocks: DataFrame, visual: bool = True, key: str = "path") -> DataFra
     signal = ((letters > 0) & (upper >= 0.8 * letters)) | bold | centred | large | F.lower(after).rlike("|".join(CANONICAL))
     short = (F.length("text") <= 120) & (T.word_count(T.collapse_space(F.col("text"))) <= 14)
     sentence = F.col("text").endswith(".") | (F.size(F.split("text", r"\. ")) - 1 >= 2)
-    numbered = (depth <= 9) & short & ~sentence & ~F.col("text").rlike(r"\t\d+$") & ~F.coalesce(F.col("is_list"), F.lit(False)) & ~F.coalesce(F.col("style").startswith("List"), F.lit(False)) & ((depth > 1) | signal)
+    # what most paragraphs fail comes first
+    numbered = (number != "") & (depth <= 9) & short & ~sentence & ~F.col("text").rlike(r"\t\d+$") & ~F.coalesce(F.col("is_list"), F.lit(False)) & ~F.coalesce(F.col("style").startswith("List"), F.lit(False)) & ((depth > 1) | signal)
     score = F.when(bold, 0.25).otherwise(0.0) + F.when(centred, 0.20).otherwise(0.0) + F.when(large, 0.25).otherwise(0.0) + F.when(F.length("text") <= 80, 0.10).when(F.length("text") > 160, -0.30).otherwise(0.0) - F.when(F.col("text").endswith("."), 0.30).otherwise(0.0)
 
     p = p.withColumn("mode", F.when(styled.isNotNull(), "style").when(outlined.isNotNull(), "outline").when(F.coalesce(numbered, F.lit(False)), "numbering").otherwise("none"))

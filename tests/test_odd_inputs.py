@@ -5,6 +5,8 @@ import pytest
 from test_queries import SF, TABLES, norm
 
 from stemma import plans
+from stemma.operators import headings, schedule
+from stemma.sources import docx
 
 
 @pytest.fixture
@@ -34,3 +36,18 @@ def test_lines_with_numbers_of_their_own(same_as_sql, name):
     lines = "92.19.73.54 Thorea ntin inreed to threingwh and onther eren\nHeading here\n1.2 Short one\nSome more prose that is long enough to be a paragraph\n" * 2 + "prose\n" * 9
     prose = "and this is a paragraph of prose, as there are many of them\n" * 12
     assert same_as_sql(name, documents=([(i, lines + prose, "en", "web", len(lines + prose)) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_table_context_in_one_pass(spark, tmp_path):
+    """Tables side by side, blank paragraphs and fewer than six of them; no join, and rows are counted with the context."""
+    p = lambda t, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t xml:space="preserve">{t}</w:t></w:r></w:p>'
+    head = lambda t, k: p(t, f'<w:pStyle w:val="Heading{k}"/>')
+    grid = docx.table_xml([["a", "b"], ["c", "d"], ["e", "f"]])
+    body = p("one") + grid + grid + head("A", 1) + head("B", 2) + "".join(p(str(i)) + p(" ") for i in range(7)) + grid + head("C", 1) + docx.table_xml([["x"]])
+    (tmp_path / "t.docx").write_bytes(docx.package(body))
+    b = docx.blocks(docx.files(spark, str(tmp_path)))
+    found = schedule.table_context(b, headings.detect(b, visual=False))
+    got = {r.table_no: (r.context, r.n_rows) for r in found.collect()}
+    assert got == {0: ("one", 3), 1: ("one", 3), 2: ("A B 1 2 3 4 5 6", 3), 3: ("C 2 3 4 5 6 C", 1)}
+    plain = schedule.table_context(b, b.filter("kind = 'p' AND trim(text_raw) <> ''").withColumn("level", b.outline))
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
