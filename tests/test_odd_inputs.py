@@ -5,7 +5,7 @@ import pytest
 from test_queries import SF, TABLES, norm
 
 from stemma import plans
-from stemma.operators import headings, schedule
+from stemma.operators import clusters, headings, schedule
 from stemma.sources import docx
 
 
@@ -51,3 +51,17 @@ def test_table_context_in_one_pass(spark, tmp_path):
     assert got == {0: ("one", 3), 1: ("one", 3), 2: ("A B 1 2 3 4 5 6", 3), 3: ("C 2 3 4 5 6 C", 1)}
     plain = schedule.table_context(b, b.filter("kind = 'p' AND trim(text_raw) <> ''").withColumn("level", b.outline))
     assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headings_with_one_vector_stand_for_each_other(spark):
+    """Copies in other letters and marks are no pairs, and weigh as many as they are."""
+    texts = [f"{'Study'[:1 + i % 5].upper()}{'study'[1 + i % 5:]} design{'.' * (i // 5)}" for i in range(20)] + ["safety data", "safety data set"]
+    rows = clusters.vectors(spark.createDataFrame([("g", t) for t in texts], "grp string, heading string"))
+    same = clusters.alike(rows)
+    assert same.select("same").distinct().count() == 3
+    ones = rows.join(same.filter("heading = same").select("grp", "heading"), ["grp", "heading"], "left_semi")
+    assert clusters.near_pairs(ones, "heading", 0.78).count() == 0
+    x = clusters.tfidf(["a1 b1 c1", "a1 b1 d1", "a1 c1 e1 d1"] + ["a1 b1 c1"] * 5)
+    want = clusters.average_linkage(x, 0.7)
+    got = clusters.average_linkage(x[:3], 0.7, sizes=[6, 1, 1])
+    assert got == want[:3]
