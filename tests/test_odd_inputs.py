@@ -6,6 +6,7 @@ from test_queries import SF, TABLES, norm
 
 from stemma import plans
 from stemma.operators import clusters, headings, schedule
+from stemma.plans import composites
 from stemma.sources import docx
 
 
@@ -77,3 +78,11 @@ def test_order_schedules_move_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert len(dealt) == 2
+
+
+def test_exact_matches_are_written_once(spark, monkeypatch):
+    """The alignment reads exact matches five times; they aren't computed anew each time."""
+    seen = {}
+    monkeypatch.setattr(composites.A, "align", lambda units, pairs, exact, chunks: seen.setdefault("exact", exact))
+    composites._aligned(spark, SF)
+    assert "Window" not in seen["exact"]._jdf.queryExecution().executedPlan().toString()
