@@ -81,7 +81,7 @@ def test_order_schedules_move_once(spark):
 
 
 def test_exact_matches_are_written_once(spark, monkeypatch):
-    """The alignment reads exact matches five times; they aren't computed anew each time."""
+    """The alignment reads exact matches more than once; they aren't computed anew each time."""
     seen = {}
     monkeypatch.setattr(composites.A, "align", lambda units, pairs, exact, chunks: seen.setdefault("exact", exact))
     composites._aligned(spark, SF)
